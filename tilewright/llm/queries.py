@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tilewright.llm import suffix_dedup
+from tilewright.llm import simhash, suffix_dedup
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.query,
+    "op2_simhash_near_dedup": simhash.query,
 }
 SQL = {
     "op1_suffix_array_dedup": suffix_dedup.SQL,
