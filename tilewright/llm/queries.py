@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from tilewright.llm import simhash, suffix_dedup
+from tilewright.llm import mixing, multiset_hash, sharding, simhash, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.query,
     "op2_simhash_near_dedup": simhash.query,
+    "op4_token_counts": token_counts.query,
+    "op5_multiset_fingerprints": multiset_hash.query,
+    "op6_mix_sources": mixing.query,
+    "op10_shuffle_shards": sharding.query,
 }
 SQL = {
     "op1_suffix_array_dedup": suffix_dedup.SQL,
+    "op6_mix_sources": mixing.SQL,
 }
