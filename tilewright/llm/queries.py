@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tilewright.llm import mixing, multiset_hash, sharding, simhash, suffix_dedup, token_counts
+from tilewright.llm import language_id, mixing, mpeg_audio, multiset_hash, sharding, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.query,
     "op2_simhash_near_dedup": simhash.query,
+    "op3_toxicity": toxicity.query,
     "op4_token_counts": token_counts.query,
     "op5_multiset_fingerprints": multiset_hash.query,
     "op6_mix_sources": mixing.query,
+    "op7_language_id": language_id.query,
+    "op9_mpeg_audio": mpeg_audio.query,
     "op10_shuffle_shards": sharding.query,
 }
 SQL = {
