@@ -115,8 +115,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("body"), F.length(text).cast("long").alias("n_chars"))
-    links = following(base.select("id", "hash", "n_chars").distinct(), "id", "hash", "n_chars")
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("body"))
+    links = following(base.select("id", "hash", F.length("body").cast("long").alias("n_chars")), "id", "hash", "n_chars")
+    # both joins read these four columns by the same key, so the texts are shuffled once
     full = base.withColumn("lanes", lanes(F.col("body")))
     to = links.select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), F.col("n_chars").alias("of_chars"), F.col("next_id").alias("id"), F.col("next_hash").alias("hash"))
     n, t = full.alias("n"), to.alias("t")
@@ -124,7 +125,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lent = n.join(t, on).select("of_id", "of_hash", F.expr("substring(body, 1, cast(of_chars div 4 as int))").alias("lent"), F.col("n.lanes").alias("next_lanes")).dropDuplicates(["of_id", "of_hash"])
     d = full.alias("d").join(lent, F.col("d.id").eqNullSafe(F.col("of_id")) & (F.col("d.hash") == F.col("of_hash")))
     edited = F.expr("concat(substring(body, 1, cast(n_chars - n_chars div 4 as int)), lent)")
-    d = d.select("id", "n_chars", "lanes", "next_lanes", edited.alias("edited"))
+    d = d.withColumn("n_chars", F.length("body").cast("long")).select("id", "n_chars", "lanes", "next_lanes", edited.alias("edited"))
     return d.withColumn("edited_lanes", lanes(F.col("edited"))).withColumnRenamed("id", id_col)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import language_id, mixing, mpeg_audio, multiset_hash, sharding, simhash, suffix_dedup, token_counts, toxicity
+from tilewright.llm import byte_bpe, language_id, mixing, mpeg_audio, multiset_hash, sharding, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_multiset_fingerprints": multiset_hash.query,
     "op6_mix_sources": mixing.query,
     "op7_language_id": language_id.query,
+    "op8_byte_bpe": byte_bpe.query,
     "op9_mpeg_audio": mpeg_audio.query,
     "op10_shuffle_shards": sharding.query,
 }
