@@ -362,7 +362,7 @@ def _marks(head, bodies, rows, home, min_len):
     return np.concatenate(blocks), np.concatenate(parts)
 
 
-def _cut_block(id_col, text_col, schema):
+def _cut_block(id_col, text_col, schema, whole_chars):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         to = _arrow(schema)
         if not left.num_rows:
@@ -380,6 +380,9 @@ def _cut_block(id_col, text_col, schema):
                 continue
             depth = np.bincount(own["from"], minlength=len(text) + 1) - np.bincount(own["to"], minlength=len(text) + 1)
             gone = np.cumsum(depth)[: len(text)] > 0
+            if whole_chars:
+                lead = np.flatnonzero(np.frombuffer(text, np.uint8) & 0xC0 != 0x80)
+                gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(text))))
             edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
             spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
             kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
@@ -388,13 +391,14 @@ def _cut_block(id_col, text_col, schema):
     return run
 
 
-def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_id", text_col: str = "text", hot_blocks: int = HOT_BLOCKS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_id", text_col: str = "text", hot_blocks: int = HOT_BLOCKS, block_bytes: int = BLOCK_BYTES, whole_chars: bool = False) -> DataFrame:
     """Columns ``row`` (struct of the input's columns), ``spans`` (removed byte runs, start and end) and ``kept`` (binary).
 
     Null text counts as empty. A null id counts as smaller than any id. Rows with
     one id are one owner: they never remove each other's bytes. Texts shorter
     than ``min_len`` stay. An empty table gives no rows. Extra columns travel in
-    ``row``, whatever their names.
+    ``row``, whatever their names. With ``whole_chars`` a character goes only if
+    all its bytes go, so what is left is text again.
     """
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = int(total // block_bytes) + 1
@@ -405,7 +409,7 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_i
     sent = base.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_sent_by_block(id_col, text_col, min_len, buckets), _SENT)
     marks = sent.groupBy("bucket").applyInArrow(_marks_of_bucket(min_len), _MARKS)
     out = T.StructType([base.schema["row"], T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
-    return base.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cut_block(id_col, text_col, out), out)
+    return base.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cut_block(id_col, text_col, out, whole_chars), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
