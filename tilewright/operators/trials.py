@@ -62,7 +62,7 @@ def merge_config(base: Column, over: Column) -> Column:
 
 def journal(df: DataFrame, trial: str = "trial_id", metric: str = "metric", diff: str = "diff") -> DataFrame:
     """A line for each trial: ``| id | metric | diff |``, the diff cut to 50 characters, failed trials marked."""
-    value = F.coalesce(F.format_number(F.col(metric), "0.0000"), F.lit("failed"))
+    value = F.when(F.col(metric).isNull(), "failed").otherwise(F.format_string("%.4f", F.col(metric)))
     return df.select(trial, F.format_string("| %s | %s | %s |", F.col(trial).cast("string"), value, F.substring(F.coalesce(diff, F.lit("")), 1, 50)).alias("line"))
 
 
