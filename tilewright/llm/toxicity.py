@@ -61,23 +61,25 @@ def _sketch(words: list[str], size: int = 8) -> list[int]:
     return sorted(runs)[:size]
 
 
-def _sample(docs: DataFrame, id_col: str, text_col: str) -> list[tuple[list[int], list[int]]]:
+def _sample(docs: DataFrame, id_col: str, text_col: str) -> list[np.ndarray]:
+    """Feature hashes of each row (packed, so that the driver holds 8 bytes a feature), without near copies."""
+
     def run(batches):
         features = _Cache(word_features)
         for batch in batches:
             found, sketches = [], []
             for text in batch.column(0).to_pylist():
                 words = _WORD.findall((text or "").lower())
-                found.append(sorted(set().union(*map(features.__getitem__, set(words)))))
-                sketches.append(_sketch(words))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["found", "sketch"])
+                found.append(np.array(sorted(set().union(*map(features.__getitem__, set(words)))), "<i8").tobytes())
+                sketches.append(np.array(_sketch(words), "<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(sketches, pa.binary())], names=["found", "sketch"])
 
-    rows = docs.select(text_col).mapInArrow(run, "found array<long>, sketch array<long>").collect()
-    rows = sorted((r.found, r.sketch) for r in rows)
+    rows = sorted((bytes(r.found), bytes(r.sketch)) for r in docs.select(text_col).mapInArrow(run, "found binary, sketch binary").toLocalIterator())
     out, seen = [], set()
-    for found, sketch in rows:
+    for found, packed in rows:
+        sketch = np.frombuffer(packed, "<i8").tolist()
         if 2 * sum(x in seen for x in sketch) <= len(sketch) or not sketch:
-            out.append(found)
+            out.append(np.frombuffer(found, "<i8"))
         seen.update(sketch)
     return out
 
@@ -85,29 +87,37 @@ def _sample(docs: DataFrame, id_col: str, text_col: str) -> list[tuple[list[int]
 # ----------------------------------------------------------------------- model
 
 
-def nnpu(positive: list[list[int]], unlabelled: list[list[int]], prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-4, beta: float = 0.0) -> tuple[dict[int, float], float]:
+def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-4, beta: float = 0.0) -> tuple[dict[int, float], float]:
     """Weights by feature, and the bias, of a linear classifier under the non-negative risk (logistic loss)."""
-    in_p, in_u = {}, {}
-    for rows, seen in ((positive, in_p), (unlabelled, in_u)):
-        for row in rows:
-            for f in row:
-                seen[f] = seen.get(f, 0) + 1
+    named, in_p = np.unique(np.concatenate(positive), return_counts=True)
+    often = in_p >= max(LEAST_ROWS, LEAST_SHARE * len(positive))
+    named, in_p = named[often], in_p[often]
+
+    def places(row):  # where a row's features stand among the named ones
+        at = np.searchsorted(named, row)
+        at[at == len(named)] = 0
+        return at[named[at] == row] if len(named) else at[:0]
+
+    in_u = np.zeros(len(named))
+    for row in unlabelled:
+        in_u[places(row)] += 1
     # a feature's share of clean rows, rather too high: its share of U (and a deviation) less what the toxic rows in U make up
-    high = lambda k: (k + k**0.5 + 0.5) / len(unlabelled)
-    share = lambda f, n: max(0.5 / len(unlabelled), high(in_u.get(f, 0)) - prior * n / len(positive)) / (1 - prior)
-    lift = {f: n / len(positive) / share(f, n) for f, n in in_p.items() if n >= max(LEAST_ROWS, LEAST_SHARE * len(positive))}
-    names = sorted((f for f, v in lift.items() if v >= LEAST_LIFT), key=lambda f: (-in_p[f] * np.log(lift[f]), f))[:FEATURES]
-    index = {f: i for i, f in enumerate(names)}
+    high = (in_u + np.sqrt(in_u) + 0.5) / len(unlabelled)
+    share = np.maximum(0.5 / len(unlabelled), high - prior * in_p / len(positive)) / (1 - prior)
+    lift = in_p / len(positive) / share
+    best = np.flatnonzero(lift >= LEAST_LIFT)
+    best = np.sort(best[np.lexsort((named[best], -in_p[best] * np.log(lift[best])))][:FEATURES])
+    named = named[best]
 
     def matrix(rows):
-        out = np.zeros((len(rows), len(names) + 1), np.float32)
+        out = np.zeros((len(rows), len(named) + 1), np.float32)
         out[:, -1] = 1
         for r, row in enumerate(rows):
-            out[r, [index[f] for f in row if f in index]] = 1
+            out[r, places(row)] = 1
         return out
 
     xp, xu = matrix(positive), matrix(unlabelled)
-    w = np.zeros(len(names) + 1, np.float32)
+    w = np.zeros(len(named) + 1, np.float32)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -120,7 +130,7 @@ def nnpu(positive: list[list[int]], unlabelled: list[list[int]], prior: float, s
         grad = grad + l2 * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return {f: float(w[i]) for f, i in index.items() if w[i] != 0}, float(w[-1])
+    return {int(f): float(x) for f, x in zip(named, w, strict=False) if x != 0}, float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[int, float], float]:
