@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bound of the dictionary of folded words.
-WORDS = 1 << 18
-RANK_MAPS, WORD_MAPS = 1 << 14, 1 << 16
+WORDS = 1 << 17
+RANK_MAPS, WORD_MAPS = 1 << 14, 1 << 15
 
 
 def rank_table(path: str | None = None) -> dict[bytes, int]:
@@ -58,6 +58,11 @@ def _looked_up(table: Column, maps: int, key: Column) -> Column:
     return F.try_element_at(F.get(table, F.pmod(F.xxhash64(key), F.lit(maps)).cast("int")), key)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is named once: a large constant is then in the plan once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
@@ -74,19 +79,16 @@ class Encoder:
         self.pieces = _literal(pieces, "array<string>")
         self.digits = _literal([i.to_bytes(4, "little").hex() for i in range(len(pieces))], "array<string>")
 
-    def rank(self, piece: Column) -> Column:
-        return _looked_up(self.table, RANK_MAPS, piece)
-
-    def fold(self, word: Column) -> Column:
-        """Ids of one word, by merges alone."""
-        let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    def fold(self, word: Column, table: Column) -> Column:
+        """Ids of one word, by merges alone. ``table``: the rank maps."""
+        rank = lambda piece: _looked_up(table, RANK_MAPS, piece)
         pair = lambda p, i: F.concat(F.get(p, i), F.get(p, i + 1))
 
         def merged(s, at):
             p, r = s["p"], s["r"]
             new = pair(p, at)
-            left = F.when(at > 0, F.array(self.rank(F.concat(F.get(p, at - 1), new)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at + 2 < F.size(p), F.array(self.rank(F.concat(new, F.get(p, at + 2))))).otherwise(F.array().cast("array<int>"))
+            left = F.when(at > 0, F.array(rank(F.concat(F.get(p, at - 1), new)))).otherwise(F.array().cast("array<int>"))
+            right = F.when(at + 2 < F.size(p), F.array(rank(F.concat(new, F.get(p, at + 2))))).otherwise(F.array().cast("array<int>"))
             n = F.size(p)
             return F.struct(
                 F.concat(F.slice(p, F.lit(1), at), F.array(new), F.slice(p, at + 3, n)).alias("p"),
@@ -98,28 +100,37 @@ class Encoder:
             return F.when(least.isNull(), s).otherwise(merged_at(s, least))
 
         def merged_at(s, least):
-            return let(F.array_position(s["r"], least).cast("int") - 1, lambda at: merged(s, at))
+            return _let(F.array_position(s["r"], least).cast("int") - 1, lambda at: merged(s, at))
 
         def start(p):
-            return F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, i: self.rank(F.concat(F.get(p, i), x))).alias("r"))
+            return F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, i: rank(F.concat(F.get(p, i), x))).alias("r"))
 
-        return let(
+        return _let(
             F.regexp_extract_all(F.hex(word), F.lit(".."), F.lit(0)),
-            lambda p: F.transform(F.aggregate(F.slice(p, F.lit(2), F.size(p)), start(p), step)["p"], self.rank),
+            lambda p: F.transform(F.aggregate(F.slice(p, F.lit(2), F.size(p)), start(p), step)["p"], rank),
         )
 
-    def dictionary(self, docs: DataFrame, text_col: str = "text", words: int = WORDS) -> dict[str, list[int]]:
-        """Ids of the most frequent distinct words of all texts: at most ``words`` entries."""
+    def dictionary(self, docs: DataFrame, text_col: str = "text", words: int = WORDS) -> str:
+        """Ids of the most frequent distinct words of all texts (at most ``words``), as the JSON of the word maps."""
         counted = docs.select(F.explode(words_of(F.col(text_col), self.pattern)).alias("word")).groupBy("word").count()
-        top = counted.orderBy(F.desc("count"), "word").limit(words).select("word")
-        return {r.word: r.ids for r in top.repartition("word").select("word", self.fold(F.col("word")).alias("ids")).toLocalIterator()}
-
-    def encode(self, text: Column, dictionary: dict[str, list[int]] | None = None) -> Column:
+        top = counted.orderBy(F.desc("count"), "word").limit(words).select("word").repartition("word")
+        folded = top.select("word", _let(self.table, lambda t: self.fold(F.col("word"), t)).alias("ids"))
+        entry = F.concat(F.expr("substring(to_json(struct(word)), 9, length(to_json(struct(word))) - 9)"), F.lit(":["), F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("]"))
+        number = F.pmod(F.xxhash64("word"), F.lit(WORD_MAPS)).cast("int")
+        maps = folded.groupBy(number.alias("map")).agg(F.array_join(F.collect_list(entry), ",").alias("entries"))
+        parts = [""] * WORD_MAPS
+        for r in maps.toLocalIterator():
+            parts[r["map"]] = r.entries
+        return "[{" + "},{".join(parts) + "}]"
+
+    def encode(self, text: Column, dictionary: str | None = None) -> Column:
         """Ids of a text (array of int); null counts as empty."""
+        words = words_of(text, self.pattern)
         if not dictionary:
-            return F.flatten(F.transform(words_of(text, self.pattern), self.fold))
-        known = _literal(_split_map(dictionary, WORD_MAPS), "array<map<string,array<int>>>")
-        return F.flatten(F.transform(words_of(text, self.pattern), lambda w: F.coalesce(_looked_up(known, WORD_MAPS, w), self.fold(w))))
+            return _let(self.table, lambda t: F.flatten(F.transform(words, lambda w: self.fold(w, t))))
+        known = F.from_json(F.lit(dictionary), "array<map<string,array<int>>>")
+        ids = lambda t, k: F.flatten(F.transform(words, lambda w: F.coalesce(_looked_up(k, WORD_MAPS, w), self.fold(w, t))))
+        return _let(self.table, lambda t: _let(known, lambda k: ids(t, k)))
 
     def decode(self, ids: Column) -> Column:
         """Bytes (binary) of ids: their pieces joined."""
