@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 8, 8
-PER_LANG, LANGS, WINDOWS = 500, 500, 4
+PER_LANG, LANGS, WINDOWS, DEALT = 500, 500, 4, 32
 BATCH = 512
 UNKNOWN = "und"
 FOLDS, HELD = 4, 2
@@ -105,8 +105,12 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", tex
     """A network for the labelled languages of the rows that aren't held out, at most the ``LANGS`` most frequent. None without any."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     langs = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGS).select(lang_col)
-    nth = F.row_number().over(W.partitionBy(lang_col).orderBy(F.xxhash64(F.lit("lang"), id_col), id_col))
-    ids = rows.join(F.broadcast(langs), lang_col, "left_semi").select(lang_col, id_col).withColumn("nth", nth).where(F.col("nth") <= per_lang).select(id_col).distinct()
+    order = F.xxhash64(F.lit("lang"), id_col)
+    first = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(order, id_col)) <= per_lang
+    known = rows.join(F.broadcast(langs), lang_col, "left_semi").select(lang_col, id_col, F.pmod(F.xxhash64(id_col), F.lit(DEALT)).alias("dealt"))
+    # first within the parts of a language, then among their at most DEALT * per_lang rows: no task sees a whole language
+    parts = known.withColumn("ok", first(lang_col, "dealt")).where("ok").withColumn("ok", first(lang_col)).where("ok")
+    ids = parts.select(id_col).distinct()
     sample = rows.join(F.broadcast(ids), id_col, "left_semi").select(id_col, lang_col, text_col)  # at most LANGS * per_lang ids
 
     def windows(batches):
