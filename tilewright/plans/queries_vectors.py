@@ -303,12 +303,13 @@ def _(t):
 d AS (SELECT s, avg(abs(v - mean)) mad, avg(pow(v - mean, 3)) m3, avg(pow(v - mean, 4)) m4, avg(v) FILTER (v BETWEEN p10 AND p90) nm FROM v JOIN m USING (s) GROUP BY 1),
 r AS (SELECT s, avg(abs(v - nm)) rmad FROM v JOIN m USING (s) JOIN d USING (s) WHERE v BETWEEN p10 AND p90 GROUP BY 1),
 h AS (SELECT s, -sum(p * log2(p)) entropy, sum(p * p) uniformity FROM (SELECT s, count(*) / (sum(count(*)) OVER (PARTITION BY s))::DOUBLE p FROM v GROUP BY s, floor(v / 25)) GROUP BY 1)
-SELECT s user_id, round(energy, 2) energy, round(entropy, 6) entropy, round(mn, 6) minimum, round(p10, 6) p10, round(p90, 6) p90, round(mx, 6) maximum, round(mean, 6) mean, round(md, 6) "median", round(iqr, 6) iqr, round(mx - mn, 6) AS "range", round(mad, 6) mad, round(rmad, 6) rmad, round(sqrt(energy / n), 6) rms, round(coalesce(m3 / nullif(pow(var, 1.5), 0), 0), 4) skewness, round(coalesce(m4 / nullif(var * var, 0), 0), 4) kurtosis, round(var, 4) variance, round(uniformity, 6) uniformity FROM m JOIN d USING (s) JOIN r USING (s) JOIN h USING (s)""",
+SELECT s user_id, round(energy + 1e-9, 2) energy, round(entropy + 1e-9, 6) entropy, round(mn + 1e-9, 6) minimum, round(p10 + 1e-9, 6) p10, round(p90 + 1e-9, 6) p90, round(mx + 1e-9, 6) maximum, round(mean + 1e-9, 6) mean, round(md + 1e-9, 6) "median", round(iqr + 1e-9, 6) iqr, round(mx - mn + 1e-9, 6) AS "range", round(mad + 1e-9, 6) mad, round(rmad + 1e-9, 6) rmad, round(sqrt(energy / n) + 1e-9, 6) rms, round(coalesce(m3 / nullif(pow(var, 1.5), 0), 0) + 1e-9, 4) skewness, round(coalesce(m4 / nullif(var * var, 0), 0) + 1e-9, 4) kurtosis, round(var + 1e-9, 4) variance, round(uniformity + 1e-9, 6) uniformity FROM m JOIN d USING (s) JOIN r USING (s) JOIN h USING (s)""",
 )
 def _(t):
     digits = {"energy": 2, "skewness": 4, "kurtosis": 4, "variance": 4}
     out = radiomics.first_order(t("events"), "user_id", "value")
-    return out.select("user_id", *[F.round(c, digits.get(c, 6)).alias(c) for c in out.columns if c != "user_id"])
+    # the values have two decimals, so ties in rounding are common: a small offset settles them alike in both engines
+    return out.select("user_id", *[F.round(F.col(c) + 1e-9, digits.get(c, 6)).alias(c) for c in out.columns if c != "user_id"])
 
 
 _NB = f"(SELECT a.sample, ax axis, a.x, a.y, a.z, b.x nx, b.y ny, b.z nz, a.level li, b.level lj FROM (SELECT * FROM {VOXELS}, (VALUES ('x', 1, 0, 0), ('y', 0, 1, 0), ('z', 0, 0, 1)) s(ax, dx, dy, dz)) a JOIN {VOXELS} b ON a.sample = b.sample AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz)"
