@@ -82,18 +82,17 @@ class Encoder:
     def fold(self, word: Column, table: Column) -> Column:
         """Ids of one word, by merges alone. ``table``: the rank maps."""
         rank = lambda piece: _looked_up(table, RANK_MAPS, piece)
-        pair = lambda p, i: F.concat(F.get(p, i), F.get(p, i + 1))
+        gone = F.lit(-1)
 
         def merged(s, at):
+            # r[i] is the rank of p[i] and p[i + 1] together; what stands at ``at`` + 1 goes into ``at``
             p, r = s["p"], s["r"]
-            new = pair(p, at)
-            left = F.when(at > 0, F.array(rank(F.concat(F.get(p, at - 1), new)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at + 2 < F.size(p), F.array(rank(F.concat(new, F.get(p, at + 2))))).otherwise(F.array().cast("array<int>"))
-            n = F.size(p)
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), at), F.array(new), F.slice(p, at + 3, n)).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(at - 1, F.lit(0))), left, right, F.slice(r, at + 3, n)).alias("r"),
-            )
+            new = F.concat(F.get(p, at), F.get(p, at + 1))
+            left = lambda: rank(F.concat(F.get(p, at - 1), new))
+            right = lambda: rank(F.concat(new, F.get(p, at + 2)))
+            pieces = F.transform(p, lambda x, i: F.when(i == at, new).when(i != at + 1, x))
+            ranks = F.transform(r, lambda x, i: F.when(i == at, gone).when(i == at - 1, left()).when(i == at + 1, right()).otherwise(x))
+            return F.struct(F.filter(pieces, lambda x: x.isNotNull()).alias("p"), F.filter(ranks, lambda x: x.isNull() | (x != gone)).alias("r"))
 
         def step(s, _):
             least = F.array_min(s["r"])
