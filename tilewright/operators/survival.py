@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Most cells of times x risks that the concordance keeps.
+CELLS = 1 << 26
+
 
 def cells(df: DataFrame, time: str, event: str, risk: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     keys = [F.col(time).alias("time"), F.col(event).cast("boolean").alias("event")] + ([F.col(risk).alias("risk")] if risk else [])
@@ -25,11 +28,12 @@ def c_index(df: DataFrame, time: str, event: str, risk: str, most: int = 4096) -
 
     Counts per (time, event, risk) replace rows. For every event cell the later
     rows of lower and of equal risk are suffix sums over time of the risk
-    histogram: distinct times x distinct risks, both at most ``most`` (risks
-    beyond it are ranked into that many equal bins, an approximation).
+    histogram, event times x distinct risks: at most ``most`` risks and at most
+    CELLS cells (beyond that, risks go into equal bins, an approximation).
     """
     c = cells(df, time, event, risk)
-    n_risk = c.select("risk").distinct().count()
+    n_times, n_risk = c.where("event").agg(F.count_distinct("time")).first()[0], c.select("risk").distinct().count()
+    most = max(16, min(most, CELLS // max(1, n_times)))
     if n_risk > most:
         cut = c.select(F.percentile_approx("risk", F.array(*[F.lit(i / most) for i in range(1, most)]), F.lit(10 * most)).alias("q")).first()["q"]
         c = c.withColumn("risk", F.width_bucket("risk", F.lit(min(cut)), F.lit(max(cut)), F.lit(most)).cast("double")).groupBy("time", "event", "risk").agg(F.sum("n").alias("n"))
