@@ -2,17 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from tilewright.plans.lineage import shared_dir, written
 
-__all__ = ["documents", "shared_dir", "text_or_empty", "written"]
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def text_or_empty(col: str = "text"):
-    return F.coalesce(F.col(col), F.lit(""))
+__all__ = ["shared_dir", "written"]

@@ -183,7 +183,7 @@ def links(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns ``row`` (id and text left out of it), id, ``code`` and ``component_id``, a row for each input row.
+    """``id_col``, ``code`` and ``component_id``, a row for each input row.
 
     ``component_id`` is the smallest id reachable (null only where all ids of the
     component are null). Null and empty texts and texts without words have the
