@@ -152,6 +152,21 @@ def test_near_copies(make, vocabulary):
     assert simhash.one_of_each(make([])).count() == 0
 
 
+def test_near_copies_that_repeat_a_line(make, vocabulary):
+    rng = random.Random(8)
+    texts = []
+    for times in (20, 60, 120, 200):
+        for _ in range(4):
+            words = rng.choices(vocabulary, k=400)
+            line = words[200:212]
+            texts += [" ".join(words), " ".join(words[:212] + line * times + words[212:])]
+    s = [shingles(t) for t in texts]
+    want = least_reachable(len(texts), lambda i, j: len(s[i] & s[j]) / len(s[i] | s[j]) >= 0.8)
+    assert len(set(want)) == 16
+    got = dict(simhash.near_copies(make(texts)).select("id", "component_id").collect())
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_query_hash_form(spark, sf):
     r = suffix_dedup.query(spark, sf).where("n_removed = 0").first()
     text = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("doc_id") == r.doc_id).first().text
