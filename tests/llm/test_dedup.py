@@ -167,6 +167,31 @@ def test_near_copies_that_repeat_a_line(make, vocabulary):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_near_copies_around_the_threshold(make, vocabulary):
+    rng = random.Random(9)
+    texts = []
+    for edits in range(2, 11):  # similarity 0.9 to 0.6
+        for _ in range(12):
+            words = rng.choices(vocabulary, k=200)
+            other = list(words)
+            for at in rng.sample(range(10, 190, 6), edits):
+                other[at] = "altered"
+            texts += [" ".join(words), " ".join(other)]
+    s = [shingles(t) for t in texts]
+    alike = [len(s[i] & s[i + 1]) / len(s[i] | s[i + 1]) for i in range(0, len(texts), 2)]
+    assert sum(0.8 <= x < 0.85 for x in alike) > 10 and sum(0.75 < x < 0.8 for x in alike) > 10
+    got = dict(simhash.near_copies(make(texts)).select("id", "component_id").collect())
+    want = least_reachable(len(texts), lambda i, j: len(s[i] & s[j]) / len(s[i] | s[j]) >= 0.8)
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_near_copies_without_or_with_shared_ids(make, vocabulary):
+    rng = random.Random(10)
+    texts = [" ".join(rng.choices(vocabulary, k=60)) for _ in range(6)]
+    kept = simhash.one_of_each(make(texts + texts[:2], [None, None, 7, 7, 7, 3, None, 5])).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept) == sorted([(True, 0, texts[0]), (False, 5, texts[1]), *[(False, 7, t) for t in texts[2:5]], (False, 3, texts[5])])
+
+
 def test_query_hash_form(spark, sf):
     r = suffix_dedup.query(spark, sf).where("n_removed = 0").first()
     text = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("doc_id") == r.doc_id).first().text

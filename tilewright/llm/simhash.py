@@ -17,6 +17,7 @@ code, to the root of its local component, never all pairs.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -210,6 +211,8 @@ def grouped(codes: DataFrame, max_bits: int, id_col: str = "doc_id") -> DataFram
 SIMILARITY, WORDS = 0.8, 5
 #: Bands of two least hashes each deal similar texts together: at 0.8 all bands miss a pair with probability 0.36 ** 10.
 BANDS, SKETCH = 10, 128
+#: The sketch decides alone where it is wrong with less than this probability, for any pair; else the sets do.
+ODDS = 1e-6
 
 
 def signature(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -230,84 +233,198 @@ def signature(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``words`` (a hash of the whole sequence of words), ``code``, ``sketch``, ``keys``."""
+    """``id``, ``hash`` (of the text; with the id it names a row), ``words`` (a hash of the whole sequence of words), ``code``, ``sketch``, ``keys``."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                hashes = shingle_hashes(text or b"", WORDS)
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                hashes = shingle_hashes(text, WORDS)
                 sketch, keys = signature(hashes)
-                whole = xxhash.xxh3_128_digest(b" ".join((text or b"").lower().split()))
-                out.append((whole, fingerprint(np.unique(hashes)), sketch, keys.view(np.int64).tolist()))
+                out.append((xxhash.xxh3_128_digest(b" ".join(text.lower().split())), fingerprint(np.unique(hashes)), sketch, keys.view(np.int64).tolist()))
             words, codes, sketches, keys = zip(*out, strict=True) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(words, pa.binary()), pa.array(np.array(codes, _U).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "words", "code", "sketch", "keys"]
+                [batch.column(0), batch.column(1), pa.array(words, pa.binary()), pa.array(np.array(codes, _U).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "hash", "words", "code", "sketch", "keys"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, words binary, code long, sketch binary, keys array<long>")
+    return _named(docs, id_col, text_col).mapInArrow(run, "id long, hash long, words binary, code long, sketch binary, keys array<long>")
 
 
-def linked(sketches: np.ndarray, similarity: float) -> np.ndarray:
-    """The least place of each place's component, in one group.
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
-    A search takes in what is near and goes on from there, among what isn't taken
-    in yet. Every pair counts: no bound on fingerprints holds for all pairs at a similarity.
+
+def limits(similarity: float) -> tuple[int, int]:
+    """Agreeing bytes of a sketch from which a pair is surely alike, and below which it surely isn't (each wrong below ODDS)."""
+    chance = lambda p: [comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k) for k in range(SKETCH + 1)]
+    under, at = chance(similarity + (1 - similarity) / 256), chance(similarity)  # a byte agrees by chance in 1 of 256
+    sure = next(k for k in range(SKETCH + 2) if sum(under[k:]) < ODDS)
+    return sure, max(k for k in range(SKETCH + 1) if sum(at[:k]) < ODDS)
+
+
+def _join(root: np.ndarray, i: int, hits: np.ndarray) -> None:
+    """Put the components of ``hits`` and ``i`` under the least of their places."""
+    old = np.unique(np.append(root[hits], root[i]))
+    root[np.isin(root, old)] = old[0]
+
+
+def first_of(labels: np.ndarray) -> np.ndarray:
+    """The first place with the same label as each place."""
+    _, first, back = np.unique(labels, return_index=True, return_inverse=True)
+    return first[back]
+
+
+def linked(sketches: np.ndarray, root: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """One group's components: the root of each place after the sure links, and whether the sketch leaves a pair of the place open.
+
+    Every pair counts that isn't connected yet: no bound on fingerprints holds for all
+    pairs at a similarity.
     """
-    n = len(sketches)
-    root, left = np.arange(n), np.arange(n)
-    while len(left):
-        leader, left = left[0], left[1:]
-        stack = [leader]
-        while stack and len(left):
-            near = (sketches[left] == sketches[stack.pop()]).mean(axis=1) >= similarity
-            root[left[near]] = leader
-            stack += left[near].tolist()
-            left = left[~near]
+    sure, unlike = limits(similarity)
+    root, unsure = root.copy(), np.zeros(len(root), bool)
+    agree = lambda i, others: (sketches[others] == sketches[i]).sum(axis=1)
+    for i in range(len(root)):
+        others = np.flatnonzero(root != root[i])
+        hits = others[agree(i, others) >= sure]
+        if len(hits):
+            _join(root, i, hits)
+    for i in range(len(root)):
+        others = np.flatnonzero(root != root[i])
+        open_ = others[agree(i, others) >= unlike]
+        unsure[open_] = True
+        unsure[i] |= len(open_) > 0
+    return root, unsure
+
+
+def decided(sets: list[np.ndarray], sketches: np.ndarray, root: np.ndarray, similarity: float) -> np.ndarray:
+    """The roots after every open pair is decided by its sets of shingles (a pair that is connected by then needs no look)."""
+    root, unlike = root.copy(), limits(similarity)[1]
+    for i in range(len(root)):
+        others = np.flatnonzero(root != root[i])
+        for j in others[(sketches[others] == sketches[i]).sum(axis=1) >= unlike].tolist():
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if root[i] != root[j] and small / max(1, large) >= similarity:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both / (small + large - both) >= similarity:
+                    _join(root, i, np.array([j]))
     return root
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and ``component_id`` of every row: near copies on five-word shingles, linked over others too.
+def _groups(table: pa.Table, names: tuple[str, ...]):
+    """Places of each group of rows that are alike in ``names`` (longs), if it has two rows or more."""
+    cols = [table.column(c).to_numpy() for c in names]
+    order = np.lexsort(cols)
+    new = np.zeros(max(0, len(order) - 1), bool)
+    for c in cols:
+        new |= np.diff(c[order]) != 0
+    return [g for g in np.split(order, np.flatnonzero(new) + 1) if len(g) > 1]
+
+
+def _sketches(table: pa.Table, group: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sketch").take(pa.array(group)).to_pylist()), np.uint8).reshape(len(group), SKETCH)
+
+
+def _with_labels(df: DataFrame, found: DataFrame) -> DataFrame:
+    named = found.select(F.col("id").alias("node"), "component")
+    return df.join(named, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
-    Rows with the same words are one text from the start. The others are dealt by
-    bands and compared by sketch (a byte agrees by chance in 1 of 256, and
-    its error is about 0.035). Wordless rows (null too) are alike.
-    Null ids count as larger than any id; empty table: no rows.
-    """
-    rows = written(_signed(docs, id_col, text_col))
-    texts = written(rows.groupBy("words").agg(F.min(F.coalesce("id", F.lit((1 << 63) - 1))).alias("node"), F.first(F.struct("code", "sketch", "keys")).alias("s")))
-    n = texts.count()
-    shards = max(1, n * BANDS // 50_000)
-    dealt = texts.select("node", "s.code", "s.sketch", F.explode("s.keys").alias("key")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    least = similarity - (1 - similarity) * 0.15  # half a deviation of the estimate below
+
+UNIT = ("key",)
+
+
+def _sweep(dealt: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Links (``b`` set) and open rows (``b`` null: ``a`` has an undecided pair in the unit) of rows with a ``label``, unit by unit."""
+    shard = F.pmod(F.xxhash64(*UNIT), F.lit(max(1, n // 50_000)))
+
+    def run(table: pa.Table) -> pa.Table:
+        node, label = table.column("node").to_pylist(), table.column("label").to_pylist()
+        unit, a, b = [], [], []
+        for group in _groups(table, UNIT):
+            before = first_of(np.array([label[i] for i in group.tolist()], object))
+            root, unsure = linked(_sketches(table, group), before, similarity)
+            for k in np.flatnonzero((root != before) & (before == np.arange(len(group)))).tolist():
+                unit.append(group[k]), a.append(node[group[k]]), b.append(node[group[root[k]]])
+            for k in np.flatnonzero(unsure).tolist():
+                unit.append(group[k]), a.append(node[group[k]]), b.append(None)
+        cols = {c: table.column(c).take(pa.array(unit, pa.int64())) for c in UNIT}
+        return pa.table(cols | {"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    out = dealt.select(shard.alias("shard"), *UNIT, "node", "label", "sketch").groupBy("shard")
+    return written(out.applyInArrow(run, ", ".join(f"{c} long" for c in UNIT) + ", a binary, b binary"))
+
+
+def _decide(open_: DataFrame, texts: DataFrame, found: DataFrame, docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Links (``a``, ``b``) among the open rows of each unit, by their sets of shingles. Only texts with an open pair are read again."""
+    rows = _with_labels(open_.withColumnRenamed("a", "node"), found)
+    several = rows.groupBy(*UNIT).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*UNIT)
+    rows = written(rows.join(several, list(UNIT), "left_semi"))
+    own = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "s.sketch", F.col("own.id").alias("own_id"), F.col("own.hash").alias("own_hash"))
+
+    def shingled(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, WORDS)).tobytes() for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["node", "sketch", "shingles"])
+
+    named = _named(docs, id_col, text_col)
+    on = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash"))
+    # rows alike in id and text are one text
+    sets = written(own.join(named, on).select("node", "sketch", "text").mapInArrow(shingled, "node binary, sketch binary, shingles binary").dropDuplicates(["node"]))
+    shard = F.pmod(F.xxhash64(*UNIT), F.lit(max(1, rows.count() // 2_000)))
 
     def run(table: pa.Table) -> pa.Table:
-        key, code, node = (table.column(c).to_numpy() for c in ("key", "code", "node"))
-        code = code.view(_U)
-        order = np.lexsort((gray_rank(code), key))
-        cuts = np.flatnonzero(np.diff(key[order])) + 1
-        sketches = table.column("sketch").to_pylist()
+        node, label, shingles = (table.column(c).to_pylist() for c in ("node", "label", "shingles"))
         a, b = [], []
-        for group in np.split(order, cuts):
-            if len(group) > 1:
-                own = np.frombuffer(b"".join([sketches[i] for i in group.tolist()]), np.uint8).reshape(len(group), SKETCH)
-                root = linked(own, least)
-                hit = np.flatnonzero(root != np.arange(len(group)))
-                a += node[group[hit]].tolist()
-                b += node[group[root[hit]]].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        for group in _groups(table, UNIT):
+            before = first_of(np.array([label[i] for i in group.tolist()], object))
+            root = decided([np.frombuffer(shingles[i], _U) for i in group.tolist()], _sketches(table, group), before, similarity)
+            for k in np.flatnonzero((root != before) & (before == np.arange(len(group)))).tolist():
+                a.append(node[group[k]]), b.append(node[group[root[k]]])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    dealt = rows.join(sets, "node").select(shard.alias("shard"), *UNIT, "node", "label", "sketch", "shingles")
+    return written(dealt.groupBy("shard").applyInArrow(run, "a binary, b binary"))
 
-    found = components(written(dealt.groupBy("shard").applyInArrow(run, "a long, b long").distinct()), "a", "b")
-    named = texts.select("words", "node").join(found, F.col("node") == F.col("id"), "left").select("words", F.coalesce("component", "node").alias("component_id"))
-    return rows.select("id", "words").join(named, "words").select("id", F.when(F.col("component_id") < (1 << 63) - 1, F.col("component_id")).alias("component_id"))
+
+def _copies(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``hash`` and ``root`` (a hash of words that names the group of near copies) of every row."""
+    rows = written(_signed(docs, id_col, text_col))
+    own = F.struct(F.col("id").isNull().alias("last"), "id", "hash")
+    texts = written(rows.groupBy(F.col("words").alias("node")).agg(F.min(own).alias("own"), F.first(F.struct("code", "sketch", "keys")).alias("s")))
+    n = texts.count() * BANDS
+    dealt = texts.select("node", F.col("node").alias("label"), "s.sketch", F.explode("s.keys").alias("key"))
+    out = _sweep(dealt, n, similarity)
+    edges = out.where("b is not null").select("a", "b")
+    found = components(edges, "a", "b")
+    open_ = out.where("b is null").drop("b")
+    if not open_.isEmpty():
+        edges = edges.union(_decide(open_, texts, found, docs, similarity, id_col, text_col))
+        found = components(edges, "a", "b")
+    roots = _with_labels(texts.select("node"), found).select(F.col("node").alias("words"), F.col("label").alias("root"))
+    return rows.select("id", "hash", "words").join(roots, "words").select("id", "hash", "root")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id`` and ``component_id`` (its smallest id) of every row: near copies on five-word shingles, linked over others too.
+
+    Rows with the same words are one text from the start. The others are dealt by
+    bands; of the pairs that meet, a sketch decides those far from the similarity and
+    the sets of shingles all others. Wordless rows (null too) are alike. ``component_id``
+    is null where no row of the group has an id; empty table: no rows.
+    """
+    rows = written(_copies(docs, similarity, id_col, text_col))
+    return rows.join(rows.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the near copies of a smaller id: one row of each group stays (of rows that share the id, one)."""
-    kept = near_copies(docs, similarity, id_col, text_col).select(F.col("component_id").alias("kept_id")).distinct()
-    on = F.col(id_col).eqNullSafe(F.col("kept_id"))
-    return docs.join(kept, on, "left_semi").dropDuplicates([id_col])
+    """``docs`` without the near copies of a smaller id: one row of each group stays, also where ids are null or shared."""
+    rows = _copies(docs, similarity, id_col, text_col)
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "hash"))  # rows without an id come last
+    kept = rows.groupBy("root").agg(least.alias("k")).select(F.col("k.id").alias("kept_id"), F.col("k.hash").alias("kept_hash"))
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    on = F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col("_hash") == F.col("kept_hash"))
+    return hashed.join(kept, on, "left_semi").dropDuplicates([id_col, "_hash"]).drop("_hash")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
