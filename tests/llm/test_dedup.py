@@ -192,6 +192,41 @@ def test_near_copies_without_or_with_shared_ids(make, vocabulary):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept) == sorted([(True, 0, texts[0]), (False, 5, texts[1]), *[(False, 7, t) for t in texts[2:5]], (False, 3, texts[5])])
 
 
+@pytest.mark.parametrize("most", [2, 5])
+def test_hot_groups_in_blocks(spark, make, vocabulary, most):
+    rng = random.Random(12)
+    codes = [0]
+    for _ in range(60):
+        codes.append(codes[rng.randrange(len(codes))] ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(3, 7))))
+    codes = list(dict.fromkeys(codes))
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    links = simhash.links(spark.createDataFrame([(c,) for c in signed], "code long"), 4, most).collect()
+    at = {c: i for i, c in enumerate(signed)}
+    pairs = {frozenset((at[r.a], at[r.b])) for r in links}
+    near = lambda i, j: (codes[i] ^ codes[j]).bit_count() <= 4
+    assert least_reachable(len(codes), lambda i, j: {i, j} in pairs) == least_reachable(len(codes), near)
+
+    words = rng.choices(vocabulary, k=150)
+    texts = []
+    for edits in [1] * 12 + [4] * 12 + [6] * 12:  # one family: near each other, at the threshold, beyond
+        other = list(words)
+        for at_ in rng.sample(range(8, 140, 6), edits):
+            other[at_] = f"altered{len(texts)}"
+        texts.append(" ".join(other))
+    s = [shingles(t) for t in texts]
+    want = least_reachable(len(texts), lambda i, j: len(s[i] & s[j]) / len(s[i] | s[j]) >= 0.8)
+    got = dict(simhash.near_copies(make(texts), most=most).select("id", "component_id").collect())
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_roots_equal_brute_force_without_pairs():
+    rng = np.random.default_rng(4)
+    codes = np.unique(np.uint64(1 << 40) ^ np.bitwise_or(np.uint64(1) << rng.integers(0, 12, 300, np.uint64), np.uint64(1) << rng.integers(0, 12, 300, np.uint64)))
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    got = simhash.local_roots(codes, np.zeros(len(codes), np.int64), 1, step=7)
+    assert got.tolist() == least_reachable(len(codes), lambda i, j: int(codes[i] ^ codes[j]).bit_count() <= 1)
+
+
 def test_query_hash_form(spark, sf):
     r = suffix_dedup.query(spark, sf).where("n_removed = 0").first()
     text = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("doc_id") == r.doc_id).first().text

@@ -16,6 +16,7 @@ code, to the root of its local component, never all pairs.
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import combinations
 from math import comb
 
@@ -30,6 +31,8 @@ from tilewright.llm.common import written
 from tilewright.operators.graph import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
+#: Codes of one group in a task; a larger group is cut into blocks.
+MOST_CODES = 1 << 15
 _U = np.uint64
 _FAN = 8
 
@@ -105,19 +108,21 @@ def _levels(codes: np.ndarray, group: np.ndarray) -> list[dict]:
         owner = owner[head]
 
 
-def local_links(codes: np.ndarray, group: np.ndarray, max_bits: int, step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (places in ``codes``) that connect what is within ``max_bits`` in one group. Sorted by (group, Gray rank)."""
+def local_roots(codes: np.ndarray, group: np.ndarray, max_bits: int, step: int = 2048) -> np.ndarray:
+    """The least place of the component of each place, over what is within ``max_bits`` in one group. Sorted by (group, Gray rank).
+
+    The pairs of a step go into the roots at once; none are kept.
+    """
     levels = _levels(codes, group)
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    root = np.arange(len(codes))
     for level in levels[1:2]:  # a lowest node with so few free bits: all its codes are within reach of each other
         for s in range(1, _FAN):
             near = np.flatnonzero((level["free"] <= max_bits) & (level["end"] - level["start"] > s))
-            a.append(level["start"][near])
-            b.append(level["start"][near] + s)
-    roots = np.repeat(np.arange(len(levels[-1]["start"])), levels[-1]["end"] - levels[-1]["start"])
+            root = united(root, level["start"][near], level["start"][near] + s)
+    tops = np.repeat(np.arange(len(levels[-1]["start"])), levels[-1]["end"] - levels[-1]["start"])
     for i in range(0, len(codes), step):
         query = np.arange(i, min(i + step, len(codes)))
-        node = roots[query]
+        node = tops[query]
         for depth in range(len(levels) - 1, -1, -1):
             level = levels[depth]
             ahead = level["end"][node] > query + 1
@@ -125,15 +130,14 @@ def local_links(codes: np.ndarray, group: np.ndarray, max_bits: int, step: int =
             apart = np.bitwise_count((codes[query] ^ level["pattern"][node]) & level["mask"][node]).astype(np.int64)
             near = apart <= max_bits
             taken = near & (apart + level["free"][node] <= max_bits) if depth < 2 else np.zeros(len(near), bool)
-            a.append(query[taken])
-            b.append(level["end"][node[taken]] - 1)
+            root = united(root, query[taken], level["end"][node[taken]] - 1)
             near &= ~taken
             query, node = query[near], node[near]
             if depth:
                 width = level["last"][node] - level["first"][node]
                 query = np.repeat(query, width)
                 node = np.arange(len(query)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(level["first"][node], width)
-    return np.concatenate(a), np.concatenate(b)
+    return root
 
 
 def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -150,6 +154,18 @@ def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` (the least member of each place's component) after the pairs are joined."""
+    a, b = root[a], root[b]
+    a, b = a[a != b], b[a != b]
+    if not len(a):
+        return root
+    ends, back = np.unique(np.append(a, b), return_inverse=True)
+    new = np.arange(len(root))
+    new[ends] = ends[roots_of(len(ends), back[: len(a)], back[len(a) :])]
+    return new[root]
+
+
 def block_choices(n: int, max_bits: int) -> list[int]:
     """Masks: one for each choice of blocks on which two fingerprints may agree. More blocks for more fingerprints."""
     blocks = max_bits + 1
@@ -160,22 +176,33 @@ def block_choices(n: int, max_bits: int) -> list[int]:
     return [sum(c) for c in combinations(parts, blocks - max_bits)]
 
 
-def links(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (``a``, ``b``) that connect the distinct ``code``s (long) within ``max_bits``."""
+def links(codes: DataFrame, max_bits: int = MAX_BITS, most: int = MOST_CODES) -> DataFrame:
+    """Links (``a``, ``b``) that connect the distinct ``code``s (long) within ``max_bits``.
+
+    A group of over ``most`` codes is cut into blocks, and each two of its blocks
+    meet in a task of their own, so every pair still does.
+    """
     n = codes.count()
     masks = block_choices(n, max_bits)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     shards = max(1, n * len(masks) // 65536)
     keys = codes.select("code", F.posexplode(F.array(*[F.col("code").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "part"))
-    keyed = keys.withColumn("shard", F.pmod(F.xxhash64("choice", "part"), F.lit(shards)))
+    hot = written(keys.groupBy("choice", "part").count().where(F.col("count") > most).select("choice", "part", F.ceil(F.col("count") * 2 / most).cast("int").alias("cuts")))
+    keyed = keys.withColumn("pair", F.lit(0).cast("long"))
+    if not hot.isEmpty():
+        block = F.pmod(F.xxhash64("code"), F.col("cuts")).cast("long")
+        others = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.least(block, o.cast("long")) * F.col("cuts") + F.greatest(block, o.cast("long")))
+        pairs = F.when(F.col("cuts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)
+        keyed = keys.join(F.broadcast(hot), ["choice", "part"], "left").select("choice", "part", "code", F.explode(pairs).alias("pair"))  # few keys are hot
+    keyed = keyed.withColumn("shard", F.pmod(F.xxhash64("choice", "part", "pair"), F.lit(shards)))
 
     def run(table: pa.Table) -> pa.Table:
         code = table.column("code").to_numpy().view(_U)
-        choice, part = table.column("choice").to_numpy(), table.column("part").to_numpy()
-        order = np.lexsort((gray_rank(code), part, choice))
-        code, choice, part = code[order], choice[order], part[order]
-        group = np.cumsum(np.append(False, (choice[1:] != choice[:-1]) | (part[1:] != part[:-1])))
-        root = roots_of(len(code), *local_links(code, group, max_bits))
+        choice, part, pair = (table.column(c).to_numpy() for c in ("choice", "part", "pair"))
+        order = np.lexsort((gray_rank(code), pair, part, choice))
+        code, choice, part, pair = code[order], choice[order], part[order], pair[order]
+        group = np.cumsum(np.append(False, (choice[1:] != choice[:-1]) | (part[1:] != part[:-1]) | (pair[1:] != pair[:-1])))
+        root = local_roots(code, group, max_bits)
         own = np.flatnonzero(root != np.arange(len(code)))
         pairs = np.unique(np.stack([code[own], code[root[own]]], axis=1), axis=0).view(np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -213,6 +240,8 @@ SIMILARITY, WORDS = 0.8, 5
 BANDS, SKETCH = 10, 128
 #: The sketch decides alone where it is wrong with less than this probability, for any pair; else the sets do.
 ODDS = 1e-6
+#: Texts of one band key in a task; a larger group is cut into blocks.
+MOST_TEXTS = 2048
 
 
 def signature(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -256,6 +285,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
+@cache
 def limits(similarity: float) -> tuple[int, int]:
     """Agreeing bytes of a sketch from which a pair is surely alike, and below which it surely isn't (each wrong below ODDS)."""
     chance = lambda p: [comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k) for k in range(SKETCH + 1)]
@@ -331,7 +361,8 @@ def _with_labels(df: DataFrame, found: DataFrame) -> DataFrame:
     return df.join(named, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
 
-UNIT = ("key",)
+#: What meets in one task: a band key's texts, or of a hot key a block, or two blocks.
+UNIT = ("key", "block", "other")
 
 
 def _sweep(dealt: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -355,6 +386,23 @@ def _sweep(dealt: DataFrame, n: int, similarity: float) -> DataFrame:
     return written(out.applyInArrow(run, ", ".join(f"{c} long" for c in UNIT) + ", a binary, b binary"))
 
 
+def _blocks(dealt: DataFrame, hot: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """Units for the pairs of a hot key that lie in different blocks and aren't connected yet.
+
+    Texts of the key's largest component need no comparison among themselves: every
+    text meets the blocks of all other texts, and these meet the blocks of all.
+    """
+    rows = written(_with_labels(dealt.join(F.broadcast(hot), "key").drop("label"), found))
+    per = rows.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), (F.sum("count") - F.max("count")).alias("rest")).where("rest > 0")
+    rows = rows.join(per, "key").withColumn("parts", F.ceil(F.col("rest") / most).cast("int"))
+    at = F.pmod(F.xxhash64("node", F.lit(1)), F.col("cuts")).cast("long")
+    as_any = rows.withColumn("block", at).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+    own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("long")
+    as_rest = rows.where(~(F.col("label") == F.col("main"))).withColumn("other", own).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1)))
+    cols = [*UNIT, "node", "label", "sketch"]
+    return as_any.select(*cols).union(as_rest.select(*cols)).dropDuplicates([*UNIT, "node"])
+
+
 def _decide(open_: DataFrame, texts: DataFrame, found: DataFrame, docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """Links (``a``, ``b``) among the open rows of each unit, by their sets of shingles. Only texts with an open pair are read again."""
     rows = _with_labels(open_.withColumnRenamed("a", "node"), found)
@@ -387,16 +435,30 @@ def _decide(open_: DataFrame, texts: DataFrame, found: DataFrame, docs: DataFram
     return written(dealt.groupBy("shard").applyInArrow(run, "a binary, b binary"))
 
 
-def _copies(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``hash`` and ``root`` (a hash of words that names the group of near copies) of every row."""
+def _copies(docs: DataFrame, similarity: float, id_col: str, text_col: str, most: int = MOST_TEXTS) -> DataFrame:
+    """``id``, ``hash`` and ``root`` (a hash of words that names the group of near copies) of every row.
+
+    A key of over ``most`` texts is cut into blocks, each linked inside; then, in a
+    further round, blocks meet blocks for what isn't connected by that time.
+    """
     rows = written(_signed(docs, id_col, text_col))
     own = F.struct(F.col("id").isNull().alias("last"), "id", "hash")
     texts = written(rows.groupBy(F.col("words").alias("node")).agg(F.min(own).alias("own"), F.first(F.struct("code", "sketch", "keys")).alias("s")))
     n = texts.count() * BANDS
     dealt = texts.select("node", F.col("node").alias("label"), "s.sketch", F.explode("s.keys").alias("key"))
-    out = _sweep(dealt, n, similarity)
+    hot = written(texts.select(F.explode("s.keys").alias("key")).groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("cuts")))
+    has_hot = not hot.isEmpty()
+    units = dealt.withColumns({"block": F.lit(0).cast("long"), "other": F.lit(-1).cast("long")})
+    if has_hot:
+        block = F.pmod(F.xxhash64("node", "key"), F.coalesce("cuts", F.lit(1))).cast("long")  # other blocks for every key, so that keys connect blocks
+        units = dealt.join(F.broadcast(hot), "key", "left").withColumns({"block": block, "other": F.lit(-1).cast("long")})  # few keys are hot
+    out = _sweep(units, n, similarity)
     edges = out.where("b is not null").select("a", "b")
     found = components(edges, "a", "b")
+    if has_hot:
+        out = out.union(_sweep(_blocks(dealt, hot, found, most), n, similarity))
+        edges = out.where("b is not null").select("a", "b")
+        found = components(edges, "a", "b")
     open_ = out.where("b is null").drop("b")
     if not open_.isEmpty():
         edges = edges.union(_decide(open_, texts, found, docs, similarity, id_col, text_col))
@@ -405,7 +467,7 @@ def _copies(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> D
     return rows.select("id", "hash", "words").join(roots, "words").select("id", "hash", "root")
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_TEXTS) -> DataFrame:
     """``id`` and ``component_id`` (its smallest id) of every row: near copies on five-word shingles, linked over others too.
 
     Rows with the same words are one text from the start. The others are dealt by
@@ -413,7 +475,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     the sets of shingles all others. Wordless rows (null too) are alike. ``component_id``
     is null where no row of the group has an id; empty table: no rows.
     """
-    rows = written(_copies(docs, similarity, id_col, text_col))
+    rows = written(_copies(docs, similarity, id_col, text_col, most))
     return rows.join(rows.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
 
 
