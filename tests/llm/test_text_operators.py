@@ -40,6 +40,15 @@ def test_bpe_of_an_empty_table(make):
     assert byte_bpe.encode(make([]))[0].count() == 0
 
 
+def test_multiset_likeness_of_long_repeats(spark):
+    line = "one line of boilerplate\n"
+    for times, other in ((10_000, 7_500), (20_000, 15_000)):
+        rows = spark.createDataFrame([(line * times, line * other + "another line\n" * 5)], "a string, b string")
+        sums = rows.select(multiset_hash.lanes(F.col("a")).alias("a"), multiset_hash.lanes(F.col("b")).alias("b")).persist()
+        r = sums.select(multiset_hash.likeness(F.col("a"), F.col("b")).alias("near")).first()
+        assert r.near > 0.99
+
+
 def test_multiset_is_a_homomorphism(spark):
     a, b = "the red fox.\nran on\n\nand on", "another line, here\nran on"
     m = spark.range(1).select(*[multiset_hash.lanes(F.lit(t)).alias(n) for n, t in (("a", a), ("b", b), ("ab", a + "\n" + b), ("ba", b + "\n" + a))])

@@ -6,9 +6,9 @@ of paragraphs doesn't matter, and a paragraph is put in or taken out by adding o
 subtracting its vector (``plus``, ``minus``) without the rest of the text.
 
 Lanes: ``STRONG`` sums modulo 2**32 of seeded hashes of the whole paragraph, for
-equality; then, for likeness, ``WORDS`` longs of four sums modulo 2**14 each, which
-count how many of the paragraph's phrases have a given hash bit; last the number
-of phrases modulo 2**14. Centred on half the phrases, the counts of two texts have
+equality; then, for likeness, ``WORDS`` longs of two sums modulo 2**30 each (more
+than a text has phrases), which count how many of the paragraph's phrases have a
+given hash bit; last the number of phrases modulo 2**32. Centred on half the phrases, the counts of two texts have
 about the cosine of their phrase counts (error about 1/8 with 64 counts).
 """
 
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import written
 
-STRONG, WORDS = 8, 16
+STRONG, WORDS = 8, 32
 MOD32 = (1 << 32) - 1
-ONES = 0x0001000100010001
-MOD14 = 0x3FFF3FFF3FFF3FFF
+ONES = 0x0000000100000001
+MOD30 = 0x3FFFFFFF3FFFFFFF
 #: A phrase ends at a line's end, or at spaces after one of these letters or signs.
 PHRASE_END = r"(?<=[en.,;:!?])[ \t]+|\n+"
 
@@ -39,12 +39,12 @@ def lanes(text: Column) -> Column:
     strong = F.aggregate(full(F.split(text, "\n")), _zeros(STRONG), lambda acc, p: F.transform(acc, lambda a, k: (a + F.xxhash64(k, p).bitwiseAND(F.lit(MOD32))).bitwiseAND(F.lit(MOD32))))
     hashes = F.transform(full(F.split(text, PHRASE_END)), lambda p: F.xxhash64(p))
     bit = lambda h, k: F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(ONES))
-    light = F.aggregate(hashes, F.array_append(_zeros(WORDS), F.lit(0).cast("long")), lambda acc, h: F.transform(acc, lambda a, k: (a + F.when(k < WORDS, bit(h, k)).otherwise(F.lit(1).cast("long"))).bitwiseAND(F.lit(MOD14))))
+    light = F.aggregate(hashes, F.array_append(_zeros(WORDS), F.lit(0).cast("long")), lambda acc, h: F.transform(acc, lambda a, k: (a + F.when(k < WORDS, bit(h, k)).otherwise(F.lit(1).cast("long"))).bitwiseAND(F.lit(MOD30))))
     return F.concat(strong, light)
 
 
 def _lane_wise(a: Column, b: Column, op) -> Column:
-    mask = F.concat(F.array_repeat(F.lit(MOD32), STRONG), F.array_repeat(F.lit(MOD14), WORDS + 1))
+    mask = F.concat(F.array_repeat(F.lit(MOD32), STRONG), F.array_repeat(F.lit(MOD30), WORDS), F.array(F.lit(MOD32)))
     return F.zip_with(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), mask, lambda p, m: op(p["x"], p["y"], m))
 
 
@@ -55,10 +55,10 @@ def plus(a: Column, b: Column) -> Column:
 
 def minus(a: Column, b: Column) -> Column:
     """The fingerprint after the paragraphs of ``b`` are taken out of ``a``."""
-    guard = F.lit(ONES << 14)  # a bit above each of the four sums, so that none borrows from the next
+    guard = F.lit(ONES << 30)  # a bit above each of the two sums, so that none borrows from the next
 
     def op(x, y, m):
-        return F.when(m == F.lit(MOD32), (x - y).bitwiseAND(F.lit(MOD32))).otherwise((x + guard - y).bitwiseAND(F.lit(MOD14)))
+        return F.when(m == F.lit(MOD32), (x - y).bitwiseAND(F.lit(MOD32))).otherwise((x + guard - y).bitwiseAND(F.lit(MOD30)))
 
     return _lane_wise(a, b, op)
 
@@ -69,10 +69,10 @@ def text_form(lane: Column) -> Column:
 
 
 def _centred(lane: Column) -> Column:
-    """2 * count - phrases of each of the 64 counts, the signed rest modulo 2**14."""
-    n = F.element_at(lane, -1).bitwiseAND(F.lit(0x3FFF))
-    counts = F.flatten(F.transform(F.slice(lane, STRONG + 1, WORDS), lambda x: F.array(*[F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(0x3FFF)) for i in range(4)])))
-    return F.transform(counts, lambda c: (F.pmod(2 * c - n + 8192, F.lit(16384)) - 8192).cast("double"))
+    """2 * count - phrases of each of the 64 counts."""
+    n = F.element_at(lane, -1)
+    counts = F.flatten(F.transform(F.slice(lane, STRONG + 1, WORDS), lambda x: F.array(*[F.shiftrightunsigned(x, 32 * i).bitwiseAND(F.lit((1 << 30) - 1)) for i in range(2)])))
+    return F.transform(counts, lambda c: (2 * c - n).cast("double"))
 
 
 def likeness(a: Column, b: Column) -> Column:
