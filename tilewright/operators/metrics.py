@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tilewright.operators.prefix import small_running
+from tilewright.operators.prefix import running
 
 
 def join_predictions(truth: DataFrame, predictions: DataFrame, key: str, check: bool = True) -> DataFrame:
@@ -27,7 +29,7 @@ def histogram(df: DataFrame, y: str = "y_true", score: str = "score", by: tuple[
 
 def auroc(df: DataFrame, y: str = "y_true", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve, ties counted half; NULL where a class is absent."""
-    run = small_running(histogram(df, y, score, by), score, ["neg"], by)
+    run = running(histogram(df, y, score, by), score, ["neg"], by)
     part = F.col("pos") * (F.col("cum_neg") - F.col("neg") / F.lit(2.0))
     return run.groupBy(*by).agg(F.try_divide(F.sum(part), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auroc"))
 
@@ -46,31 +48,35 @@ def auroc_by_class(df: DataFrame, proba: str = "proba", y: str = "y_true") -> Da
 
 
 def _descending(df, y, score, by):
-    h = small_running(histogram(df, y, score, by), F.col(score).desc(), ["pos", "neg"], by)
-    whole = W.partitionBy(*by)
-    return h.withColumns({"P": F.sum("pos").over(whole), "N": F.sum("neg").over(whole)})
+    """Counts of each distinct score with those at or above it, and of all (``_P``, ``_N``)."""
+    h = running(histogram(df, y, score, by), score, ["pos", "neg"], by, reverse=True)
+    whole = h.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    if not by:
+        return h.join(F.broadcast(whole))  # one row
+    whole = whole.select(*[F.col(c).alias(f"_w_{c}") for c in by], "_P", "_N")
+    return h.join(whole, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in by]))
 
 
 def roc_curve(df: DataFrame, y: str = "y_true", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """``threshold, fpr, tpr`` per distinct score, descending."""
     h = _descending(df, y, score, by)
-    return h.select(*by, F.col(score).alias("threshold"), F.try_divide("cum_neg", "N").alias("fpr"), F.try_divide("cum_pos", "P").alias("tpr"))
+    return h.select(*by, F.col(score).alias("threshold"), F.try_divide("cum_neg", "_N").alias("fpr"), F.try_divide("cum_pos", "_P").alias("tpr"))
 
 
 def pr_curve(df: DataFrame, y: str = "y_true", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """``threshold, precision, recall`` per distinct score, and the end point (recall 0, precision 1, threshold NULL)."""
     h = _descending(df, y, score, by)
-    curve = h.select(*by, F.col(score).cast("double").alias("threshold"), (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"), F.try_divide("cum_pos", "P").alias("recall"))
+    curve = h.select(*by, F.col(score).cast("double").alias("threshold"), (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"), F.try_divide("cum_pos", "_P").alias("recall"))
     end = (h.select(*by).distinct() if by else h.sparkSession.range(1).select()).select(*by, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return curve.unionByName(end)
 
 
 def auprc(df: DataFrame, y: str = "y_true", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """Trapezoids under the precision-recall curve, closed at (0, 1)."""
-    h = _descending(df, y, score, by).withColumn("precision", F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).withColumn("recall", F.try_divide("cum_pos", "P"))
-    w = W.partitionBy(*by).orderBy(F.col(score).desc())
-    area = (F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))) * (F.col("precision") + F.coalesce(F.lag("precision").over(w), F.lit(1.0))) / 2
-    return h.withColumn("_a", area).groupBy(*by).agg(F.sum("_a").alias("auprc"))
+    pos, neg = F.col("cum_pos"), F.col("cum_neg")
+    last_pos, last_neg = pos - F.col("pos"), neg - F.col("neg")  # at the score before
+    height = pos / (pos + neg) + F.coalesce(F.try_divide(last_pos, last_pos + last_neg), F.lit(1.0))
+    return _descending(df, y, score, by).groupBy(*by).agg(F.sum(F.try_divide("pos", "_P") * height / 2).alias("auprc"))
 
 
 def confusion(df: DataFrame, y: str = "y_true", yhat: str = "y_pred", normalize: bool = False) -> DataFrame:

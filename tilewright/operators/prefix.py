@@ -1,36 +1,69 @@
-"""Running sums over a global order without a single partition."""
+"""Running folds, places and percentiles over a global order without a single partition."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.plans.lineage import written
 
+#: The fold of a range's rows, how two folds combine, and the fold of nothing.
+FOLDS = {"sum": (F.sum, lambda a, b: a + b, 0), "product": (F.product, lambda a, b: a * b, 1.0), "min": (F.min, F.least, float("inf"))}
 
-def running_sum(df: DataFrame, order: str, values: list[str], by: tuple[str, ...] = (), reverse: bool = False, prefix: str = "cum_") -> DataFrame:
-    """``cum_<value>`` of each row, with all rows of the same order value included.
 
-    Rows are dealt by ranges of (by, order) and written, so that the number of a
-    range is fixed; each range sums its own rows and adds the totals of the
-    ranges before it, a row for each range and ``by`` value.
-    """
+def _ranged(df: DataFrame, order: str, by: tuple[str, ...], reverse: bool) -> DataFrame:
+    """``df`` dealt by ranges of (by, order) and written, so that the number of a range (``_part``) is fixed."""
     key = F.col(order).desc() if reverse else F.col(order).asc()
-    dealt = written(df.repartitionByRange(*[F.col(c) for c in by], key).withColumn("_part", F.spark_partition_id()))
-    step = W.partitionBy(*by, "_part").orderBy(key).rangeBetween(W.unboundedPreceding, 0) if len(by) == 0 else W.partitionBy(*by, "_part").orderBy(key)
-    totals = dealt.groupBy(*by, "_part").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    return written(df.repartitionByRange(*[F.col(c) for c in by], key).withColumn("_part", F.spark_partition_id()))
+
+
+def _offsets(dealt: DataFrame, by: tuple[str, ...], folds: list) -> DataFrame:
+    """``dealt`` with ``_o_<name>``: the fold of the ranges before, of the same ``by``. A row for each range and ``by`` value is joined."""
+    totals = dealt.groupBy(*by, "_part").agg(*[fold(value).alias(f"_t_{name}") for name, value, fold, _, _ in folds])
     before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_part").alias("_p"), *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values])
-    on = F.col("_part") == F.col("_p")
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-    own = dealt.withColumns({f"_s_{v}": F.sum(v).over(step) for v in values})
-    out = own.join(offsets, on).withColumns({prefix + v: F.col(f"_s_{v}") + F.col(f"_o_{v}") for v in values})
-    return out.select(*df.columns, *[prefix + v for v in values])
-
-
-def small_running(df: DataFrame, order, values: list[str], by: tuple[str, ...] = (), prefix: str = "cum_") -> DataFrame:
-    """The plain window: for rows already collapsed to distinct order values (a bounded number)."""
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumns({prefix + v: F.sum(v).over(w) for v in values})
+    offsets = totals.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_part").alias("_p"), *[F.coalesce(fold(f"_t_{name}").over(before), F.lit(empty)).alias(f"_o_{name}") for name, _, fold, _, empty in folds])
+    return dealt.join(offsets, reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_b_{c}")), by, F.col("_part") == F.col("_p")))
+
+
+def running(df: DataFrame, order: str, values: list[str], by: tuple[str, ...] = (), reverse: bool = False, prefix: str = "cum_", fold: str = "sum") -> DataFrame:
+    """``cum_<value>`` of each row: the fold of the rows up to and with its order value, within ``by``.
+
+    Each range folds its own rows and combines the folds of the ranges before it, so
+    neither an order without ``by`` nor a ``by`` value with most rows is in one task.
+    """
+    make, combine, empty = FOLDS[fold]
+    key = F.col(order).desc() if reverse else F.col(order).asc()
+    own = W.partitionBy(*by, "_part").orderBy(key).rangeBetween(W.unboundedPreceding, W.currentRow)
+    out = _offsets(_ranged(df, order, by, reverse), by, [(v, F.col(v), make, combine, empty) for v in values])
+    return out.withColumns({f"_s_{v}": make(v).over(own) for v in values}).select(*df.columns, *[combine(F.col(f"_s_{v}"), F.col(f"_o_{v}")).alias(prefix + v) for v in values])
+
+
+def running_sum(df: DataFrame, order: str, values: list[str], by: tuple[str, ...] = (), reverse: bool = False, prefix: str = "cum_") -> DataFrame:
+    """``running`` with sums."""
+    return running(df, order, values, by, reverse, prefix)
+
+
+def numbered(df: DataFrame, key: str, by: tuple[str, ...] = (), name: str = "place") -> DataFrame:
+    """``place`` from 0 in the order of a unique key, within ``by``."""
+    out = _offsets(_ranged(df, key, by, False), by, [("rows", F.lit(1), *FOLDS["sum"])])
+    inside = F.row_number().over(W.partitionBy(*by, "_part").orderBy(key)) - 1
+    return out.withColumn("_i", inside).select(*df.columns, (F.col("_i") + F.col("_o_rows")).alias(name))
+
+
+def percentiles(df: DataFrame, value: str, shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """``by`` and ``p0``, ``p1`` ...: exact percentiles with linear interpolation, from the counts of distinct values. NULL doesn't count."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    run = running(counts, "_v", ["_n"], by)
+    total = run.groupBy(*by).agg(F.max("cum__n").alias("_all"))
+    run = run.join(total, list(by)) if by else run.join(F.broadcast(total))  # one row
+    out = []
+    for i, share in enumerate(shares):
+        at = (F.col("_all") - 1) * F.lit(float(share))
+        first = F.col("cum__n") - F.col("_n")
+        holds = lambda p, first=first: (first <= p) & (p < F.col("cum__n"))
+        low, high = F.max(F.when(holds(F.floor(at)), F.col("_v"))), F.max(F.when(holds(F.ceil(at)), F.col("_v")))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(f"p{i}"))
+    return run.groupBy(*by).agg(*out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.functions.hashing import draw
+from tilewright.operators.prefix import numbered
+from tilewright.plans.lineage import written
 
 
 def replicates(df: DataFrame, n: int) -> DataFrame:
@@ -16,59 +19,60 @@ def replicates(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def dense(df: DataFrame, key: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """``place`` from 0 in the order of a unique key, within ``by``; counted in ranges of the key's hash, so no group is in one task."""
-    bucketed = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(256)).cast("int"))
-    sizes = bucketed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    offsets = sizes.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_b").alias("_ob"), (F.sum("_n").over(W.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_off"))
-    on = F.col("_b") == F.col("_ob")
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    inside = F.row_number().over(W.partitionBy(*by, "_b").orderBy(key)) - 1
-    return bucketed.withColumn("_i", inside).join(offsets, on).withColumn("place", F.col("_i") + F.col("_off")).select(*df.columns, "place")
-
-
-def ranked(df: DataFrame, key: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """``place`` from 0 by a unique key in its own order (for tables small enough for a window)."""
-    return df.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(key)) - 1)
-
-
 def bootstrap_simple(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``replicate`` and the rows of ``df``: as many draws as rows, with replacement. Exact; for large tables use ``poisson``."""
-    numbered = ranked(df, key)
     rows = df.count()
-    draws = df.sparkSession.range(n).select(F.col("id").cast("int").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("j")) if rows else df.sparkSession.createDataFrame([], "replicate int, j int")
-    draws = draws.withColumn("place", F.pmod(draw(seed, "replicate", "j"), F.lit(max(rows, 1))).cast("int"))
-    return draws.join(numbered, "place").drop("place", "j")
-
-
-def bootstrap_stratified(df: DataFrame, key: str, label: str, n: int, seed: int = 42) -> DataFrame:
-    """Per class as many draws as it has rows (at least one): the classes keep their shares."""
-    numbered = ranked(df, key, (label,))
-    sizes = df.groupBy(label).agg(F.count("*").cast("int").alias("m"))
-    draws = sizes.select(F.col(label).alias("_l"), "m", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    draws = draws.withColumn("_p", F.pmod(draw(seed, "_l", "replicate", "j"), F.col("m")).cast("int"))
-    return draws.join(numbered, (F.col("_l").eqNullSafe(F.col(label))) & (F.col("_p") == F.col("place"))).select("replicate", *df.columns)
+    draws = df.sparkSession.range(n * rows).select(F.expr(f"cast(id div {max(rows, 1)} as int)").alias("replicate"), (F.col("id") % max(rows, 1)).alias("_j"))
+    draws = draws.select("replicate", F.pmod(draw(seed, "replicate", "_j"), F.lit(max(rows, 1))).alias("_at"))
+    return draws.join(numbered(df, key, name="_place"), F.col("_at") == F.col("_place")).select(*df.columns, "replicate")
+
+
+def bootstrap_stratified(df: DataFrame, key: str, label: str, n: int, seed: int = 42, n_samples: int | None = None) -> DataFrame:
+    """Per class as many draws as it has rows: the classes keep their shares.
+
+    With ``n_samples`` each class gets max(1, round(share * n_samples)) draws instead,
+    and the classes in order are cut where ``n_samples`` are reached. Each row is a
+    draw of its class (or several, or none), so draws are never listed in one place.
+    """
+    placed = written(numbered(df, key, (label,), "_place"))
+    sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_m")).withColumn("_k", F.col("_m"))
+    if n_samples is not None:  # a row for each class
+        share = F.col("_m") / F.sum("_m").over(W.partitionBy(F.lit(0)))
+        sizes = sizes.withColumn("_k", F.greatest(F.lit(1), F.bround(share * n_samples).cast("long")))
+        before = F.coalesce(F.sum("_k").over(W.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("_l")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        sizes = sizes.withColumn("_k", F.greatest(F.lit(0), F.least(F.col("_k"), F.lit(n_samples) - before)))
+    turns = F.sequence(F.lit(0).cast("long"), F.expr("(_k - _place - 1) div _m"))
+    draws = placed.select(F.col(label).alias("_c"), "_place").join(sizes, F.col("_c").eqNullSafe(F.col("_l"))).where("_place < _k")
+    draws = replicates(draws.withColumn("_turn", F.explode(turns)).withColumn("_j", F.col("_place") + F.col("_turn") * F.col("_m")), n)
+    draws = draws.select("_l", "replicate", F.pmod(draw(seed, "_l", "replicate", "_j"), F.col("_m")).alias("_at"))
+    return draws.join(placed, F.col("_l").eqNullSafe(F.col(label)) & (F.col("_at") == F.col("_place"))).select("replicate", *df.columns)
 
 
 def bootstrap_group(df: DataFrame, group: str, n: int, seed: int = 42) -> DataFrame:
     """Groups drawn with replacement, each with all its rows."""
-    ids = ranked(df.select(group).distinct(), group)
+    ids = written(numbered(df.select(group).distinct(), group, name="_place"))
     m = ids.count()
-    draws = ids.select("place").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.withColumn("place", F.pmod(draw(seed, "replicate", "place"), F.lit(max(m, 1))).cast("int"))
-    return draws.join(ids, "place").select("replicate", group).join(df, group)
+    draws = replicates(ids.select("_place"), n)
+    draws = draws.select("replicate", F.pmod(draw(seed, "replicate", "_place"), F.lit(max(m, 1))).alias("_at"))
+    return draws.join(ids, F.col("_at") == F.col("_place")).select("replicate", group).join(df, group)
+
+
+def poisson_steps(most: int = 11) -> list[float]:
+    """Shares of Poisson draws with mean 1 that are at most 0, 1 ... ``most`` - 1."""
+    term = upto = math.exp(-1)
+    out = [upto]
+    for k in range(1, most):
+        term /= k
+        upto += term
+        out.append(upto)
+    return out
 
 
 def poisson(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``replicate`` and ``weight`` (Poisson with mean 1, from a hash of key and replicate): no join, no shuffle. Rows of weight 0 go."""
     u = (draw(seed, key, "replicate") + 0.5) / F.lit(2.0**32)
-    term, upto, w = 0.36787944117144233, 0.36787944117144233, F.lit(0)
-    for k in range(1, 12):
-        w = w + F.when(u > upto, 1).otherwise(0)
-        term /= k
-        upto += term
-    return replicates(df, n).withColumn("weight", w).where("weight > 0")
+    weight = sum((F.when(u > step, 1).otherwise(0) for step in poisson_steps()), F.lit(0))
+    return replicates(df, n).withColumn("weight", weight).where("weight > 0")
 
 
 def ci(df: DataFrame, value: str, by: tuple[str, ...] = (), low: float = 0.025, high: float = 0.975) -> DataFrame:

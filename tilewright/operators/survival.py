@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Most cells of times x risks that the concordance keeps.
-CELLS = 1 << 26
+from tilewright.operators.prefix import numbered, running
+from tilewright.plans.lineage import written
+
+#: Parts into which each step of the concordance cuts the order of times.
+FAN = 8
 
 
 def cells(df: DataFrame, time: str, event: str, risk: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -16,60 +20,67 @@ def cells(df: DataFrame, time: str, event: str, risk: str | None = None, by: tup
 
 
 def comparable_pairs(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
-    """Pairs of distinct (time, event, risk) cells that can be compared: the first has the event and the shorter time, or the same time against a censored one."""
+    """Pairs of distinct (time, event, risk) cells that can be compared: the first has the event and the shorter time, or the same time against a censored one.
+
+    All pairs by definition, so for tables with few distinct cells; ``c_index`` counts them without listing them.
+    """
     c = cells(df, time, event, risk)
     a, b = c.where("event").alias("a"), c.alias("b")
     later = (F.col("a.time") < F.col("b.time")) | ((F.col("a.time") == F.col("b.time")) & ~F.col("b.event"))
     return a.join(b, later).select(F.col("a.risk").alias("risk_i"), F.col("b.risk").alias("risk_j"), (F.col("a.n") * F.col("b.n")).alias("pairs"))
 
 
-def c_index(df: DataFrame, time: str, event: str, risk: str, most: int = 4096) -> DataFrame:
-    """Harrell's C, ties in risk counted half; 0.5 without comparable pairs.
+def c_index(df: DataFrame, time: str, event: str, risk: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Harrell's C, exact, ties in risk counted half; 0.5 without comparable pairs. Rows with a NULL don't count.
 
-    Counts per (time, event, risk) replace rows. For every event cell the later
-    rows of lower and of equal risk are suffix sums over time of the risk
-    histogram, event times x distinct risks: at most ``most`` risks and at most
-    CELLS cells (beyond that, risks go into equal bins, an approximation).
+    Times in order (of one time, events before censored) get places. Each step cuts
+    the order, or the parts of the step before, into FAN parts. A pair of places is in
+    different parts of one part at just one step, and there the rows of lower and of equal
+    risk are sums over the risks in order, a column for each part. log(places) / log(FAN)
+    steps, each a running sum by ranges; no table of times and risks, no pairs.
     """
-    c = cells(df, time, event, risk)
-    n_times, n_risk = c.where("event").agg(F.count_distinct("time")).first()[0], c.select("risk").distinct().count()
-    most = max(16, min(most, CELLS // max(1, n_times)))
-    if n_risk > most:
-        cut = c.select(F.percentile_approx("risk", F.array(*[F.lit(i / most) for i in range(1, most)]), F.lit(10 * most)).alias("q")).first()["q"]
-        c = c.withColumn("risk", F.width_bucket("risk", F.lit(min(cut)), F.lit(max(cut)), F.lit(most)).cast("double")).groupBy("time", "event", "risk").agg(F.sum("n").alias("n"))
-    # rows of each risk with a later time, or the same time and censored
-    times = c.where("event").select(F.col("time").alias("t")).distinct()
-    risks = c.select("risk").distinct()
-    probe = times.join(F.broadcast(risks)).select("t", F.lit(0).alias("cens"), "risk", F.lit(0).cast("long").alias("n"), F.lit(True).alias("probe"))
-    own = c.select(F.col("time").alias("t"), F.when(F.col("event"), -1).otherwise(1).alias("cens"), "risk", "n", F.lit(False).alias("probe"))
-    w = W.partitionBy("risk").orderBy(F.desc("t"), F.desc("cens")).rowsBetween(W.unboundedPreceding, 0)
-    later = own.union(probe).withColumn("later", F.sum("n").over(w)).where("probe").select("t", "risk", "later")
-    ordered = W.partitionBy("t").orderBy("risk").rowsBetween(W.unboundedPreceding, -1)
-    below = later.withColumn("lower", F.coalesce(F.sum("later").over(ordered), F.lit(0))).withColumn("all", F.sum("later").over(W.partitionBy("t")))
-    e = c.where("event").select(F.col("time").alias("t"), "risk", F.col("n").alias("m")).join(below, ["t", "risk"])
-    good = F.sum(F.col("m") * (F.col("lower") + F.col("later") / F.lit(2.0)))
-    return e.agg(F.coalesce(F.try_divide(good, F.sum(F.col("m") * F.col("all")).cast("double")), F.lit(0.5)).alias("c_index"))
+    c = cells(df.where(F.col(time).isNotNull() & F.col(event).isNotNull() & F.col(risk).isNotNull()), time, event, risk, by)
+    c = written(c.withColumn("_at", F.struct("time", (~F.col("event")).alias("late"))))
+    places = written(numbered(c.select("_at").distinct(), "_at", name="_rank"))
+    steps = max(1, ceil(log(max(2, places.count())) / log(FAN) - 1e-9))
+    ranked = written(c.join(places, "_at").select(*by, "_rank", "event", "risk", F.col("n").cast("double").alias("n")))
+    parts = range(FAN)
+    found = None
+    for step in range(steps):
+        width = FAN ** (steps - step - 1)
+        node, part = F.expr(f"_rank div {width * FAN}").alias("_node"), F.expr(f"(_rank div {width}) % {FAN}")
+        own = [F.sum(F.when(part == d, F.col("n")).otherwise(0.0)).alias(f"n{d}") for d in parts]
+        events = [F.sum(F.when((part == d) & F.col("event"), F.col("n")).otherwise(0.0)).alias(f"e{d}") for d in parts]
+        h = ranked.groupBy(*by, node, "risk").agg(*own, *events)
+        h = running(h, "risk", [f"n{d}" for d in parts[1:]], (*by, "_node"))
+        good = sum((F.col(f"e{d}") * (F.col(f"cum_n{o}") - F.col(f"n{o}") / 2) for d in parts for o in parts[d + 1 :]), F.lit(0.0))
+        one = h.groupBy(*by).agg(F.sum(good).alias("good"))
+        found = one if found is None else found.unionByName(one)
+    # all comparable pairs: the rows at later places
+    per = ranked.groupBy(*by, "_rank").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("event"), F.col("n")).otherwise(0.0)).alias("e"))
+    every = running(per, "_rank", ["n"], by, reverse=True).groupBy(*by).agg(F.sum(F.col("e") * (F.col("cum_n") - F.col("n"))).alias("all"))
+    both = found.withColumn("all", F.lit(0.0)).unionByName(every.withColumn("good", F.lit(0.0)))
+    return both.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum("good"), F.sum("all")), F.lit(0.5)).alias("c_index"))
 
 
 def kaplan_meier(df: DataFrame, time: str, event: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``time, at_risk, events, survival``: the product-limit estimate at each event time."""
-    t = df.groupBy(*by, F.col(time).alias("time")).agg(F.count("*").alias("n"), F.count_if(F.col(event).cast("boolean")).alias("events"))
-    t = t.withColumn("at_risk", F.sum("n").over(W.partitionBy(*by).orderBy(F.desc("time")))).where("events > 0")
-    step = F.product((F.col("at_risk") - F.col("events")) / F.col("at_risk")).over(W.partitionBy(*by).orderBy("time"))
-    return t.select(*by, "time", "at_risk", "events", step.alias("survival"))
+    t = df.groupBy(*by, F.col(time).alias("time")).agg(F.count("*").alias("at"), F.count_if(F.col(event).cast("boolean")).alias("events"))
+    t = running(t, "time", ["at"], by, reverse=True, prefix="risk_").where("events > 0")
+    t = running(t.withColumn("step", (F.col("risk_at") - F.col("events")) / F.col("risk_at")), "time", ["step"], by, fold="product")
+    return t.select(*by, "time", F.col("risk_at").alias("at_risk"), "events", F.col("cum_step").alias("survival"))
 
 
 def median(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The first time with survival at most one half; infinity if there is none."""
-    return curve.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("survival") <= 0.5, F.col("time").cast("double"))), F.lit(float("inf"))).alias("median"))
+    return curve.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("survival") <= 0.5 + 1e-12, F.col("time").cast("double"))), F.lit(float("inf"))).alias("median"))
 
 
 def at(curve: DataFrame, times: DataFrame, time: str = "time") -> DataFrame:
-    """Survival at the last event time not after each asked time; 1 before the first. An as-of join by union and window."""
+    """Survival at the last event time not after each asked time; 1 before the first. An as-of join: survival falls, so the least so far is the last."""
     asked = times.select(F.col(time).cast("double").alias("time")).distinct()
     both = curve.select(F.col("time").cast("double").alias("time"), "survival", F.lit(0).alias("ask")).union(asked.select("time", F.lit(None).cast("double"), F.lit(1)))
-    last = F.last("survival", ignorenulls=True).over(W.orderBy("time", "ask").rowsBetween(W.unboundedPreceding, 0))
-    return both.withColumn("survival", F.coalesce(last, F.lit(1.0))).where("ask = 1").select("time", "survival")
+    return running(both, "time", ["survival"], fold="min").where("ask = 1").select("time", F.least("cum_survival", F.lit(1.0)).alias("survival"))
 
 
 def brier(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
@@ -77,14 +88,13 @@ def brier(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     s = 1 - F.least(F.greatest(F.col(risk).cast("double"), F.lit(0.0)), F.lit(1.0))
     own = F.col(event).cast("boolean")
     t = df.groupBy(F.col(time).alias("time")).agg(F.count("*").alias("n"), F.sum(s * s).alias("q"), F.sum(F.when(own, 1 - 2 * s).otherwise(0.0)).alias("d"), F.count_if(own).alias("events"))
-    w = W.orderBy(F.desc("time"))
-    t = t.withColumns({"at_risk": F.sum("n").over(w), "sq": F.sum("q").over(w)}).where("events > 0")
-    return t.agg(F.coalesce(F.avg((F.col("sq") + F.col("d")) / F.col("at_risk")), F.lit(0.0)).alias("brier"))
+    t = running(t, "time", ["n", "q"], reverse=True).where("events > 0")
+    return t.agg(F.coalesce(F.avg((F.col("cum_q") + F.col("d")) / F.col("cum_n")), F.lit(0.0)).alias("brier"))
 
 
 def cox_partial(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     """Mean over events of ``log(sum of exp(r) over rows still at risk + 1e-8) - r``."""
     own = F.col(event).cast("boolean")
     t = df.groupBy(F.col(time).alias("time")).agg(F.sum(F.exp(risk)).alias("e"), F.count_if(own).alias("events"), F.sum(F.when(own, F.col(risk).cast("double"))).alias("r"))
-    t = t.withColumn("hazard", F.sum("e").over(W.orderBy(F.desc("time")))).where("events > 0")
-    return t.agg(F.coalesce(F.try_divide(F.sum(F.col("events") * F.log(F.col("hazard") + 1e-8) - F.col("r")), F.sum("events").cast("double")), F.lit(0.0)).alias("cox_loss"))
+    t = running(t, "time", ["e"], reverse=True).where("events > 0")
+    return t.agg(F.coalesce(F.try_divide(F.sum(F.col("events") * F.log(F.col("cum_e") + 1e-8) - F.col("r")), F.sum("events").cast("double")), F.lit(0.0)).alias("cox_loss"))
