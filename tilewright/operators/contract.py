@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions.hashing import is_missing, present
+from tilewright.operators.prefix import percentiles
 
 
 def fit_normalization(df: DataFrame, features: list[str]) -> DataFrame:
@@ -21,7 +22,12 @@ def fit_normalization(df: DataFrame, features: list[str]) -> DataFrame:
 
 def fit_imputation(df: DataFrame, features: list[str], method: str = "median") -> DataFrame:
     """``feature, value``: exact median, mean, or mode (the lowest on ties) of what isn't missing."""
-    kinds = {"median": lambda c: F.percentile(c, F.lit(0.5)), "mean": F.avg, "mode": lambda c: F.mode(c, True)}
+    if method == "median":
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), present(F.col(f)).alias("_v")) for f in features])).alias("x")).select("x.*")
+        found = percentiles(long, "_v", [0.5], ("feature",))
+        named = F.broadcast(df.sparkSession.createDataFrame([(f,) for f in features], "feature string"))  # a row for each feature
+        return named.join(found, "feature", "left").select("feature", F.col("p0").alias("value"))
+    kinds = {"mean": F.avg, "mode": lambda c: F.mode(c, True)}
     aggs = [F.struct(F.lit(f).alias("feature"), kinds[method](present(F.col(f))).cast("double").alias("value")) for f in features]
     return df.agg(F.array(*aggs).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import arrays as A
 from tilewright.operators.graph import components
+from tilewright.operators.prefix import numbered
 from tilewright.plans.lineage import written
 
 
@@ -49,30 +52,52 @@ def text_simhash(df: DataFrame, key: str, text: str = "text", bits: int = 60) ->
     return df.select(key).join(votes.select(key, value.alias("hash")), key, "left").select(key, F.coalesce("hash", F.lit(0)).cast("long").alias("hash"))
 
 
-def _bands(bits: int, count: int) -> list[tuple[int, int]]:
-    edges = [bits * i // count for i in range(count + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+#: Candidates of a hash on one choice of blocks, about; more hashes are dealt by more blocks.
+CANDIDATES = 64
+
+
+def block_masks(n: int, threshold: int, bits: int) -> list[int]:
+    """Bits on which two hashes within ``threshold`` may agree, for each choice: they differ in at most ``threshold`` of the blocks.
+
+    More blocks for more hashes: a choice then has more bits, so fewer hashes meet by chance.
+    """
+    blocks = threshold + 1
+    while blocks < threshold + 4 and n >> (bits * (blocks - threshold) // blocks) > CANDIDATES:
+        blocks += 1
+    edges = [bits * i // blocks for i in range(blocks + 1)]
+    parts = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
+    return [sum(c) for c in combinations(parts, blocks - threshold)]
 
 
 def hamming_pairs(hashes: DataFrame, key: str, hash_col: str = "hash", threshold: int = 8, bits: int = 64) -> DataFrame:
     """``hash_i < hash_j`` (distinct hashes) within ``threshold`` bits, and their ``distance``.
 
-    Some band of the bits differs in at most ``threshold // bands`` places, so one
-    side probes its band values with up to one flipped bit and meets the other by
-    an equality join; candidates are rechecked bit by bit. Equal hashes are one row.
+    Hashes meet by an equality join where they agree on enough blocks of bits; a
+    pair is kept at the first choice of blocks on which it agrees, so nothing is
+    deduplicated. Above a threshold of 3 some block differs in at most one bit, so one
+    side probes its blocks with one bit flipped. Equal hashes are one row.
     """
-    distinct = hashes.select(F.col(hash_col).alias("h")).distinct()
-    count = threshold + 1 if threshold < 4 else threshold // 2 + 1
-    probes, own = [], []
-    for i, (start, width) in enumerate(_bands(bits, count)):
-        part = F.shiftrightunsigned("h", start).bitwiseAND(F.lit((1 << width) - 1))
-        own.append(F.struct(F.lit(i).alias("band"), part.alias("part")))
-        flips = [part] + ([] if threshold < 4 else [part.bitwiseXOR(F.lit(1 << b)) for b in range(width)])
-        probes += [F.struct(F.lit(i).alias("band"), p.alias("part")) for p in flips]
-    a = distinct.select(F.col("h").alias("hash_i"), F.explode(F.array(*probes)).alias("p")).select("hash_i", "p.*")
-    b = distinct.select(F.col("h").alias("hash_j"), F.explode(F.array(*own)).alias("p")).select("hash_j", "p.*")
-    d = F.bit_count(F.col("hash_i").bitwiseXOR(F.col("hash_j")))
-    return a.join(b, ["band", "part"]).where((F.col("hash_i") < F.col("hash_j")) & (d <= threshold)).select("hash_i", "hash_j", d.alias("distance")).distinct()
+    distinct = written(hashes.select(F.col(hash_col).alias("_h")).distinct())
+    one = lambda v, at: F.struct(F.lit(at).alias("_at"), v.alias("_part"))
+    if threshold < 4:
+        masks = block_masks(distinct.count(), threshold, bits)
+        own = probes = [one(F.col("_h").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)), i) for i, m in enumerate(masks)]
+    else:
+        masks = block_masks(0, threshold // 2, bits)
+        blocks = [((1 << bits) - 1) & m for m in masks]
+        own, probes = [], []
+        for i, m in enumerate(blocks):
+            signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x)
+            part = F.col("_h").bitwiseAND(signed(m))
+            own.append(one(part, i))
+            probes += [one(p, i) for p in [part, *[part.bitwiseXOR(signed(1 << b)) for b in range(bits) if m >> b & 1]]]
+    a = distinct.select(F.col("_h").alias("hash_i"), F.explode(F.array(*probes)).alias("_p")).select("hash_i", "_p.*")
+    b = distinct.select(F.col("_h").alias("hash_j"), F.explode(F.array(*own)).alias("_p")).select("hash_j", "_p.*")
+    differ = F.col("hash_i").bitwiseXOR(F.col("hash_j"))
+    near = lambda m: F.bit_count(differ.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)))
+    first = F.array_position(F.array(*[near(m) <= (0 if threshold < 4 else 1) for m in masks]), True) - 1
+    met = a.join(b, ["_at", "_part"]).where((F.col("hash_i") < F.col("hash_j")) & (F.bit_count(differ) <= threshold))
+    return met.where(F.col("_at") == first).select("hash_i", "hash_j", F.bit_count(differ).alias("distance"))
 
 
 def clusters(hashes: DataFrame, key: str, hash_col: str = "hash", threshold: int = 8, bits: int = 64) -> DataFrame:
@@ -95,9 +120,10 @@ def stats(comp: DataFrame, key: str) -> DataFrame:
 
 
 def report(comp: DataFrame, key: str) -> DataFrame:
-    """Clusters of two or more with their members, joined by a bar; the largest first."""
-    per = comp.groupBy("component").agg(F.count("*").alias("size"), F.min(key).alias("representative"), F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), "|").alias("members"))
-    return per.where("size > 1").select("component", "size", "representative", "members").orderBy(F.desc("size"), "component")
+    """``component, size, representative, member, rank``: clusters of two or more, a row for each member in order."""
+    per = representative(comp, key).where("size > 1").withColumnRenamed("component", "_of")
+    several = comp.join(per, F.col("component") == F.col("_of")).select("component", "size", "representative", F.col(key).alias("member"))
+    return numbered(several, "member", ("component",), "_place").select("component", "size", "representative", "member", (F.col("_place") + 1).alias("rank"))
 
 
 def to_remove(comp: DataFrame, key: str) -> DataFrame:

@@ -26,9 +26,9 @@ def hazard_ratios(df: DataFrame, feature: str, coef: str, k: int = 10) -> DataFr
 
 def modality_importance(df: DataFrame, modality: str, weight: str) -> DataFrame:
     """Mean absolute weight, scaled to sum 1; all zero stays zero."""
-    per = df.groupBy(modality).agg(F.avg(F.abs(F.col(weight))).alias("m"))
-    total = F.sum("m").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return per.select(modality, F.when(total > 0, F.col("m") / total).otherwise(F.lit(0.0)).alias("importance"))
+    per = df.groupBy(modality).agg(F.avg(F.abs(F.col(weight))).alias("_mean"))
+    total = per.agg(F.sum("_mean").alias("_total"))
+    return per.join(F.broadcast(total)).select(modality, F.when(F.col("_total") > 0, F.col("_mean") / F.col("_total")).otherwise(F.lit(0.0)).alias("importance"))  # one row
 
 
 def heatmap(df: DataFrame, key: str, height: int, width: int, weight: str = "weight", x: str = "x", y: str = "y") -> DataFrame:
@@ -52,7 +52,22 @@ def perturb(df: DataFrame, features: list[str], score, key: str, background: dic
     return df.select(F.explode(F.array(*changed)).alias("c")).groupBy("c.feature").agg(F.avg("c.change").alias("importance"))
 
 
-def slide_report(predictions: DataFrame, tiles: DataFrame, key: str, weight: str, tie: str, k: int = 3) -> DataFrame:
-    """Prediction, confidence and the top tiles (at most k) of each slide."""
+def slide_report(predictions: DataFrame, tiles: DataFrame, key: str, weight: str, tie: str, k: int = 3, modalities: DataFrame | None = None, features: DataFrame | None = None, n_features: int = 10) -> DataFrame:
+    """Prediction, confidence and the top tiles (at most k) of each slide.
+
+    ``modalities`` (key, modality, weight) adds ``modality_importance``, shares of the
+    mean absolute weights; ``features`` (key, feature, value) adds ``top_features``, at
+    most ``n_features`` by absolute value. A slide without rows there has NULL.
+    """
     top = top_tiles(tiles, key, weight, tie, k).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(tie).alias("tile"), F.col(weight).alias("weight")))).alias("top_tiles"))
-    return predictions.join(top, key, "left").withColumn("confidence", F.greatest(F.col("score"), 1 - F.col("score")))
+    out = predictions.join(top, key, "left").withColumn("confidence", F.greatest(F.col("score"), 1 - F.col("score")))
+    if modalities is not None:
+        per = modalities.groupBy(key, "modality").agg(F.avg(F.abs(F.col("weight"))).alias("_mean"))
+        share = F.coalesce(F.try_divide("_mean", F.sum("_mean").over(W.partitionBy(key))), F.lit(0.0))  # a row for each modality
+        per = per.withColumn("importance", share).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("modality", "importance"))).alias("modality_importance"))
+        out = out.join(per, key, "left")
+    if features is not None:
+        best = top_tiles(features.withColumn("_size", F.abs(F.col("value"))), key, "_size", "feature", n_features)
+        best = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature", "value"))), lambda x: F.struct(x["feature"].alias("feature"), x["value"].alias("value"))).alias("top_features"))
+        out = out.join(best, key, "left")
+    return out

@@ -54,13 +54,20 @@ def glcm_counts(df: DataFrame, sample: str, axes=("x", "y", "z")) -> DataFrame:
 def glcm(df: DataFrame, sample: str, axes=("x", "y", "z")) -> DataFrame:
     """Contrast, energy, homogeneity, correlation and entropy of each sample and axis."""
     c = glcm_counts(df, sample, axes)
-    c = c.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("sample", "axis")))
-    d = F.col("i") - F.col("j")
-    m = F.sum(F.col("p") * F.col("i"))
-    var = F.sum(F.col("p") * F.col("i") * F.col("i")) - m * m
-    return c.groupBy("sample", "axis").agg(
-        F.sum(F.col("p") * d * d).alias("contrast"), F.sum(F.col("p") * F.col("p")).alias("energy"), F.sum(F.col("p") / (1 + d * d)).alias("homogeneity"),
-        F.when(var > 1e-12, (F.sum(F.col("p") * F.col("i") * F.col("j")) - m * m) / var).otherwise(1.0).alias("correlation"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"),
+    i, j, n = F.col("i"), F.col("j"), F.col("n")
+    d2 = (i - j) * (i - j)
+    # whole numbers up to the last division, so that the order of rows changes no digit
+    far = c.groupBy("sample", "axis", d2.alias("d2")).agg(F.sum("n").alias("c")).groupBy("sample", "axis").agg(F.sort_array(F.collect_list(F.struct("d2", "c"))).alias("far"))
+    same = c.groupBy("sample", "axis", "n").agg(F.count("*").alias("c")).groupBy("sample", "axis").agg(F.sort_array(F.collect_list(F.struct("n", "c"))).alias("same"))
+    s = c.groupBy("sample", "axis").agg(F.sum("n").alias("N"), F.sum(n * d2).alias("con"), F.sum(n * n).alias("en"), F.sum(n * i).alias("si"), F.sum(n * i * i).alias("sii"), F.sum(n * i * j).alias("sij"))
+    out = s.join(far, ["sample", "axis"]).join(same, ["sample", "axis"])
+    N = F.col("N").cast("double")
+    ordered = lambda array, value: F.aggregate(array, F.lit(0.0), lambda acc, x: acc + value(x))
+    spread = F.col("N") * F.col("sii") - F.col("si") * F.col("si")
+    return out.select(
+        "sample", "axis", (F.col("con") / N).alias("contrast"), (F.col("en") / (N * N)).alias("energy"), (ordered("far", lambda x: x["c"].cast("double") / (1 + x["d2"])) / N).alias("homogeneity"),
+        F.when(spread > 0, (F.col("N") * F.col("sij") - F.col("si") * F.col("si")).cast("double") / spread.cast("double")).otherwise(1.0).alias("correlation"),
+        (F.log2(N) - ordered("same", lambda x: (x["c"] * x["n"]).cast("double") * F.log2(x["n"].cast("double"))) / N).alias("entropy"),
     )
 
 

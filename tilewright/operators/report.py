@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 #: Published figures to compare with (benchmark, metric, value): fixed values from the literature.
 PUBLISHED = [
-    ("he_morphology", "auroc", 0.85), ("he_morphology", "sensitivity", 0.88), ("he_morphology", "specificity", 0.831),
-    ("morphology_flow", "auroc", 0.892), ("morphology_flow", "accuracy", 0.87), ("morphology_flow", "f1", 0.88),
+    ("t11_14_detection", "auroc", 0.85), ("t11_14_detection", "sensitivity", 0.88), ("t11_14_detection", "specificity", 0.831),
+    ("multimodal_t11_14", "auroc", 0.892), ("multimodal_t11_14", "accuracy", 0.87), ("multimodal_t11_14", "f1_macro", 0.88),
     ("pet_ct_radiomics", "c_index", 0.693), ("pet_ct_radiomics", "auroc", 0.71),
-    ("multi_omics", "auroc", 0.76), ("multi_omics", "c_index", 0.72),
+    ("multiomics_signature", "auroc", 0.76), ("multiomics_signature", "c_index", 0.72),
 ]
 
 

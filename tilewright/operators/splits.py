@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.functions.hashing import draw, require_columns
+from tilewright.operators.prefix import percentiles
+from tilewright.plans.lineage import written
 
 
 def take(df: DataFrame, name: str, split: str = "split") -> DataFrame:
@@ -102,7 +104,12 @@ def time_aware(df: DataFrame, group: str, time: str, val_cut=None, test_cut=None
     """``group, first_time, split``: by each group's earliest time; cuts default to its 50th and 80th percentile."""
     first = df.groupBy(group).agg(F.min(F.col(time).cast("timestamp")).alias("first_time")).withColumn("at", F.unix_micros("first_time").cast("double"))
     micros = lambda t: F.unix_micros(F.lit(t).cast("timestamp")).cast("double")
-    cuts = first.agg((F.percentile("at", F.lit(0.5)) if val_cut is None else F.max(micros(val_cut))).alias("c1"), (F.percentile("at", F.lit(0.8)) if test_cut is None else F.max(micros(test_cut))).alias("c2"))
+    if val_cut is None or test_cut is None:
+        first = written(first)
+        cuts = percentiles(first, "at", [0.5, 0.8])  # one row
+    else:
+        cuts = df.sparkSession.range(1)
+    cuts = cuts.select(*[(F.col(p) if given is None else micros(given)).alias(c) for c, p, given in (("c1", "p0", val_cut), ("c2", "p1", test_cut))])
     split = F.when(F.col("at") <= F.col("c1"), "train").when(F.col("at") <= F.col("c2"), "val").otherwise("test")
     return first.join(F.broadcast(cuts)).select(group, "first_time", split.alias("split"))  # one row
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a fresh local folder where it is unset (tests)."""
+    """spark.checkpoint.dir; in one process a fresh local folder where it is unset. On a cluster without it: an error, as executors share no local folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        path = sc.getConf().get("spark.checkpoint.dir", None)
+        if path is None and not re.match(r"local(\[[^,\]]*(,[^\]]*)?\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tilewright.operators import calibration, contract, losses, metrics, prefix, sampling, survival
+from tilewright.plans.lineage import shared_dir
 from tilewright.plans.registry import FEATURES, PATCH, PRED, SURV, query, rounded
 
 _AUROC = "round(sum(pos * (cn - neg / CAST(2 AS DOUBLE))) / (sum(pos) * sum(neg))::DOUBLE, 6)"
@@ -138,6 +141,15 @@ def _(t):
     return rounded(survival.c_index(t.survival(), "time", "event", "risk"))
 
 
+_LIFE = "(SELECT CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS t, o_orderstatus = 'F' AS e, o_totalprice + o_custkey AS r FROM orders)"
+
+
+@query("survival_c_index_continuous", f"SELECT round(sum(CASE WHEN a.r > b.r THEN 1 WHEN a.r = b.r THEN 0.5 ELSE 0 END)::DOUBLE / count(*), 6) c_index FROM {_LIFE} a JOIN {_LIFE} b ON a.e AND (a.t < b.t OR (a.t = b.t AND NOT b.e))")
+def _(t):
+    life = t("orders").select(F.datediff("o_orderdate", F.lit("1970-01-01")).alias("t"), (F.col("o_orderstatus") == "F").alias("e"), (F.col("o_totalprice") + F.col("o_custkey")).alias("r"))
+    return rounded(survival.c_index(life, "t", "e", "r"))
+
+
 _KM = f'(SELECT grp, "time", ar at_risk, d events, product((ar - d) / ar::DOUBLE) OVER (PARTITION BY grp ORDER BY "time") s FROM (SELECT grp, "time", count(*) FILTER (event) d, sum(count(*)) OVER (PARTITION BY grp ORDER BY "time" DESC) ar FROM {SURV} GROUP BY 1, 2) WHERE d > 0)'
 
 
@@ -209,16 +221,28 @@ def _(t):
     return rounded(sampling.ci(bootstrap_auroc(t.predictions()), "auroc"))
 
 
-@query("sampling_poisson")
+_W = " + ".join(f"CASE WHEN u > {c!r} THEN 1 ELSE 0 END" for c in sampling.poisson_steps())
+
+
+@query("sampling_poisson", f"WITH d AS (SELECT CAST(r AS INT) replicate, score, (('0x' || substr(md5('42|' || id || '|' || r), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE u FROM {PRED}, range(50) x(r)), w AS (SELECT replicate, score, {_W} w FROM d) SELECT replicate, CAST(sum(w) AS BIGINT) n, round(sum(w * score) / sum(w), 6) mean_score FROM w GROUP BY 1")
 def _(t):
     w = sampling.poisson(t.predictions(), "id", 50)
-    return w.groupBy("replicate").agg(F.sum("weight").alias("n"), (F.sum(F.col("weight") * F.col("score")) / F.sum("weight")).alias("mean_score"))
+    return rounded(w.groupBy("replicate").agg(F.sum("weight").alias("n"), (F.sum(F.col("weight") * F.col("score")) / F.sum("weight")).alias("mean_score")))
 
 
-@query("sampling_ci_for")
+@query("sampling_ci_for", f"WITH p AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY id) - 1 i FROM {PRED}), m AS (SELECT y_true y, count(*) m FROM p GROUP BY 1), b AS (SELECT y, r, unnest(range(m)) j, m FROM m, range(20) a(r)), d AS (SELECT y, r, ('0x' || substr(md5('42|' || y || '|' || r || '|' || j), 1, 8))::BIGINT % m i FROM b), v AS (SELECT r, avg((y_true = y_pred)::INT) a FROM d JOIN p ON d.y = p.y_true AND d.i = p.i GROUP BY 1) SELECT round(avg(a), 6) mean, round(quantile_cont(a, 0.025), 6) ci_lower, round(quantile_cont(a, 0.975), 6) ci_upper, count(*) replicates FROM v")
 def _(t):
     b = sampling.bootstrap_stratified(t.predictions(), "id", "y_true", 20).select("replicate", "y_true", "y_pred")
-    return sampling.ci_for(b, lambda pdf: (pdf.y_true == pdf.y_pred).mean())
+    return rounded(sampling.ci_for(b, lambda pdf: (pdf.y_true == pdf.y_pred).mean()))
+
+
+@query("sampling_bootstrap_sized", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY id) - 1 i FROM {PRED}), c AS (SELECT y_true y, count(*) m FROM p GROUP BY 1),
+k AS (SELECT y, m, greatest(1, round_even(m / (sum(m) OVER ())::DOUBLE * 150, 0)) k FROM c), m AS (SELECT y, m, CAST(least(k, 150 - coalesce(sum(k) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) k FROM k),
+b AS (SELECT y, r, unnest(range(k)) j, m FROM m, range(20) a(r)), d AS (SELECT y, r, ('0x' || substr(md5('42|' || y || '|' || r || '|' || j), 1, 8))::BIGINT % m i FROM b)
+SELECT CAST(r AS INT) replicate, y_true, count(*) n, round(avg(score), 6) v FROM d JOIN p ON d.y = p.y_true AND d.i = p.i GROUP BY 1, 2""")
+def _(t):
+    b = sampling.bootstrap_stratified(t.predictions(), "id", "y_true", 20, n_samples=150)
+    return rounded(b.groupBy("replicate", "y_true").agg(F.count("*").alias("n"), F.avg("score").alias("v")))
 
 
 @query("prefix_running_sum", 'SELECT l_quantity, CAST(n AS BIGINT) n, CAST(sum(n) OVER (ORDER BY l_quantity) AS BIGINT) cum_n FROM (SELECT l_quantity, count(*) n FROM lineitem GROUP BY 1)')
@@ -282,6 +306,17 @@ def _(t):
     return rounded(c.drift(t.features().where("l_quantity > 10")))
 
 
+@query("contract_round_trip", "SELECT true same_hash, CAST(16 AS INT) digits, true valid, true frozen, count(*) n_rows FROM lineitem")
+def _(t):
+    """Freeze, hash, save, load and validate; both contracts transform all rows alike."""
+    path = f"{shared_dir(t.spark)}/contract-{uuid.uuid4().hex}"
+    c = _fitted(t)
+    c.save(t.spark, path)
+    again = contract.Contract.load(t.spark, path)
+    rows = c.apply(t.features()).intersectAll(again.apply(t.features()))
+    return rows.agg(F.lit(c.hash() == again.hash()).alias("same_hash"), F.lit(len(again.hash())).alias("digits"), F.lit(again.validate()).alias("valid"), F.lit(again.frozen).alias("frozen"), F.count("*").alias("n_rows"))
+
+
 # ------------------------------------------------------------------------ losses
 
 
@@ -323,3 +358,15 @@ def _(t):
 @query("losses_smooth_topk", f"SELECT slide_id, round(-ln(sum(exp(score) * score) / sum(exp(score)) + 1e-8), 6) loss FROM {PATCH} GROUP BY 1")
 def _(t):
     return rounded(losses.smooth_topk(t.patches(), "slide_id", "score"))
+
+
+#: SQL of the flagship query: the bootstrap of ``sampling_ci`` on the half that ``splits.stratified`` holds out.
+FLAGSHIP = f"""WITH g AS (SELECT id, y_true, score, {_D.format('id')} d FROM {PRED}), c AS (SELECT y_true l, count(*) n FROM g GROUP BY 1),
+a AS (SELECT *, ceil(sum(n) OVER () * 0.5::DOUBLE - 1e-9) want FROM c), e AS (SELECT *, want * n / (sum(n) OVER ())::DOUBLE e FROM a),
+q AS (SELECT l, floor(e) + CASE WHEN row_number() OVER (ORDER BY e - floor(e) DESC, l) <= want - sum(floor(e)) OVER () THEN 1 ELSE 0 END nt FROM e),
+h AS (SELECT id, y_true, score FROM (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY d, id) p FROM g) JOIN q ON y_true = l WHERE p <= nt),
+p AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY id) - 1 i FROM h), m AS (SELECT y_true y, count(*) m FROM p GROUP BY 1), b AS (SELECT y, r, unnest(range(m)) j, m FROM m, range(100) x(r)),
+d AS (SELECT y, r, ('0x' || substr(md5('42|' || y || '|' || r || '|' || j), 1, 8))::BIGINT % m i FROM b), x AS (SELECT r, y_true, score FROM d JOIN p ON d.y = p.y_true AND d.i = p.i),
+k AS (SELECT r, score, count(*) FILTER (y_true = 1) pos, count(*) FILTER (y_true <> 1) neg, sum(count(*) FILTER (y_true <> 1)) OVER (PARTITION BY r ORDER BY score) cn FROM x GROUP BY 1, 2),
+v AS (SELECT r, sum(pos * (cn - neg / CAST(2 AS DOUBLE))) / (sum(pos) * sum(neg))::DOUBLE a FROM k GROUP BY 1)
+SELECT round(avg(a), 6) mean, round(quantile_cont(a, 0.025), 6) ci_lower, round(quantile_cont(a, 0.975), 6) ci_upper, count(*) replicates FROM v"""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.operators import explain, report, splits, tiles, vectors
+from tilewright.plans.lineage import shared_dir
 from tilewright.plans.registry import FEATURES, PATCH, SLIDES, TILES, query, rounded
 from tilewright.sources import tables
 
@@ -17,10 +20,13 @@ def _(t):
     return tables.read_table(t.spark, f"{t.sf_dir}/customer.parquet", _CUSTOMER)
 
 
-@query("io_list_files")
+@query("io_list_files", "SELECT 'documents.parquet' file, true listed, count(*) n_rows FROM documents")
 def _(t):
-    """The tables' own files."""
-    return tables.list_files(t.spark, t.sf_dir, "parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    """The files of a table as they are listed, with the rows that were read from each."""
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    read = t("documents").groupBy(F.input_file_name().alias("read")).agg(F.count("*").alias("n_rows")).select(name("read").alias("file"), "n_rows")
+    listed = tables.list_files(t.spark, t.sf_dir, "parquet").select(name("path").alias("file"), F.lit(True).alias("listed"))
+    return read.join(listed, "file", "left")
 
 
 @query(
@@ -39,6 +45,27 @@ def _(t):
     return tables.read_patches(t("embeddings"), split="train", catalog=cat, slide_col="label").select("vec_id", "label")
 
 
+@query("io_write_patches", "SELECT label slide_id, vec_id patch, CASE WHEN label = 3 THEN CAST(0.5 AS FLOAT) ELSE CAST(1 AS FLOAT) END attention_score FROM embeddings")
+def _(t):
+    """All slides written, then one of them anew: the others stay, also those of its bucket."""
+    path = f"{shared_dir(t.spark)}/patches-{uuid.uuid4().hex}"
+    rows = t("embeddings").select(F.col("label").alias("slide_id"), F.col("vec_id").alias("patch"), "embedding")
+    tables.write_patches(rows, path, buckets=4)
+    tables.write_patches(rows.where("slide_id = 3").withColumn("attention_score", F.lit(0.5).cast("float")), path, buckets=4)
+    return t.spark.read.parquet(path).select("slide_id", "patch", "attention_score")
+
+
+@query("io_write_table", "SELECT c_custkey, c_name, kind FROM customer, (VALUES ('parquet'), ('csv'), ('json')) k(kind)")
+def _(t):
+    """A table through each kind of file and back."""
+    rows, out = t("customer").select("c_custkey", "c_name"), []
+    for kind in ("parquet", "csv", "json"):
+        path = f"{shared_dir(t.spark)}/written-{uuid.uuid4().hex}"
+        tables.write_table(rows, path, kind)
+        out.append(tables.read_table(t.spark, path, rows.schema, kind).withColumn("kind", F.lit(kind)))
+    return tables.union_sources(*out)
+
+
 @query("io_slide_catalog", "SELECT label, count(*) num_patches, CAST(max(len(embedding)) AS INT) embedding_dim FROM embeddings GROUP BY label")
 def _(t):
     return tables.slide_catalog(t("embeddings"), "label")
@@ -134,6 +161,28 @@ def _(t):
     return qc_counts(rows).select(F.to_timestamp_ntz("start").alias("start"), "kept", "rejected")
 
 
+@query("stream_ingest_manifest", "SELECT event_id tile_id, value laplacian_var FROM events WHERE value >= 15 AND NOT value > 80")
+def _(t):
+    """A manifest of all events, taken in twice: the gate's rows, each id once."""
+    from tilewright.streaming.manifests import ingest_manifest, read_manifests
+
+    path = f"{shared_dir(t.spark)}/manifest-{uuid.uuid4().hex}"
+    v = F.col("value")
+    rows = t("events").select(F.col("event_id").alias("tile_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(v > 80, 1.0).otherwise(0.0).alias("background_fraction"), v.alias("laplacian_var"), F.lit(0.0).alias("pen_fraction"))
+    for _ in range(2):
+        rows.write.mode("append").parquet(f"{path}/in")
+    ingest_manifest(read_manifests(t.spark, f"{path}/in", rows.schema), f"{path}/out", f"{path}/check").awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(f"{path}/out").select("tile_id", "laplacian_var")
+
+
+@query("tiles_pixel_metrics")
+def _(t):
+    """Vectors as images of eight by eight gray pixels."""
+    gray = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x + 1) * 128))))
+    image = F.struct(F.col("vec_id").cast("string").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.unhex(F.array_join(F.transform(gray, lambda g: F.lpad(F.hex(g), 2, "0")), "")).alias("data"))
+    return rounded(tiles.pixel_metrics(t("embeddings").where(F.size("embedding") == 64).select(image.alias("image"))))
+
+
 # ----------------------------------------------------------------------- splits
 
 _DRAW = "('0x' || substr(md5('42|' || {k}), 1, 8))::BIGINT"
@@ -191,7 +240,13 @@ def _(t):
     return splits.fold(_orders(t), splits.kfold(t("customer"), "c_custkey", "c_mktsegment", "c_name"), 2, "c_custkey").select("o_orderkey")
 
 
-@query("splits_group_kfold")
+_MODE = "(SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) k FROM events GROUP BY 1, 2) WHERE k = 1)"
+
+
+@query("splits_group_kfold", f"""WITH g AS (SELECT user_id, event_type, {_DRAW.format(k='user_id')} d FROM {_MODE}),
+b AS (SELECT event_type l, sum(count(*)) OVER (ORDER BY event_type) - count(*) off FROM g GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY d, user_id) p FROM g)
+SELECT user_id, CAST(f AS INT) fold, CASE WHEN (p - 1 + off) % 5 = f THEN 'val' ELSE 'train' END split, event_type FROM r JOIN b ON event_type = l, range(5) x(f)""")
 def _(t):
     rows = t("events").select("user_id", "event_type")
     return splits.group_kfold(rows, "user_id", "event_type")
@@ -357,7 +412,22 @@ def _(t):
     return rounded(explain.perturb(t("lineitem"), ["l_quantity", "l_discount"], lambda c: 0.5 * c[0] + 20 * c[1], "l_orderkey", r.asDict()))
 
 
-@query("explain_slide_report")
+_SHARE = "SELECT slide_id, string_agg(modality || '=' || printf('%.4f', v / s), ' ' ORDER BY modality) m FROM (SELECT slide_id, modality, v, sum(v) OVER (PARTITION BY slide_id) s FROM (SELECT slide_id, CASE WHEN patch % 2 = 0 THEN 'imaging' ELSE 'genomic' END modality, avg(abs(score)) v FROM {p} GROUP BY 1, 2)) GROUP BY 1"
+
+
+@query(
+    "explain_slide_report",
+    f"""WITH s AS (SELECT slide_id, avg(score) / 2 score FROM {PATCH} GROUP BY 1),
+k AS (SELECT slide_id, string_agg(patch::VARCHAR, ' ' ORDER BY score DESC, patch) top FROM (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY score DESC, patch) r FROM {PATCH}) WHERE r <= 3 GROUP BY 1),
+f AS (SELECT slide_id, string_agg(patch::VARCHAR, ' ' ORDER BY abs(x - 50) DESC, patch::VARCHAR) feats FROM (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY abs(x - 50) DESC, patch::VARCHAR) r FROM {PATCH}) WHERE r <= 10 GROUP BY 1),
+m AS ({_SHARE.format(p=PATCH)})
+SELECT slide_id, round(score, 6) score, round(greatest(score, 1 - score), 6) confidence, top, m modalities, feats features FROM s JOIN k USING (slide_id) JOIN f USING (slide_id) JOIN m USING (slide_id)""",
+)
 def _(t):
-    p = t.patches().groupBy("slide_id").agg((F.avg("score") / 2).alias("score"))
-    return explain.slide_report(p, t.patches(), "slide_id", "score", "patch")
+    patches = t.patches()
+    p = patches.groupBy("slide_id").agg((F.avg("score") / 2).alias("score"))
+    mod = patches.select("slide_id", F.when(F.col("patch") % 2 == 0, "imaging").otherwise("genomic").alias("modality"), F.col("score").alias("weight"))
+    feats = patches.select("slide_id", F.col("patch").cast("string").alias("feature"), (F.col("x") - 50).cast("double").alias("value"))
+    r = explain.slide_report(p, patches, "slide_id", "score", "patch", modalities=mod, features=feats)
+    text = lambda c, f: F.array_join(F.transform(c, f), " ")
+    return rounded(r.select("slide_id", "score", "confidence", text("top_tiles", lambda x: x["tile"].cast("string")).alias("top"), text("modality_importance", lambda x: F.format_string("%s=%.4f", x["modality"], x["importance"])).alias("modalities"), text("top_features", lambda x: x["feature"]).alias("features")))

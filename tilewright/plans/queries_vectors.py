@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tilewright.functions import arrays as A
@@ -199,7 +201,7 @@ def _(t):
     return dedup.representative(_clusters(t), "doc_id")
 
 
-@query("dedup_report", f"SELECT component, count(*) \"size\", min(doc_id) representative, string_agg(doc_id::VARCHAR, '|' ORDER BY doc_id) members FROM {_CL} GROUP BY 1 HAVING count(*) > 1")
+@query("dedup_report", f"SELECT * FROM (SELECT component, count(*) OVER w \"size\", min(doc_id) OVER w representative, doc_id AS member, CAST(row_number() OVER (PARTITION BY component ORDER BY doc_id) AS BIGINT) AS rank FROM {_CL} WINDOW w AS (PARTITION BY component)) WHERE \"size\" > 1")
 def _(t):
     return dedup.report(_clusters(t), "doc_id")
 
@@ -219,7 +221,12 @@ def _(t):
     return t("embeddings").select("vec_id", v.alias("v")).select("vec_id", dedup.ahash(F.col("v")).alias("ahash"), dedup.dhash(F.col("v")).alias("dhash"))
 
 
-@query("dedup_transform_hashes")
+_COS = "[" + ", ".join("[" + ", ".join(f"{math.cos(math.pi * k * (2 * i + 1) / 128)!r}::DOUBLE" for i in range(64)) + "]" for k in range(32)) + "]"
+_MED = "(list_sort({c})[len({c}) // 2] + list_sort({c})[len({c}) // 2 + 1]) / 2"
+
+
+@query("dedup_transform_hashes", f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) v FROM embeddings), c AS (SELECT vec_id, list_transform({_COS}, lambda b: list_reduce(list_transform(range(1, 65), lambda i: v[i] * b[i]), lambda x, y: x + y)) c, list_transform(range(1, 33), lambda i: (v[2 * i - 1] + v[2 * i]) / 2) m FROM e)
+SELECT vec_id, CAST(list_sum(list_transform(range(1, 33), lambda i: CASE WHEN c[i] > {_MED.format(c='c')} THEN (1::BIGINT << (i - 1)::INT) ELSE 0 END)) AS BIGINT) phash, CAST(list_sum(list_transform(range(1, 33), lambda i: CASE WHEN m[i] > {_MED.format(c='m')} THEN (1::BIGINT << (i - 1)::INT) ELSE 0 END)) AS BIGINT) whash FROM c""")
 def _(t):
     v = F.transform("embedding", lambda x: x.cast("double"))
     return t("embeddings").select("vec_id", v.alias("v")).select("vec_id", dedup.phash(F.col("v"), 64).alias("phash"), dedup.whash(F.col("v")).alias("whash"))
@@ -281,7 +288,7 @@ def _(t):
 
 @query("trials_journal", f"SELECT trial_id, '| ' || trial_id || ' | ' || coalesce(printf('%.4f', metric), 'failed') || ' | ' || event_type || ' |' line FROM {TRIALS}")
 def _(t):
-    return trials.journal(t.trials().where("metric IS NULL OR metric < 1000"), diff="event_type")
+    return trials.journal(t.trials(), diff="event_type")
 
 
 @query("trials_verify", f"SELECT trial_id, 'metric' AS missing FROM {TRIALS} WHERE metric IS NULL")
@@ -323,12 +330,12 @@ def _(t):
 @query(
     "radiomics_glcm",
     f"""WITH c AS (SELECT sample, axis, i, j, count(*) n FROM (SELECT sample, axis, li i, lj j FROM {_NB} UNION ALL SELECT sample, axis, lj, li FROM {_NB}) GROUP BY 1, 2, 3, 4),
-p AS (SELECT *, n / (sum(n) OVER (PARTITION BY sample, axis))::DOUBLE p FROM c),
-m AS (SELECT sample, axis, sum(p * (i - j) * (i - j)) con, sum(p * p) en, sum(p / (1 + (i - j) * (i - j))) ho, sum(p * i) mu, sum(p * i * i) - sum(p * i) * sum(p * i) va, sum(p * i * j) ij, -sum(p * log2(p)) ent FROM p GROUP BY 1, 2)
-SELECT sample, axis, round(con, 4) contrast, round(en, 4) energy, round(ho, 4) homogeneity, round(CASE WHEN va > 1e-12 THEN (ij - mu * mu) / va ELSE 1 END, 4) correlation, round(ent, 4) + 0 entropy FROM m""",
+g AS (SELECT sample, axis, sum(n) t, sum(n * (i - j) * (i - j)) con, sum(n * n) en, sum(n / (1 + (i - j) * (i - j))::DOUBLE) ho, sum(n * i) si, sum(n * i * i) sii, sum(n * i * j) sij, sum(n * log2(n)) nl FROM c GROUP BY 1, 2)
+SELECT sample, axis, round(con / t::DOUBLE, 9) contrast, round(en / (t * t)::DOUBLE, 9) energy, round(ho / t, 9) homogeneity, round(CASE WHEN t * sii - si * si > 0 THEN (t * sij - si * si) / (t * sii - si * si)::DOUBLE ELSE 1 END, 9) correlation, round(log2(t) - nl / t, 6) + 0 entropy FROM g""",
 )
 def _(t):
-    return rounded(radiomics.glcm(t.voxels(), "sample"), 4).withColumn("entropy", F.col("entropy") + 0.0)
+    # at nine digits no quotient of these counts lies halfway between two roundings
+    return rounded(radiomics.glcm(t.voxels(), "sample").withColumn("entropy", F.round("entropy", 6) + 0.0), 9)
 
 
 _RUN = """(WITH m AS (SELECT user_id, event_id, CAST(floor(value / 25) AS INT) level FROM events),
@@ -385,6 +392,56 @@ def _(t):
     return m.transform(d).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
+def _labelled(t):
+    return t("lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice", (F.col("l_quantity") + F.col("l_orderkey") % 7 * 3 > 30).cast("double").alias("label"))
+
+
+_PREDICTORS = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query("models_evaluate")
+def _(t):
+    """Three kinds of models by AUROC, accuracy and macro F1."""
+    d = _labelled(t)
+    fits = {"lr": models.fit_lr(d, _PREDICTORS), "rf": models.fit_rf(d, _PREDICTORS, trees=10, depth=4), "svm": models.fit_svm_linear(d, _PREDICTORS, maxIter=20)}
+    out = [models.evaluate(m, d).withColumn("model", F.lit(name)) for name, m in fits.items()]
+    return rounded(out[0].unionByName(out[1]).unionByName(out[2]), 3)
+
+
+@query("models_importance", "SELECT 'l_quantity' feature, true first")
+def _(t):
+    """The feature that makes the label comes first."""
+    d = _labelled(t)
+    top = models.importance(models.fit_rf(d, _PREDICTORS, trees=10, depth=4), _PREDICTORS, t.spark).orderBy(F.desc("importance")).limit(1)
+    return top.select("feature", (F.col("importance") > 0.5).alias("first"))
+
+
+@query("models_lasso_select", "SELECT 'l_quantity' feature")
+def _(t):
+    """Only the feature that makes the label keeps a coefficient."""
+    return t.spark.createDataFrame([(f,) for f in models.lasso_select(_labelled(t), _PREDICTORS, "label", 0.05)], "feature string")
+
+
+@query("models_cv_search", "SELECT CAST(3 AS INT) candidates, true better_than_chance")
+def _(t):
+    from pyspark.ml.classification import LogisticRegression
+
+    d = _labelled(t).withColumn("fold", (F.col("l_orderkey") % 3).cast("int"))
+    lr = LogisticRegression(labelCol="label", maxIter=10)
+    grid = [{lr.regParam: p["regParam"]} for p in models.random_grid({"regParam": (1e-4, 1e-1, "log")}, 3)]
+    out = models.cv_search(d, _PREDICTORS, grid, lr)
+    return t.spark.createDataFrame([(len(out["mean"]), bool(min(out["mean"]) > 0.6))], "candidates int, better_than_chance boolean")
+
+
+@query("models_cox_outputs")
+def _(t):
+    """Concordance of a fitted risk, and mean survival at three times."""
+    d = t("orders").select("o_orderkey", F.datediff("o_orderdate", F.lit("1970-01-01")).alias("time"), (F.col("o_orderstatus") == "F").alias("event"), (F.col("o_totalprice") / 1e5).alias("x"))
+    c = models.Cox(["x"]).fit(d)
+    at = c.survival_at(d, c.baseline(d), [8500.0, 9000.0, 9500.0], "o_orderkey").groupBy("time").agg(F.avg("survival").alias("survival"))
+    return rounded(at.join(F.broadcast(c.c_index(d))))
+
+
 @query("models_cox")
 def _(t):
     d = t.survival().withColumn("x", F.col("risk") * 10)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.functions.hashing import require_columns
+from tilewright.plans.lineage import written
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str, kind: str = "parquet", **options) -> DataFrame:
@@ -41,16 +43,28 @@ def parse_embedding_keys(df: DataFrame, key: str = "key") -> DataFrame:
 
 
 def write_patches(df: DataFrame, path: str, slide: str = "slide_id", buckets: int = 64) -> None:
-    """Replace the slides of ``df``: other buckets of slides stay. Attention defaults to ones.
-
-    ``df`` has to hold all slides of the buckets it touches.
-    """
+    """Replace the slides of ``df``; all other slides stay, also those that share a bucket with one of them. Attention defaults to ones."""
     require_columns(df, slide, "embedding")
     out = df if "attention_score" in df.columns else df.withColumn("attention_score", F.lit(None).cast("float"))
     out = out.withColumn("attention_score", F.coalesce("attention_score", F.lit(1.0)).cast("float")).withColumn("bucket", F.pmod(F.crc32(F.col(slide).cast("string")), F.lit(buckets)))
+    old = _stored(df.sparkSession, path)
+    if old is not None:  # the rest of the buckets that are written anew
+        out = written(out)
+        rest = old.join(out.select("bucket").distinct(), "bucket", "left_semi").join(out.select(slide).distinct(), slide, "left_anti")
+        out = written(out.unionByName(rest, allowMissingColumns=True))
     (out.repartition("bucket").sortWithinPartitions("bucket", slide).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(path))
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def read_patches(patches: DataFrame, slide=None, split: str | None = None, catalog: DataFrame | None = None, slide_col: str = "slide_id") -> DataFrame:
     """Patches of one slide, or of the slides that the catalog puts in a split. An unknown slide raises."""
     out = patches
