@@ -1,16 +1,19 @@
 """Known values, invariants and states that SQL doesn't cover."""
 
 import itertools
+import math
 import random
 import struct
 import zlib
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import arrays as A
 from tilewright.operators import calibration, contract, dedup, explain, fusion, graph, losses, metrics, models, radiomics, sampling, splits, survival, tiles, trials, vectors
-from tilewright.operators.prefix import running_sum
+from tilewright.operators.prefix import numbered, percentiles, running, running_sum
 from tilewright.sources import tables
 
 
@@ -122,6 +125,77 @@ def test_c_index_equals_pairs(spark, seed):
     assert survival.c_index(df, "t", "e", "r").first().c_index == pytest.approx(good / total)
 
 
+def test_c_index_of_continuous_risks(spark):
+    rng = np.random.default_rng(5)
+    n = 20_000
+    t, e, r, g = rng.integers(0, 3000, n), rng.random(n) < 0.4, np.round(rng.normal(size=n), 4), rng.integers(0, 2, n)
+    df = spark.createDataFrame(pd.DataFrame({"t": t, "e": e, "r": r, "g": g}))
+    for keep, by in ((np.ones(n, bool), ()), (g == 1, ("g",))):
+        good = total = 0.0
+        for i in np.flatnonzero(e & keep):
+            later = keep & ((t > t[i]) | ((t == t[i]) & ~e))
+            total += later.sum()
+            good += (r[later] < r[i]).sum() + (r[later] == r[i]).sum() / 2
+        got = survival.c_index(df, "t", "e", "r", by)
+        assert (got.where("g = 1") if by else got).first().c_index == pytest.approx(good / total, abs=1e-12)
+
+
+def test_percentiles(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, float(v)) for k in range(3) for v in rng.integers(0, 40, 50 + k)] + [(0, None)]
+    got = {r.k: r for r in percentiles(spark.createDataFrame(rows, "k int, v double"), "v", [0.0, 0.25, 0.5, 0.8, 1.0], ("k",)).collect()}
+    for k in range(3):
+        want = np.percentile([v for g, v in rows if g == k and v is not None], [0, 25, 50, 80, 100])
+        assert [got[k][f"p{i}"] for i in range(5)] == pytest.approx(list(want))
+
+
+def test_running_products(spark):
+    df = spark.createDataFrame([(i, 1 + i / 100) for i in range(60)], "k int, v double").repartition(4)
+    for r in running(df, "k", ["v"], fold="product").collect():
+        assert r.cum_v == pytest.approx(math.prod(1 + i / 100 for i in range(r.k + 1)))
+
+
+def test_sized_bootstrap(spark):
+    df = spark.createDataFrame([(i, int(i < 20)) for i in range(100)], "id long, y int")
+    for size in (10, 250):
+        b = sampling.bootstrap_stratified(df, "id", "y", 4, n_samples=size).groupBy("replicate").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+        assert all((r.n, r.p) == (size, size // 5) for r in b.collect())
+
+
+def test_one_class_folds_raise(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    df = spark.createDataFrame([(float(i % 2), float(i), i % 2) for i in range(20)], "label double, a double, fold int")
+    lr = LogisticRegression(labelCol="label")
+    with pytest.raises(ValueError):
+        models.cv_search(df, ["a"], [{lr.regParam: 0.1}], lr)
+
+
+def test_slides_of_a_bucket_stay(spark, tmp_path):
+    path = str(tmp_path / "p")
+    df = spark.createDataFrame([(f"s{i}", [float(i)]) for i in range(12)], "slide_id string, embedding array<float>")
+    tables.write_patches(df, path, buckets=2)
+    tables.write_patches(df.where("slide_id = 's3'").unionByName(df.where("slide_id = 's3'")), path, buckets=2)
+    assert dict(spark.read.parquet(path).groupBy("slide_id").count().collect()) == {f"s{i}": 1 + (i == 3) for i in range(12)}
+
+
+def test_cluster_members_as_rows(spark):
+    comp = spark.createDataFrame([(k, 0 if k < 5 else k) for k in range(8)], "id long, component long")
+    assert [tuple(r) for r in dedup.report(comp, "id").orderBy("rank").collect()] == [(0, 5, 0, k, k + 1) for k in range(5)]
+
+
+@pytest.mark.parametrize("threshold", [0, 2, 3])
+def test_more_blocks_find_the_same_pairs(spark, threshold, monkeypatch):
+    rng = random.Random(6)
+    h = [rng.getrandbits(60) for _ in range(40)]
+    h += [x ^ sum(1 << b for b in rng.sample(range(60), rng.randrange(6))) for x in h]
+    df = spark.createDataFrame(list(enumerate(h)), "id long, hash long")
+    want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(set(h), 2) if (a ^ b).bit_count() <= threshold}
+    monkeypatch.setattr(dedup, "CANDIDATES", -1)
+    got = [(r.hash_i, r.hash_j) for r in dedup.hamming_pairs(df, "id", threshold=threshold, bits=60).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_c_index_without_pairs(spark):
     assert survival.c_index(spark.createDataFrame([(1, False, 0.5)], "t int, e boolean, r double"), "t", "e", "r").first().c_index == 0.5
 
@@ -224,8 +298,8 @@ def test_bootstrap_keeps_class_shares(spark):
     assert all((r.n, r.p) == (100, 20) for r in b.collect())
 
 
-def test_dense_places(spark):
-    out = [r.place for r in sampling.dense(spark.range(500).toDF("k"), "k").collect()]
+def test_places(spark):
+    out = [r.place for r in numbered(spark.range(500).toDF("k"), "k").collect()]
     assert sorted(out) == list(range(500))
 
 
@@ -256,7 +330,7 @@ def test_scalars(spark):
 
 def test_models(spark):
     rng = random.Random(3)
-    rows = [(float(y), y + rng.gauss(0, 0.2), rng.gauss(0, 1), i % 2) for i in range(80) for y in [i % 2 if rng.random() < 0.97 else 1 - i % 2]]
+    rows = [(float(y), y + rng.gauss(0, 0.2), rng.gauss(0, 1), i // 2 % 2) for i in range(80) for y in [i % 2 if rng.random() < 0.97 else 1 - i % 2]]
     df = spark.createDataFrame(rows, "label double, a double, b double, fold int")
     for fit in (models.fit_lr, models.fit_svm_linear):
         assert fit(df, ["a", "b"]).transform(df).where("prediction = label").count() > 70
