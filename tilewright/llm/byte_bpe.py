@@ -2,7 +2,7 @@
 
 A word (a match of the pre-token pattern) is an array of its bytes, written in hexadecimal. A fold
 over the array merges the neighbours of the least rank, leftmost first, until no
-neighbours have a rank; the ranks come from a literal map, split by hash into
+neighbours have a rank (in a long word all places of the least rank at once); the ranks come from a literal map, split by hash into
 small maps because a lookup scans its map. The fold runs once for each of the
 ``words`` most frequent distinct words of the input and the results become a
 second literal map; words outside it are folded where they stand. Text is never
@@ -18,8 +18,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the dictionary of folded words.
-WORDS = 1 << 17
+#: Bound of the dictionary of folded words, in words and in bytes of a word.
+WORDS, WORD_BYTES = 1 << 17, 64
+#: Words of more bytes merge all places of the least rank in one step.
+LONG = 64
+#: Characters of a plan's text that the session keeps.
+PLAN_TEXT = 1 << 16
 RANK_MAPS, WORD_MAPS = 1 << 14, 1 << 15
 
 
@@ -104,14 +108,40 @@ class Encoder:
         def start(p):
             return F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, i: rank(F.concat(F.get(p, i), x))).alias("r"))
 
+        def all_merged(s):
+            # of places in a row every other one merges, from the left; p[i] takes p[i + 1] in where m[i] is 1
+            hits = F.array_join(F.transform(s["r"], lambda x: F.when(x == s["least"], "1").otherwise("0")), "")
+            return _let(F.split(F.regexp_replace(hits, "11", "10"), ""), lambda m: with_marks(s["p"], s["r"], m))
+
+        def with_marks(p, r, m):
+            one = lambda i: F.coalesce(F.get(m, i) == "1", F.lit(False))
+            left = lambda i: F.concat(F.when(one(i - 1), F.get(p, i - 1)).otherwise(""), F.get(p, i))
+            right = lambda i: F.concat(F.get(p, i + 1), F.when(one(i + 1), F.get(p, i + 2)).otherwise(""))
+            pieces = F.transform(p, lambda x, i: F.when(one(i), F.concat(x, F.get(p, i + 1))).when(~one(i - 1), x))
+            ranks = F.transform(r, lambda x, i: F.when(one(i), gone).when(one(i - 1) | one(i + 1), rank(F.concat(left(i), right(i)))).otherwise(x))
+            return F.struct(F.filter(pieces, lambda x: x.isNotNull()).alias("p"), F.filter(ranks, lambda x: x.isNull() | (x != gone)).alias("r"))
+
+        def with_least(s):
+            return F.struct(s["p"].alias("p"), s["r"].alias("r"), F.array_min(s["r"]).alias("least"))
+
+        def long_step(s, _):
+            return F.when(s["least"].isNull(), s).otherwise(_let(all_merged(s), with_least))
+
+        def run(p):
+            short = F.aggregate(F.slice(p, F.lit(2), F.size(p)), start(p), step)
+            # a fold copies its state in every step, so the steps that are left when all is merged are skipped in turns
+            turns = F.sequence(F.lit(1), F.ceil(F.sqrt(F.size(p))).cast("int"))
+            long = F.aggregate(turns, _let(start(p), with_least), lambda s, _: F.when(s["least"].isNull(), s).otherwise(F.aggregate(turns, s, long_step)))
+            return F.when(F.size(p) <= LONG, short["p"]).otherwise(long["p"])
+
         return _let(
             F.regexp_extract_all(F.hex(word), F.lit(".."), F.lit(0)),
-            lambda p: F.transform(F.aggregate(F.slice(p, F.lit(2), F.size(p)), start(p), step)["p"], rank),
+            lambda p: F.transform(run(p), rank),
         )
 
     def dictionary(self, docs: DataFrame, text_col: str = "text", words: int = WORDS) -> str:
         """Ids of the most frequent distinct words of all texts (at most ``words``), as the JSON of the word maps."""
-        counted = docs.select(F.explode(words_of(F.col(text_col), self.pattern)).alias("word")).groupBy("word").count()
+        counted = docs.select(F.explode(words_of(F.col(text_col), self.pattern)).alias("word")).where(F.octet_length("word") <= WORD_BYTES).groupBy("word").count()
         top = counted.orderBy(F.desc("count"), "word").limit(words).select("word").repartition("word")
         folded = top.select("word", _let(self.table, lambda t: self.fold(F.col("word"), t)).alias("ids"))
         entry = F.concat(F.expr("substring(to_json(struct(word)), 9, length(to_json(struct(word))) - 9)"), F.lit(":["), F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("]"))
@@ -144,8 +174,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
     """``docs`` with a column of ids (a column of that name is replaced), and the encoder.
 
     Null and empty texts have no ids. Repeated rows come back repeated, an empty
-    table gives no rows. A run without a break costs the square of its length.
+    table gives no rows, extra columns stay. A long word takes a step for each different
+    rank that it merges, each as long as what is left of it. Merging all places of a
+    rank at once gives the library's ids if every token of the vocabulary encodes to
+    itself, as those of a trained vocabulary do: then no merge makes a pair of a lower rank.
+
+    The plan holds constants of some megabytes, and Spark keeps each plan's text, so
+    the session's limit of that text is lowered to PLAN_TEXT.
     """
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
     e = Encoder(ranks or rank_table(), java_pattern(pattern))
     return docs.withColumn(ids_col, e.encode(F.col(text_col), e.dictionary(docs, text_col, words))), e
 
