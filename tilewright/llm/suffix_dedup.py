@@ -230,14 +230,27 @@ def smallest_owner(pieces: list[bytes], owners: np.ndarray, min_len: int) -> tup
 
 _NAMES = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("names", T.BinaryType()), T.StructField("varied", T.BinaryType())])
 _SHARED = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("shared", T.BinaryType()), T.StructField("hot", T.BinaryType())])
-_SENT = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("head", T.BinaryType()), T.StructField("bytes", T.BinaryType())])
-_MARKS = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("marks", T.BinaryType())])
+_SENT = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("head", T.BinaryType()), T.StructField("bytes", T.BinaryType())])
+_MARKS = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("marks", T.BinaryType())])
 #: name, id, row in the block, offset in the document, length of a passage
 _HEAD = np.dtype([("name", "<u4"), ("id", "<i8"), ("row", "<u4"), ("at", "<u4"), ("size", "<u4")])
 #: row in the block, first byte and end of a run of bytes that go
 _MARK = np.dtype([("row", "<u4"), ("from", "<u4"), ("to", "<u4")])
 
 
+def _packed(head: np.ndarray) -> bytes:
+    """Records column by column, compressed."""
+    return pa.compress(b"".join(np.ascontiguousarray(head[f]).tobytes() for f in head.dtype.names), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, kind: np.dtype) -> np.ndarray:
+    raw, at, out = pa.decompress(data, n * kind.itemsize, codec="zstd", asbytes=True), 0, np.empty(n, kind)
+    for f in kind.names:
+        out[f] = np.frombuffer(raw, kind[f], n, at)
+        at += n * kind[f].itemsize
+    return out
+
+
 def _arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -378,7 +391,7 @@ def _sent_by_block(id_col, text_col, min_len, buckets, name_buckets, varied):
                     bodies.append(body)
         out: list[tuple] = []
         if settled:
-            out.append((block % buckets, block, 1, np.array(settled, _MARK).tobytes(), b""))
+            out.append((block % buckets, block, 1, len(settled), _packed(np.array(settled, _MARK)), b""))
         if heads:
             name, *rest = (np.array(x) for x in zip(*heads, strict=True))
             head = np.empty(len(heads), _HEAD)
@@ -389,8 +402,9 @@ def _sent_by_block(id_col, text_col, min_len, buckets, name_buckets, varied):
             order = np.argsort(bucket, kind="stable")
             for p in _parts(bucket[order]):
                 part = order[p]
-                out.append((int(bucket[part[0]]), block, 0, head[part].tobytes(), b"".join([bodies[i] for i in part.tolist()])))
-        columns = list(zip(*out, strict=True)) or [[]] * 5
+                body = pa.compress(b"".join([bodies[i] for i in part.tolist()]), codec="zstd", asbytes=True)
+                out.append((int(bucket[part[0]]), block, 0, len(part), _packed(head[part]), body))
+        columns = list(zip(*out, strict=True)) or [[]] * 6
         return pa.table({f.name: list(c) for f, c in zip(_SENT, columns, strict=True)}, schema=_arrow(_SENT))
 
     return run
@@ -398,15 +412,17 @@ def _sent_by_block(id_col, text_col, min_len, buckets, name_buckets, varied):
 
 def _marks_of_bucket(min_len):
     def run(table: pa.Table) -> pa.Table:
-        blocks, marks = [], []
+        blocks, counts, marks = [], [], []
         heads, bodies, home = [], [], []
-        for block, kind, head, body in zip(*(table.column(c).to_pylist() for c in ("block", "kind", "head", "bytes")), strict=True):
+        for block, kind, n, head, body in zip(*(table.column(c).to_pylist() for c in ("block", "kind", "n", "head", "bytes")), strict=True):
             if kind:
                 blocks.append(block)
+                counts.append(n)
                 marks.append(head)
                 continue
-            h = np.frombuffer(head, _HEAD)
+            h = _unpacked(head, n, _HEAD)
             stop = np.cumsum(h["size"].astype(np.int64)).tolist()
+            body = pa.decompress(body, int(h["size"].sum(dtype=np.int64)), codec="zstd", asbytes=True)
             bodies += [body[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
             heads.append(h)
             home.append(np.full(len(h), block, np.int64))
@@ -434,8 +450,9 @@ def _marks_of_bucket(min_len):
             for part in np.split(by, np.flatnonzero(np.diff(block[by])) + 1):
                 if len(part):
                     blocks.append(int(block[part[0]]))
-                    marks.append(mark[part].tobytes())
-        return pa.table({"block": blocks, "marks": marks}, schema=_arrow(_MARKS))
+                    counts.append(len(part))
+                    marks.append(_packed(mark[part]))
+        return pa.table({"block": blocks, "n": counts, "marks": marks}, schema=_arrow(_MARKS))
 
     return run
 
@@ -480,7 +497,7 @@ def _cut_block(id_col, text_col, schema, whole_chars):
         if not left.num_rows:
             return to.empty_table()
         _, texts, order, row = _rows(left, id_col, text_col)
-        marks = np.frombuffer(b"".join(right.column("marks").to_pylist()), _MARK)
+        marks = np.concatenate([np.empty(0, _MARK), *[_unpacked(b, n, _MARK) for n, b in zip(right.column("n").to_pylist(), right.column("marks").to_pylist(), strict=True)]])
         marks = marks[np.argsort(marks["row"], kind="stable")]
         at = np.searchsorted(marks["row"], np.arange(len(texts) + 1))
         spans, kept = [], []
