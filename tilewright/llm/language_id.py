@@ -3,8 +3,9 @@
 Bytes are embedded, filters of several widths slide over a window of fixed
 length, each filter keeps its maximum and a softmax names the language. A whole
 text is cut into windows; its windows' scores are averaged, weighted by their
-bytes. Training happens on a bounded sample of labelled rows (``per_lang`` rows a
-language, ``WINDOWS`` windows a row); all else covers every text.
+bytes. Training happens on a bounded sample of labelled rows (about ``per_lang`` rows a
+language and ``most_rows`` in all, ``WINDOWS`` windows a row); all else covers every text,
+however long, and every language that is labelled.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 8, 8
-PER_LANG, LANGS, WINDOWS, DEALT = 500, 500, 4, 32
+PER_LANG, ROWS, WINDOWS = 500, 50_000, 4
 BATCH = 512
 UNKNOWN = "und"
 FOLDS, HELD = 4, 2
@@ -101,17 +102,18 @@ def cut(text: bytes) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCnn | None:
-    """A network for the labelled languages of the rows that aren't held out, at most the ``LANGS`` most frequent. None without any."""
-    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGS).select(lang_col)
-    order = F.xxhash64(F.lit("lang"), id_col)
-    first = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(order, id_col)) <= per_lang
-    known = rows.join(F.broadcast(langs), lang_col, "left_semi").select(lang_col, id_col, F.pmod(F.xxhash64(id_col), F.lit(DEALT)).alias("dealt"))
-    # first within the parts of a language, then among their at most DEALT * per_lang rows: no task sees a whole language
-    parts = known.withColumn("ok", first(lang_col, "dealt")).where("ok").withColumn("ok", first(lang_col)).where("ok")
-    ids = parts.select(id_col).distinct()
-    sample = rows.join(F.broadcast(ids), id_col, "left_semi").select(id_col, lang_col, text_col)  # at most LANGS * per_lang ids
+def train(docs: DataFrame, per_lang: int = PER_LANG, most_rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCnn | None:
+    """A network for all languages of the labelled rows that aren't held out. None without any.
+
+    A language gives the share of its rows that is expected to be ``per_lang`` rows, or fewer
+    where there are more than ``most_rows / per_lang`` languages, chosen by a hash.
+    """
+    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    langs = counts.count()
+    share = F.least(F.lit(1.0), F.lit(min(per_lang, most_rows / max(1, langs))) / F.col("_n"))
+    chosen = F.shiftrightunsigned(F.xxhash64(F.lit("lang"), "id", "text"), 11) / F.lit(float(1 << 53)) < F.col("_share")
+    sample = rows.join(counts.select(F.col("lang").alias("_lang"), share.alias("_share")), F.col("lang") == F.col("_lang")).where(chosen).select("id", "lang", "text")
 
     def windows(batches):
         for batch in batches:
@@ -140,6 +142,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, text_col: str = "text") -> D
     """Columns ``row`` (struct of the input's columns), ``lang_pred`` and ``score``.
 
     ``und`` with score 0 where the text is null or has no letter, and where no language was learned.
+    Repeated rows come back repeated, an empty table gives no rows, extra columns travel in ``row``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
