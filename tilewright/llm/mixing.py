@@ -22,8 +22,8 @@ from tilewright.llm.common import written
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 SEED = "mix-1"
-#: Hash ranges of a queue (16 ** digits) and bins of the finish times.
-RANGE_DIGITS = 2
+#: Documents in a hash range of all queues, about; bins of the finish times up to 1, where the targets are met.
+RANGE_ROWS = 1 << 16
 BINS = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,7 +69,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = EPOCHS, seed: str = SEED, i
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("-"))))
     sizes = written(docs.select(F.col(id_col), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")))
     targets = written(source_targets(sizes, weights, cap))
-    keyed = sizes.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    digits, n = 2, sizes.count()
+    while 16**digits * RANGE_ROWS < n and digits < 8:
+        digits += 1
+    keyed = sizes.withColumn("range", F.substring("key", 1, digits))
     inside = W.partitionBy("source", "range").orderBy("key", F.col(id_col).asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0)
     totals = keyed.groupBy("source", "range").agg(F.sum("size").alias("n"))
     offset = totals.select(F.col("source").alias("s"), F.col("range").alias("r"), (F.sum("n").over(W.partitionBy("source").orderBy("range")) - F.col("n")).alias("offset"))
@@ -79,10 +82,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = EPOCHS, seed: str = SEED, i
     queued = queued.join(t, _same(queued["source"], t["ts"])).select(id_col, "source", "range", "nth", "size", "source_size", "target", (F.col("own") + F.col("offset")).alias("sum"))
     queued = written(queued)
 
-    # entries whose service begins after the targets are met can't be reached within the budget by more than one a source
     epoch = F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))
     entries = queued.where("size > 0").withColumn("epoch", epoch).withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("sum")).cast("double") / F.col("target"))
-    entries = entries.withColumn("bin", F.floor(F.col("finish") * BINS).cast("long"))
+    # the queue is cut about where the targets are met, at 1; what ends after 2 is in one bin, so bins are bounded
+    entries = entries.withColumn("bin", F.floor(F.least(F.col("finish"), F.lit(2.0)) * BINS).cast("long"))
     budget = sizes.agg(F.sum("size")).first()[0] or 0
     bins = entries.groupBy("bin").agg(F.sum("size").alias("n"))
     running = bins.select("bin", F.sum("n").over(W.orderBy("bin")).alias("upto"), "n")

@@ -4,9 +4,9 @@ Rows are dealt into buckets by a hash of their id. How many rows of each bucket
 go to each shard is drawn as in a uniform permutation of all rows, a
 multivariate hypergeometric draw bucket by bucket. Each bucket permutes its rows
 and hands the first part to shard 0, the next to shard 1 and so on; each shard
-permutes what it got. Only the matrix (buckets x shards counts) is on the driver.
-Shards are permuted in hash ranges, so neither step has a task that grows with
-the input: ``rows_per_task`` sets the number of buckets and ranges.
+permutes what it got. Only the matrix is on the driver, BUCKETS x shards counts at most.
+Buckets and shards are permuted in hash ranges, so neither step has a task that
+grows with the input: ``rows_per_task`` sets the number of ranges.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from tilewright.llm.common import written
 SHARDS = 16
 SEED = 20240229
 ROWS_PER_TASK = 20_000
+#: Most rows of the communication matrix.
+BUCKETS = 1024
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
@@ -70,6 +72,16 @@ def communication_matrix(counts: list[int], shards: int, seed: int = SEED) -> li
     return out
 
 
+def _placed(df: DataFrame, group: str, ranges: int, id_col: str) -> DataFrame:
+    """``_nth``: the place from 0 by ``_order`` within a group, from ranges of the order and their offsets."""
+    df = df.withColumn("_range", F.floor((F.shiftrightunsigned("_order", 1) / F.lit(float(1 << 63))) * ranges).cast("int"))
+    counts = df.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    offset = counts.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), (F.sum("_n").over(W.partitionBy(group).orderBy("_range")) - F.col("_n")).alias("_offset"))
+    inside = F.row_number().over(W.partitionBy(group, "_range").orderBy(F.shiftrightunsigned("_order", 1), F.col(id_col).asc_nulls_first(), "size", "text_crc32")) - 1
+    out = df.withColumn("_inside", inside).join(offset, (F.col(group) == F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return out.withColumn("_nth", (F.col("_inside") + F.col("_offset")).cast("long")).drop("_inside", "_offset", "_range", "_g", "_r")
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``id_col``, ``size``, ``text_crc32``, ``shard`` and ``slot`` of every row.
 
@@ -80,30 +92,20 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     n = docs.count()
-    buckets = n // rows_per_task + 1
+    buckets = min(BUCKETS, n // rows_per_task + 1)
     hashed = lambda k: F.xxhash64(F.lit(seed + k), F.col(id_col), F.col("size"), F.col("text_crc32"))
-    dealt = base.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(buckets)).cast("int"))
-    found = {r["bucket"]: r["n"] for r in dealt.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    dealt = base.withColumn("_bucket", F.pmod(hashed(0), F.lit(buckets)).cast("int"))
+    found = {r["_bucket"]: r["n"] for r in dealt.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}  # at most BUCKETS rows
     matrix = communication_matrix([found.get(b, 0) for b in range(buckets)], shards, seed)
-    bounds = []
-    for b, row in enumerate(matrix):
-        upto = [sum(row[: k + 1]) for k in range(shards)]
-        bounds.append((b, upto))
-    table = docs.sparkSession.createDataFrame(bounds, "b int, upto array<long>")
-    order = ("order", F.col(id_col).asc_nulls_first(), "size", "text_crc32")
-    placed = dealt.withColumn("order", hashed(1)).withColumn("nth", F.row_number().over(W.partitionBy("bucket").orderBy(*order)))
-    placed = placed.join(table, placed["bucket"] == table["b"])
-    placed = placed.withColumn("shard", F.size(F.filter("upto", lambda x: x < F.col("nth"))).cast("int"))
-    ranges = n // shards // rows_per_task + 1
-    placed = placed.withColumn("order", hashed(2))
-    # contiguous ranges of the hash, so that slots follow the second permutation over the whole shard
-    placed = placed.withColumn("range", F.floor((F.shiftrightunsigned("order", 1) / F.lit(float(1 << 63))) * ranges).cast("int"))
-    placed = written(placed.select(id_col, "size", "text_crc32", "shard", "range", F.shiftrightunsigned("order", 1).alias("order")))
-    counts = placed.groupBy("shard", "range").agg(F.count("*").alias("n"))
-    offset = counts.select(F.col("shard").alias("s"), F.col("range").alias("r"), (F.sum("n").over(W.partitionBy("shard").orderBy("range")) - F.col("n")).alias("offset"))
-    inside = F.row_number().over(W.partitionBy("shard", "range").orderBy(*order)) - 1
-    out = placed.withColumn("inside", inside).join(offset, (F.col("shard") == F.col("s")) & (F.col("range") == F.col("r")))
-    return out.select(id_col, "size", "text_crc32", "shard", (F.col("inside") + F.col("offset")).cast("long").alias("slot"))
+    bounds = [(b, [sum(row[: k + 1]) for k in range(shards)]) for b, row in enumerate(matrix)]
+    table = docs.sparkSession.createDataFrame(bounds, "_b int, _upto array<long>")
+    placed = _placed(dealt.withColumn("_order", hashed(1)), "_bucket", n // buckets // rows_per_task + 1, id_col)
+    placed = placed.join(table, F.col("_bucket") == F.col("_b"))
+    placed = placed.withColumn("shard", F.size(F.filter("_upto", lambda x: x <= F.col("_nth"))).cast("int"))
+    # a second permutation over each whole shard
+    placed = written(placed.withColumn("_order", hashed(2)).select(id_col, "size", "text_crc32", "shard", "_order"))
+    out = _placed(placed, "shard", n // shards // rows_per_task + 1, id_col)
+    return out.select(id_col, "size", "text_crc32", "shard", F.col("_nth").alias("slot"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
