@@ -2,8 +2,8 @@
 
 ``parse`` reads a stream the way players have to: skip tags, find the first frame
 header whose successor is a header too, follow the frames, look for the next
-header where one is missing, check the CRC of protected frames, and read the
-variable-bitrate table of the first frame. Durations are exact: samples and
+header where one is missing, check the CRC of protected frames of all layers, and read
+the variable-bitrate table (Xing or VBRI) of the first frame. Durations are exact: samples and
 sample rate, never a rounded number. ``mux`` writes a payload into the main data
 of Layer III frames, a variable-bitrate stream with tags, table and checksums.
 """
@@ -49,11 +49,15 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
-def crc16(data: bytes) -> int:
-    """The frame checksum: over the header's last two bytes and the side information."""
+def crc16(data: bytes, more: tuple[bytes, int] = (b"", 0)) -> int:
+    """The frame checksum: over the header's last two bytes and the first bits of what follows it."""
+    body, bits = more
     c = 0xFFFF
-    for b in data:
+    for b in data + body[: bits // 8]:
         c = (c << 8 & 0xFFFF) ^ _CRC[c >> 8 ^ b]
+    for i in range(bits % 8):
+        high = (c >> 15) ^ (body[bits // 8] >> (7 - i) & 1)
+        c = (c << 1 & 0xFFFF) ^ (CRC_POLY if high else 0)
     return c
 
 
@@ -92,51 +96,109 @@ def _tags(data: bytes) -> tuple[int, dict[str, str]]:
     return end, tags
 
 
+def _tag_v1(data: bytes, at: int) -> bool:
+    """Whether an ID3v1 tag stands here, at the end. (Only asked where a frame has ended: a payload may hold the same letters.)"""
+    return len(data) - at == 128 and data[at : at + 3] == b"TAG"
+
+
 def parse(data: bytes | None) -> dict:
     """Frames, exact duration, seek offsets and payload of a stream; garbage and empty input give no frames."""
     data = data or b""
     at, tags = _tags(data)
-    stop = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
+    stop = len(data)
     offsets, samples, rate, skipped, bad_crc, kbits, table, body = [], 0, None, 0, 0, 0, None, []
     synced = False
     while at + 4 <= stop:
         h = header(data[at : at + 4])
         # a header counts once the next frame begins where this one ends, or the stream ends there
-        if h and h[3] > 4 and at + h[3] <= stop and (synced or at + h[3] == stop or header(data[at + h[3] : at + h[3] + 4])):
+        if h and h[3] > 4 and at + h[3] <= stop and (synced or at + h[3] == stop or header(data[at + h[3] : at + h[3] + 4]) or _tag_v1(data, at + h[3])):
             layer, hz, n, size, protected, side, kbps = h
             rate, synced = rate or hz, True
             start = at + 4 + 2 * protected
-            if protected and layer == 3 and crc16(data[at + 2 : at + 4] + data[start : start + side]) != struct.unpack(">H", data[at + 4 : at + 6])[0]:
-                bad_crc += 1
+            if protected:
+                covered = protected_bits(layer, data[at : at + size], side)
+                if covered is None or crc16(data[at + 2 : at + 4], covered) != int.from_bytes(data[at + 4 : at + 6]):
+                    bad_crc += 1
             main = start + side
-            if not offsets and table is None and data[main : main + 4] in (b"Xing", b"Info"):
-                table = vbr_table(data[main : at + size])
+            first = vbr_table(data[at : at + size], main - at) if not offsets and table is None else None
+            if first:
+                table = first
             else:
                 offsets.append(at)
                 samples += n
                 kbits += kbps
                 body.append(data[main : at + size])
             at += size
+        elif synced and _tag_v1(data, at):
+            at = stop
         else:
             found = data.find(b"\xff", at + 1, stop)
             found = stop if found < 0 else found
             skipped, synced, at = skipped + found - at, False, found
     payload = b"".join(body)
-    if "payload_bytes" in tags:
+    if tags.get("payload_bytes", "").isdecimal():
         payload = payload[: int(tags["payload_bytes"])]
     return {"frames": len(offsets), "samples": samples, "rate": rate, "offsets": offsets, "skipped": skipped, "bad_crc": bad_crc, "kbits": kbits, "table": table, "tags": tags, "payload": payload}
 
 
-def vbr_table(data: bytes) -> dict:
-    """Frame count, byte count and 100 seek points of a Xing table."""
-    flags, at, out = struct.unpack(">I", data[4:8])[0], 8, {"frames": None, "bytes": None, "toc": []}
-    for bit, name in ((1, "frames"), (2, "bytes")):
-        if flags & bit:
-            out[name] = struct.unpack(">I", data[at : at + 4])[0]
-            at += 4
-    if flags & 4:
-        out["toc"] = list(data[at : at + 100])
-    return out
+def vbr_table(frame: bytes, main: int) -> dict | None:
+    """Frame count, byte count and seek points of the Xing or VBRI table in a frame whose main data begins at ``main``; None where there is none."""
+    xing, vbri = frame[main:], frame[36:]
+    if xing[:4] in (b"Xing", b"Info") and len(xing) >= 8:
+        at, out = 8, {"frames": None, "bytes": None, "toc": []}
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if xing[7] & bit and at + 4 <= len(xing):
+                out[name] = int.from_bytes(xing[at : at + 4])
+                at += 4
+        return out | {"toc": list(xing[at : at + 100])} if xing[7] & 4 else out
+    if vbri[:4] == b"VBRI" and len(vbri) >= 26:  # always 32 bytes after the header
+        size, points, width = int.from_bytes(vbri[10:14]), int.from_bytes(vbri[18:20]), int.from_bytes(vbri[22:24])
+        toc = [int.from_bytes(vbri[26 + i * width : 26 + (i + 1) * width]) for i in range(points) if 26 + (i + 1) * width <= len(vbri)] if width else []
+        return {"frames": int.from_bytes(vbri[14:18]), "bytes": size, "toc": toc}
+    return None
+
+
+#: Fixed values of the format (ISO 11172-3, 13818-3): Layer II bits of allocation by subband, (subbands, bits) in order, of each table.
+ALLOCATION = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "lsf": ((4, 4), (7, 3), (19, 2))}
+
+
+def protected_bits(layer: int, frame: bytes, side: int) -> tuple[bytes, int] | None:
+    """What the frame's checksum covers after the header: bytes and how many of their bits count. None where the frame is too short."""
+    mode, version = frame[3] >> 6, frame[1] >> 3 & 3
+    channels = 1 if mode == 3 else 2
+    if layer == 3:
+        bits = side * 8
+    else:
+        bound = (frame[3] >> 4 & 3) * 4 + 4 if mode == 1 else 32  # subbands above it share one allocation
+        if layer == 1:
+            bits = 4 * (channels * min(bound, 32) + 32 - min(bound, 32))
+        else:
+            widths = [w for n, w in ALLOCATION[_layer2_table(version, frame, channels)] for _ in range(n)]
+            bound = min(bound, len(widths))
+            shared = channels == 2 and mode == 1
+            fields = [(w, c) for i, w in enumerate(widths) for c in range(1 if shared and i >= bound else channels)]
+            bits = sum(w for w, _ in fields)
+            # two bits of scale factor selection for each channel of a subband that has samples
+            at = 48
+            word = int.from_bytes(frame)
+            for i, w in enumerate(widths):
+                for _ in range(1 if shared and i >= bound else channels):
+                    if at + w > len(frame) * 8:
+                        return None
+                    taken = word >> (len(frame) * 8 - at - w) & ((1 << w) - 1)
+                    bits += 2 * (channels if shared and i >= bound else 1) * bool(taken)
+                    at += w
+    body = frame[6 : 6 + (bits + 7) // 8]
+    return (body, bits) if len(body) * 8 >= bits else None
+
+
+def _layer2_table(version: int, frame: bytes, channels: int) -> str:
+    if version != 3:
+        return "lsf"
+    rate, hz = KBPS[1, 2][(frame[2] >> 4) - 1] // channels, HZ[3][frame[2] >> 2 & 3]
+    if rate <= 48:
+        return "d" if hz == 32000 else "c"
+    return "a" if hz == 48000 or rate <= 80 else "b"
 
 
 def _frame_sizes() -> list[tuple[int, int]]:
@@ -199,7 +261,9 @@ def _columns(data: list[bytes | None]) -> pa.Array:
 def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
     """Columns ``row`` (struct of the input's columns) and ``audio`` (frames, exact duration as samples and rate, seek offsets, payload ...).
 
-    Null, empty and foreign bytes have no frames, rate null and an empty payload.
+    Null, empty and foreign bytes have no frames, rate null and an empty payload; a broken
+    tag or table counts as none. Streams of any length, repeated rows and an empty
+    table are no special cases; extra columns travel in ``row``.
     """
     base = df.select(F.struct("*").alias("row"))
 
