@@ -484,9 +484,10 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     rows = _copies(docs, similarity, id_col, text_col)
     least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "hash"))  # rows without an id come last
     kept = rows.groupBy("root").agg(least.alias("k")).select(F.col("k.id").alias("kept_id"), F.col("k.hash").alias("kept_hash"))
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    on = F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col("_hash") == F.col("kept_hash"))
-    return hashed.join(kept, on, "left_semi").dropDuplicates([id_col, "_hash"]).drop("_hash")
+    row = F.struct("*").alias("row")  # the input's columns by themselves, whatever their names
+    named = docs.select(row, F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own_hash"))
+    on = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash"))
+    return named.join(kept, on, "left_semi").dropDuplicates(["own_id", "own_hash"]).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
