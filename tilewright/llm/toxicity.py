@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POSITIVES, UNLABELLED = 2000, 6000
-FEATURES, LEAST_ROWS, LEAST_SHARE, LEAST_LIFT = 4096, 6, 0.02, 8.0
+FEATURES, LEAST_ROWS, LEAST_LIFT = 4096, 6, 8.0
 BEGINNINGS = (4, 5, 6)
 CACHE = 1 << 19
 FOLDS = 5
@@ -113,7 +113,7 @@ class _Rows:
 def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-4, beta: float = 0.0) -> tuple[dict[int, float], float]:
     """Weights by feature, and the bias, of a linear classifier under the non-negative risk (logistic loss)."""
     named, in_p = np.unique(np.concatenate(positive), return_counts=True)
-    often = in_p >= max(LEAST_ROWS, LEAST_SHARE * len(positive))
+    often = in_p >= LEAST_ROWS
     named, in_p = named[often], in_p[often]
 
     def places(row):  # where a row's features stand among the named ones
