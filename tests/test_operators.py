@@ -196,6 +196,25 @@ def test_more_blocks_find_the_same_pairs(spark, threshold, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("group, label", [("n", "draw"), ("place", "bucket"), ("fold", "l"), ("m", "t")])
+def test_splits_with_clashing_names(spark, group, label):
+    df = spark.createDataFrame([(i, i % 3, 0) for i in range(40)], f"{group} long, {label} int, o int")
+    s = splits.stratified(df, group, label, "o")
+    assert s.columns == [group, label, "split"] and s.count() == 40
+    assert splits.ratio(df, group).count() == 40
+    assert splits.time_aware(df.withColumn("at", F.timestamp_seconds(F.col(group))), group, "at").count() == 40
+    if group != "fold":
+        assert splits.kfold(df, group, label, "o").where("split = 'val'").count() == 40
+
+
+@pytest.mark.parametrize("by", ["pos", "neg", "cum_neg"])
+def test_curves_with_clashing_names(spark, by):
+    df = spark.createDataFrame([(i % 2, i / 10, 1) for i in range(10)], f"y int, value double, {by} int")
+    assert metrics.auroc(df, "y", "value", (by,)).columns == [by, "auroc"]
+    strata = metrics.by_stratum(df.withColumn("stratum", F.lit("x")), [by], "y", "y", "value")
+    assert strata.count() == 2
+
+
 def test_c_index_without_pairs(spark):
     assert survival.c_index(spark.createDataFrame([(1, False, 0.5)], "t int, e boolean, r double"), "t", "e", "r").first().c_index == 0.5
 

@@ -29,9 +29,12 @@ def histogram(df: DataFrame, y: str = "y_true", score: str = "score", by: tuple[
 
 def auroc(df: DataFrame, y: str = "y_true", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve, ties counted half; NULL where a class is absent."""
-    run = running(histogram(df, y, score, by), score, ["neg"], by)
+    names = {c: f"_by_{i}" for i, c in enumerate(by)}
+    own = df.select(F.col(y).alias("_y"), F.col(score).alias("_score"), *[F.col(c).alias(n) for c, n in names.items()])
+    run = running(histogram(own, "_y", "_score", tuple(names.values())), "_score", ["neg"], tuple(names.values()))
     part = F.col("pos") * (F.col("cum_neg") - F.col("neg") / F.lit(2.0))
-    return run.groupBy(*by).agg(F.try_divide(F.sum(part), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auroc"))
+    out = run.groupBy(*names.values()).agg(F.try_divide(F.sum(part), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auroc"))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], "auroc")
 
 
 def auroc_ovr(df: DataFrame, proba: str = "proba", y: str = "y_true", average: str = "macro") -> DataFrame:
@@ -134,7 +137,7 @@ def validate(df: DataFrame, y: str = "y_true", score: str = "score") -> DataFram
 def by_stratum(df: DataFrame, strata: list[str], y: str = "y_true", yhat: str = "y_pred", score: str = "score") -> DataFrame:
     """AUROC and accuracy overall and for each value of each stratum column (grouping sets, one expansion)."""
     tags = F.array(F.struct(F.lit("all").alias("stratum"), F.lit("").alias("value")), *[F.struct(F.lit(c).alias("stratum"), F.col(c).cast("string").alias("value")) for c in strata])
-    long = df.withColumn("_t", F.explode(tags)).select("_t.*", y, yhat, score)
+    long = df.withColumn("_t", F.explode(tags)).select("_t.*", F.col(y).alias("_y"), F.col(yhat).alias("_yhat"), F.col(score).alias("_score"))
     by = ("stratum", "value")
-    acc = long.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col(y) == F.col(yhat)).cast("double")).alias("accuracy"))
-    return acc.join(auroc(long, y, score, by), list(by))
+    acc = long.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("_y") == F.col("_yhat")).cast("double")).alias("accuracy"))
+    return acc.join(auroc(long, "_y", "_score", by), list(by))

@@ -72,14 +72,19 @@ def stratified(df: DataFrame, group: str, label: str, order: str, test: float =
     A label's table is a row a label, so its windows are small; members are ranked
     by md5 within buckets of it, so no label is ranked in one task.
     """
-    groups = patient_labels(df, group, label, order)
-    counts = groups.groupBy(label).agg(F.count("*").alias("n"))
-    counts = _quota(counts, label, test, "n_test")
-    counts = _quota(counts.withColumn("rest", F.col("n") - F.col("n_test")), label, val, "n_val", "rest")
-    ranked = _ranked(groups.withColumn("draw", draw(seed, group)), label, group)
-    joined = ranked.join(counts.select(F.col(label).alias("l"), "n_test", "n_val"), F.col(label).eqNullSafe(F.col("l")))
+    groups = _labelled(df, group, label, order)
+    counts = groups.groupBy("_label").agg(F.count("*").alias("n"))
+    counts = _quota(counts, "_label", test, "n_test")
+    counts = _quota(counts.withColumn("rest", F.col("n") - F.col("n_test")), "_label", val, "n_val", "rest")
+    ranked = _ranked(groups.withColumn("draw", draw(seed, "_group")), "_label", "_group")
+    joined = ranked.join(counts.select(F.col("_label").alias("l"), "n_test", "n_val"), F.col("_label").eqNullSafe(F.col("l")))
     split = F.when(F.col("place") <= F.col("n_test"), "test").when(F.col("place") <= F.col("n_test") + F.col("n_val"), "val").otherwise("train")
-    return joined.select(group, label, split.alias("split"))
+    return joined.select(F.col("_group").alias(group), F.col("_label").alias(label), split.alias("split"))
+
+
+def _labelled(df: DataFrame, group: str, label: str, order: str) -> DataFrame:
+    """``_group`` and its ``_label``: names of the input can't meet those of the work on them."""
+    return patient_labels(df, group, label, order).select(F.col(group).alias("_group"), F.col(label).alias("_label"))
 
 
 def _ranked(df: DataFrame, label: str, group: str, buckets: int = 256) -> DataFrame:
@@ -93,16 +98,17 @@ def _ranked(df: DataFrame, label: str, group: str, buckets: int = 256) -> DataFr
 
 def ratio(df: DataFrame, group: str, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
     """``group, split``: int(train * n), int(val * n), the rest test, in md5 order."""
-    groups = df.select(group).distinct().withColumn("draw", draw(seed, group)).withColumn("all", F.lit(0))
+    groups = df.select(F.col(group).alias("_group")).distinct().withColumn("draw", draw(seed, "_group")).withColumn("all", F.lit(0))
     n = groups.count()
     a, b = math.floor(train * n + 1e-9), math.floor(val * n + 1e-9)
     place = F.col("place")
-    return _ranked(groups, "all", group).select(group, F.when(place <= a, "train").when(place <= a + b, "val").otherwise("test").alias("split"))
+    return _ranked(groups, "all", "_group").select(F.col("_group").alias(group), F.when(place <= a, "train").when(place <= a + b, "val").otherwise("test").alias("split"))
 
 
 def time_aware(df: DataFrame, group: str, time: str, val_cut=None, test_cut=None) -> DataFrame:
     """``group, first_time, split``: by each group's earliest time; cuts default to its 50th and 80th percentile."""
-    first = df.groupBy(group).agg(F.min(F.col(time).cast("timestamp")).alias("first_time")).withColumn("at", F.unix_micros("first_time").cast("double"))
+    df = df.select(F.col(group).alias("_group"), F.col(time).alias("_time"))
+    first = df.groupBy("_group").agg(F.min(F.col("_time").cast("timestamp")).alias("first_time")).withColumn("at", F.unix_micros("first_time").cast("double"))
     micros = lambda t: F.unix_micros(F.lit(t).cast("timestamp")).cast("double")
     if val_cut is None or test_cut is None:
         first = written(first)
@@ -111,17 +117,18 @@ def time_aware(df: DataFrame, group: str, time: str, val_cut=None, test_cut=None
         cuts = df.sparkSession.range(1)
     cuts = cuts.select(*[(F.col(p) if given is None else micros(given)).alias(c) for c, p, given in (("c1", "p0", val_cut), ("c2", "p1", test_cut))])
     split = F.when(F.col("at") <= F.col("c1"), "train").when(F.col("at") <= F.col("c2"), "val").otherwise("test")
-    return first.join(F.broadcast(cuts)).select(group, "first_time", split.alias("split"))  # one row
+    return first.join(F.broadcast(cuts)).select(F.col("_group").alias(group), "first_time", split.alias("split"))  # one row
 
 
 def kfold(df: DataFrame, group: str, label: str, order: str, k: int = 5, seed: int = 42) -> DataFrame:
     """``group, fold, split, label``: each group is in ``val`` of one fold; labels are spread and begin at different folds."""
-    groups = patient_labels(df, group, label, order)
-    counts = groups.groupBy(label).agg(F.count("*").alias("n"))
-    begin = (F.sum("n").over(W.orderBy(F.asc_nulls_last(label))) - F.col("n")).alias("begin")
-    ranked = _ranked(groups.withColumn("draw", draw(seed, group)), label, group)
-    joined = ranked.join(counts.select(F.col(label).alias("l"), begin), F.col(label).eqNullSafe(F.col("l"))).withColumn("own", F.pmod(F.col("place") - 1 + F.col("begin"), F.lit(k)).cast("int"))
-    return joined.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select(group, "fold", F.when(F.col("own") == F.col("fold"), "val").otherwise("train").alias("split"), label)
+    groups = _labelled(df, group, label, order)
+    counts = groups.groupBy("_label").agg(F.count("*").alias("n"))
+    begin = (F.sum("n").over(W.orderBy(F.asc_nulls_last("_label"))) - F.col("n")).alias("begin")  # a row for each label
+    ranked = _ranked(groups.withColumn("draw", draw(seed, "_group")), "_label", "_group")
+    joined = ranked.join(counts.select(F.col("_label").alias("l"), begin), F.col("_label").eqNullSafe(F.col("l"))).withColumn("own", F.pmod(F.col("place") - 1 + F.col("begin"), F.lit(k)).cast("int"))
+    joined = joined.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return joined.select(F.col("_group").alias(group), "fold", F.when(F.col("own") == F.col("fold"), "val").otherwise("train").alias("split"), F.col("_label").alias(label))
 
 
 def group_kfold(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
