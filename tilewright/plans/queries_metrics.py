@@ -239,10 +239,11 @@ def _(t):
 @query("sampling_bootstrap_sized", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY id) - 1 i FROM {PRED}), c AS (SELECT y_true y, count(*) m FROM p GROUP BY 1),
 k AS (SELECT y, m, greatest(1, round_even(m / (sum(m) OVER ())::DOUBLE * 150, 0)) k FROM c), m AS (SELECT y, m, CAST(least(k, 150 - coalesce(sum(k) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) k FROM k),
 b AS (SELECT y, r, unnest(range(k)) j, m FROM m, range(20) a(r)), d AS (SELECT y, r, ('0x' || substr(md5('42|' || y || '|' || r || '|' || j), 1, 8))::BIGINT % m i FROM b)
-SELECT CAST(r AS INT) replicate, y_true, count(*) n, round(avg(score), 6) v FROM d JOIN p ON d.y = p.y_true AND d.i = p.i GROUP BY 1, 2""")
+SELECT CAST(r AS INT) replicate, y_true, count(*) n, round(avg(score), 12) v FROM d JOIN p ON d.y = p.y_true AND d.i = p.i GROUP BY 1, 2""")
 def _(t):
     b = sampling.bootstrap_stratified(t.predictions(), "id", "y_true", 20, n_samples=150)
-    return rounded(b.groupBy("replicate", "y_true").agg(F.count("*").alias("n"), F.avg("score").alias("v")))
+    # a mean of scores has at most twelve digits here, so none lies halfway between two roundings
+    return rounded(b.groupBy("replicate", "y_true").agg(F.count("*").alias("n"), F.avg("score").alias("v")), 12)
 
 
 @query("prefix_running_sum", 'SELECT l_quantity, CAST(n AS BIGINT) n, CAST(sum(n) OVER (ORDER BY l_quantity) AS BIGINT) cum_n FROM (SELECT l_quantity, count(*) n FROM lineitem GROUP BY 1)')
