@@ -40,6 +40,30 @@ def test_repeats_equal_brute_force(make, corpus, kw):
     check(make(corpus), corpus, list(range(len(corpus))), **kw)
 
 
+@pytest.mark.parametrize("hot_blocks", [2, 256])
+def test_repeats_of_a_hot_separator(make, vocabulary, hot_blocks):
+    rng = random.Random(3)
+    texts = []
+    for n in range(30):
+        words = [" ".join(rng.choices(vocabulary, k=12)) for _ in range(4)]
+        texts.append(f"\n{'-' * (30 + 3 * n)}\n".join(words))
+    check(make(texts), texts, list(range(30)), block_bytes=1500, hot_blocks=hot_blocks)
+
+
+def test_parts_of_a_long_text_lose_no_window(monkeypatch, vocabulary):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(vocabulary, k=900)).encode(), b"", b"-" * 70]
+    found = lambda: [suffix_dedup.Windows(t, s, e, 50) for _, _, t, s, e in suffix_dedup._chunks(texts, 50)]
+    names = lambda ws: np.unique(np.concatenate([w.strings() for w in ws]))
+    whole = found()
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 300)
+    parts = found()
+    assert len(parts) > 10 and sum(int(w.inside.sum()) for w in parts) == sum(int(w.inside.sum()) for w in whole)
+    assert set(names(parts)) <= set(names(whole))
+    for some, known in ((whole, names(parts)), (parts, names(whole)), (parts, names(parts))):  # each window holds a string that both know
+        assert all((w.holding(known) == w.inside).all() for w in some)
+
+
 def test_repeats_with_odd_ids(make, corpus):
     texts = corpus[:6] + corpus[3:5] * 3 + corpus[-8:]
     ids = [None, 5, 5, 7, -3, 7, 2, 2, 2, 9, None, 4, 1, 1, 3, 8, 6, 10, 11, 12][: len(texts)]
