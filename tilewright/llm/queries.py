@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import byte_bpe, language_id, mixing, mpeg_audio, multiset_hash, sharding, simhash, suffix_dedup, token_counts, toxicity
+from tilewright.llm import byte_bpe, language_id, mixing, mpeg_audio, multiset_hash, sharding, simhash, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.query,
     "op9_mpeg_audio": mpeg_audio.query,
     "op10_shuffle_shards": sharding.query,
+    "op11_token_files": token_files.query,
 }
 SQL = {
     "op1_suffix_array_dedup": suffix_dedup.SQL,
