@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import byte_bpe, language_id, mixing, mpeg_audio, multiset_hash, sharding, simhash, suffix_dedup, token_counts, token_files, toxicity
+from tilewright.llm import alignment, byte_bpe, hard_negatives, language_id, mixing, mpeg_audio, multiset_hash, sharding, simhash, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.query,
@@ -16,8 +16,11 @@ QUERIES = {
     "op9_mpeg_audio": mpeg_audio.query,
     "op10_shuffle_shards": sharding.query,
     "op11_token_files": token_files.query,
+    "op12_hard_negatives": hard_negatives.query,
+    "op13_token_alignment": alignment.query,
 }
 SQL = {
     "op1_suffix_array_dedup": suffix_dedup.SQL,
     "op6_mix_sources": mixing.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
