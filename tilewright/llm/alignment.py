@@ -23,16 +23,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.llm.token_counts import splitter, vocabulary_path
+from tilewright.llm.token_files import BYTE_LETTERS, Memory
 from tilewright.plans.lineage import written
 
-#: Most stretches that a worker keeps, and most words of the byte-level tokenizer; longer ones are encoded whenever they occur.
-KEPT = 1 << 19
-LONGEST = 64
+#: Most stretches that a worker keeps, and most words of the byte-level tokenizer.
+KEPT = 3 << 17
+#: Characters of texts that are aligned at a time.
+AT_ONCE = 1 << 20
 #: A cut that neither tokenizer's tokens cross: before a space, after anything that isn't white space.
 CUT = re.compile(r"(?<=\S)(?= )")
 #: A space that is no cut.
@@ -89,13 +92,6 @@ class CSR:
 # ---------------------------------------------------------------- tokenizers
 
 
-def _byte_letters() -> dict[str, int]:
-    """The letter of each byte in a byte-level vocabulary: printable Latin-1 stands for itself, the rest follows 256 in order."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(rest)}}
-
-
 class ByteLevel:
     """Tokenizer A: byte-level BPE of the tokenizers library; special strings inside texts are plain text."""
 
@@ -106,10 +102,9 @@ class ByteLevel:
         self.library.encode_special_tokens = True
         self.library.no_truncation()
         self.library.no_padding()
-        letters = _byte_letters()
+        letters = {chr(letter): byte for byte, letter in BYTE_LETTERS.items()}
         of = {i: bytes(letters[c] for c in x) if set(x) <= letters.keys() else x.encode() for x, i in self.library.get_vocab().items()}
         self.bytes = [of.get(i, b"") for i in range(max(of) + 1)]
-        self.words, self.kept = {}, kept
         import public_tokenizers
 
         with open(path, encoding="utf-8") as f:
@@ -117,21 +112,16 @@ class ByteLevel:
         pre = config.get("pre_tokenizer") or {}
         known = config.get("normalizer") is None and config.get("post_processor") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.find = splitter(public_tokenizers.PATTERN).findall if known else None
+        self.model, self.words = self.library.model, Memory(self.word, kept)
+
+    def word(self, word: str) -> list[int]:
+        """Of a word that is cut: the model's merges alone."""
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LETTERS))]
 
     def encode(self, text: str) -> list[int]:
         if self.find is None:
             return self.library.encode(text, add_special_tokens=False).ids
-        out = []
-        for word in self.find(text):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.library.encode(word, add_special_tokens=False).ids
-                if len(word) <= LONGEST:
-                    if len(self.words) >= self.kept:
-                        self.words.clear()
-                    self.words[word] = ids
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self.words.__getitem__, self.find(text))))
 
 
 class Pieces:
@@ -257,6 +247,17 @@ def stretches(text: str) -> list[str]:
     return [x[1:] for x in CUT.split(" " + text)]
 
 
+def slices(batches, column: str, at_once: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose texts have about ``at_once`` bytes; a longer text is a part by itself."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + at_once, "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 @lru_cache(maxsize=1)
 def _worker(a_path: str, b_path: str, kept: int) -> Stretches:
     return Stretches(a_path, b_path, kept)
@@ -285,7 +286,7 @@ def digest(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
     def align(batches) -> Iterator[pa.RecordBatch]:
         worker = _worker(a_path, b_path, kept)
         empty = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in slices(batches, "text", AT_ONCE):
             texts = [stretches(x) if x else None for x in batch.column("text").to_pylist()]
             worker.learn([x for x in texts if x])
             found = [worker.of(x) if x else None for x in texts]

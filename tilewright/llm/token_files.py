@@ -18,9 +18,12 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,11 @@ BUCKET_KEYS = 2048
 GAMMA = 2.0
 LEVELS = 64
 #: Most stretches and most words in a worker's cache; longer ones are encoded whenever they occur.
-CACHE_SIZE = 1 << 20
+CACHE_SIZE = 1 << 19
 LONGEST = 64
+#: The letters by which byte-level vocabularies write bytes: printable Latin-1 stands for itself, the rest follows 256 in order.
+_PLAIN_BYTES = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+BYTE_LETTERS = {**{b: b for b in _PLAIN_BYTES}, **{b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN_BYTES)))}}
 #: Below this code point characters neither compose with their neighbours nor change them when lowered.
 PLAIN = "ɐ"
 MAGIC = b"TWMPH001"
@@ -68,34 +74,42 @@ def put(store, path: str, data: bytes) -> None:
 # ---------------------------------------------------------------- encoding
 
 
-class _Words(dict):
-    """Ids of lower-case words, as bytes, by the library; bounded."""
+class Memory(dict):
+    """``encode(text)`` of texts seen of late; when half of ``most`` are there, only those asked for again are kept."""
 
     def __init__(self, encode, most: int):
-        self.encode, self.most = encode, most
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= LONGEST:
-            if len(self) >= self.most:
+        self.encode, self.half, self.old = encode, max(1, most // 2), {}
+
+    def __missing__(self, text: str):
+        found = self.old.get(text)
+        if found is None:
+            found = self.encode(text)
+        if len(text) <= LONGEST:
+            if len(self) >= self.half:
+                self.old = self.copy()
                 self.clear()
-            self[word] = ids
-        return ids
+            self[text] = found
+        return found
 
 
-class _Stretches(_Words):
+class _Stretches(Memory):
     """Ids of what stands between two spaces, as bytes: its words' ids where it is plain, else by the library."""
 
-    def __init__(self, encode, find, most: int):
+    def __init__(self, encode, word, pattern: str, most: int):
         super().__init__(self._split, most)
-        self.library, self.find, self.words = encode, find, _Words(encode, most)
+        self.library, self.words = encode, Memory(word, most)
+        self.find = splitter(pattern).findall
+        self.find_ascii = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r ")).findall
 
     def _split(self, stretch: str) -> bytes:
-        if not stretch:
-            return b""
+        low = stretch.lower()
+        if low.isascii():
+            if low.isalpha():
+                return self.words[low]
+            return self.library(stretch) if "<|" in low else b"".join(map(self.words.__getitem__, self.find_ascii(low)))
         if max(stretch) >= PLAIN or "<|" in stretch:
             return self.library(stretch)
-        return b"".join(map(self.words.__getitem__, self.find(stretch.lower())))
+        return b"".join(map(self.words.__getitem__, self.find(low)))
 
 
 class Encoder:
@@ -110,16 +124,27 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             pattern = space_free(json.load(f))
-        if pattern is None:
+        if pattern is None or sys.byteorder != "little":
             self.encode = self.library
         else:
-            stretch = _Stretches(self.library, splitter(pattern).findall, cache_size).__getitem__
+            stretch = _Stretches(self.library, self.word, pattern, cache_size).__getitem__
             self.encode = lambda text: b"".join(map(stretch, text.split(" ")))
+        self.code, self.model = "H" if self.dtype.itemsize == 2 else "I", self.tokenizer.model
+
+    def word(self, word: str) -> bytes:
+        """Of a word that is cut, composed and lowered: the model's merges alone."""
+        return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 def space_free(config: dict) -> str | None:
     """The word pattern of a tokenizer that drops white space, so that stretches between spaces are encoded by themselves; else None.
 
@@ -132,7 +157,7 @@ def space_free(config: dict) -> str | None:
     pattern = cut[0].get("pattern", {}).get("Regex", "") if cut[0].get("invert") and cut[0].get("behavior") == "Removed" else ""
     rest = [x.get("type") for x in cut[1:]] == ["ByteLevel"] and not cut[1].get("use_regex") and not cut[1].get("add_prefix_space")
     special = all(t["content"].startswith("<|") and " " not in t["content"] and not t["normalized"] and not t["single_word"] for t in config["added_tokens"])
-    drops = r"[^\s\p{L}\p{N}]+" in pattern and r"\s" not in pattern.replace(r"[^\s", "")
+    drops = r"[^\s\p{L}\p{N}]+" in pattern and r"\s" not in pattern.replace(r"[^\s", "") and "\\" not in re.sub(r"\[[^\]]*\]", "", pattern)
     return pattern if pattern and rest and special and drops and config.get("post_processor") is None else None
 
 
@@ -227,7 +252,7 @@ def _write_shards(root: str, path: str, end_id: int | None, shard_bytes: int, ke
     schema = pa.schema([("key", key_type), ("turn", pa.int64()), ("range", pa.int32()), ("part", pa.int32()), ("file", pa.string()), ("at", pa.int64()), ("n", pa.int64())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        encoder, (store, folder) = Encoder(path), open_store(root)
+        encoder, (store, folder) = encoder_of(path), open_store(root)
         width, number = encoder.dtype.itemsize, TaskContext.get().partitionId()
         end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
         keys, turns, sizes, data, size, part, last, turn = [], [], [], [], 0, 0, object(), 0
