@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import arrays as A
+from tilewright.functions.names import own_names
 from tilewright.operators.graph import components
 from tilewright.operators.prefix import numbered
 from tilewright.plans.lineage import written
@@ -43,6 +44,7 @@ def whash(v: Column) -> Column:
     return F.transform(F.array(means), lambda m: A.bits(F.transform(m, lambda x: x > _median(m))))[0]
 
 
+@own_names("key", "text")
 def text_simhash(df: DataFrame, key: str, text: str = "text", bits: int = 60) -> DataFrame:
     """``key`` and ``hash``: bit i is set if more than half of the distinct words have bit i of their md5 (first ``bits`` bits) set."""
     words = df.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+"), lambda w: w != ""))).alias("w"))
@@ -69,6 +71,7 @@ def block_masks(n: int, threshold: int, bits: int) -> list[int]:
     return [sum(c) for c in combinations(parts, blocks - threshold)]
 
 
+@own_names("key", "hash_col", frame="hashes")
 def hamming_pairs(hashes: DataFrame, key: str, hash_col: str = "hash", threshold: int = 8, bits: int = 64) -> DataFrame:
     """``hash_i < hash_j`` (distinct hashes) within ``threshold`` bits, and their ``distance``.
 
@@ -100,6 +103,7 @@ def hamming_pairs(hashes: DataFrame, key: str, hash_col: str = "hash", threshold
     return met.where(F.col("_at") == first).select("hash_i", "hash_j", F.bit_count(differ).alias("distance"))
 
 
+@own_names("key", "hash_col", frame="hashes")
 def clusters(hashes: DataFrame, key: str, hash_col: str = "hash", threshold: int = 8, bits: int = 64) -> DataFrame:
     """``key, component``: the least key of all that are linked, singletons included."""
     base = written(hashes.select(F.col(key).alias("key"), F.col(hash_col).alias("h")))

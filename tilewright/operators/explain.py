@@ -8,22 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tilewright.functions.names import own_names
 
+
+@own_names("key", "weight", "tie")
 def top_tiles(df: DataFrame, key: str, weight: str, tie: str, k: int = 10) -> DataFrame:
     """The k largest weights of each slide, with their ``rank``."""
     w = W.partitionBy(key).orderBy(F.desc(weight), tie)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+@own_names("feature", "value")
 def top_features(df: DataFrame, feature: str, value: str, k: int = 10, absolute: bool = True) -> DataFrame:
     v = F.abs(F.col(value)) if absolute else F.col(value)
     return df.orderBy(F.desc(v), feature).limit(k)
 
 
+@own_names("feature", "coef")
 def hazard_ratios(df: DataFrame, feature: str, coef: str, k: int = 10) -> DataFrame:
     return df.withColumn("hazard_ratio", F.exp(coef)).orderBy(F.desc("hazard_ratio"), feature).limit(k)
 
 
+@own_names("modality", "weight")
 def modality_importance(df: DataFrame, modality: str, weight: str) -> DataFrame:
     """Mean absolute weight, scaled to sum 1; all zero stays zero."""
     per = df.groupBy(modality).agg(F.avg(F.abs(F.col(weight))).alias("_mean"))
@@ -31,6 +37,7 @@ def modality_importance(df: DataFrame, modality: str, weight: str) -> DataFrame:
     return per.join(F.broadcast(total)).select(modality, F.when(F.col("_total") > 0, F.col("_mean") / F.col("_total")).otherwise(F.lit(0.0)).alias("importance"))  # one row
 
 
+@own_names("key", "weight", "x", "y")
 def heatmap(df: DataFrame, key: str, height: int, width: int, weight: str = "weight", x: str = "x", y: str = "y") -> DataFrame:
     """``key, row, col, heat``: weights scaled to [0, 1] and spread by an 11 x 11 kernel; overlapping cells keep the maximum. Sparse."""
     span = df.groupBy(key).agg(*[f(c).alias(f"_{n}_{c}") for c in (x, y, weight) for n, f in (("lo", F.min), ("hi", F.max))])

@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.functions import arrays as A
+from tilewright.functions.names import own_names
 
 
+@own_names("label")
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """``n / (classes * count)`` of each class."""
     per = df.groupBy(label).agg(F.count("*").alias("n"))
@@ -28,12 +30,14 @@ def focal(logits: Column, label: Column, alpha: float = 0.25, gamma: float = 2.0
     return out if weight is None else out * weight
 
 
+@own_names("p", "t", "by")
 def dice(df: DataFrame, p: str, t: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``1 - (2 * intersection + 1) / (sum of both + 1)``."""
     inter, both = F.sum(F.col(p) * F.col(t)), F.sum(F.col(p) + F.col(t))
     return df.groupBy(*by).agg((1 - (2 * inter + 1) / (both + 1)).alias("dice_loss"))
 
 
+@own_names("key", "p")
 def smooth_topk(df: DataFrame, key: str, p: str, temperature: float = 1.0) -> DataFrame:
     """``-log(sum of softmax(p / T) * p + 1e-8)`` of each bag."""
     top = df.groupBy(key).agg(F.max(p).alias("_top"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tilewright.functions.names import own_names
 from tilewright.operators.prefix import running
 
 
@@ -22,19 +23,18 @@ def join_predictions(truth: DataFrame, predictions: DataFrame, key: str, check:
     return truth.join(predictions, key)
 
 
+@own_names("y", "score", "by")
 def histogram(df: DataFrame, y: str = "y_true", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """``pos`` and ``neg`` of each distinct score."""
     return df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
 
 
+@own_names("y", "score", "by")
 def auroc(df: DataFrame, y: str = "y_true", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve, ties counted half; NULL where a class is absent."""
-    names = {c: f"_by_{i}" for i, c in enumerate(by)}
-    own = df.select(F.col(y).alias("_y"), F.col(score).alias("_score"), *[F.col(c).alias(n) for c, n in names.items()])
-    run = running(histogram(own, "_y", "_score", tuple(names.values())), "_score", ["neg"], tuple(names.values()))
+    run = running(histogram(df, y, score, by), score, ["neg"], by)
     part = F.col("pos") * (F.col("cum_neg") - F.col("neg") / F.lit(2.0))
-    out = run.groupBy(*names.values()).agg(F.try_divide(F.sum(part), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auroc"))
-    return out.select(*[F.col(n).alias(c) for c, n in names.items()], "auroc")
+    return run.groupBy(*by).agg(F.try_divide(F.sum(part), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auroc"))
 
 
 def auroc_ovr(df: DataFrame, proba: str = "proba", y: str = "y_true", average: str = "macro") -> DataFrame:
@@ -60,12 +60,14 @@ def _descending(df, y, score, by):
     return h.join(whole, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in by]))
 
 
+@own_names("y", "score", "by")
 def roc_curve(df: DataFrame, y: str = "y_true", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """``threshold, fpr, tpr`` per distinct score, descending."""
     h = _descending(df, y, score, by)
     return h.select(*by, F.col(score).alias("threshold"), F.try_divide("cum_neg", "_N").alias("fpr"), F.try_divide("cum_pos", "_P").alias("tpr"))
 
 
+@own_names("y", "score", "by")
 def pr_curve(df: DataFrame, y: str = "y_true", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """``threshold, precision, recall`` per distinct score, and the end point (recall 0, precision 1, threshold NULL)."""
     h = _descending(df, y, score, by)
@@ -74,6 +76,7 @@ def pr_curve(df: DataFrame, y: str = "y_true", score: str = "score", by: tuple[s
     return curve.unionByName(end)
 
 
+@own_names("y", "score", "by")
 def auprc(df: DataFrame, y: str = "y_true", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """Trapezoids under the precision-recall curve, closed at (0, 1)."""
     pos, neg = F.col("cum_pos"), F.col("cum_neg")
@@ -82,6 +85,7 @@ def auprc(df: DataFrame, y: str = "y_true", score: str = "score", by: tuple[str,
     return _descending(df, y, score, by).groupBy(*by).agg(F.sum(F.try_divide("pos", "_P") * height / 2).alias("auprc"))
 
 
+@own_names("y", "yhat")
 def confusion(df: DataFrame, y: str = "y_true", yhat: str = "y_pred", normalize: bool = False) -> DataFrame:
     """``y_true, y_pred, n`` for every pair of labels that occur on either side; ``share`` of the row if normalised."""
     counts = df.groupBy(F.col(y).alias("y_true"), F.col(yhat).alias("y_pred")).agg(F.count("*").alias("n"))
@@ -93,6 +97,7 @@ def confusion(df: DataFrame, y: str = "y_true", yhat: str = "y_pred", normalize:
     return out.withColumn("share", F.coalesce(F.try_divide("n", F.sum("n").over(W.partitionBy("y_true"))), F.lit(0.0)))
 
 
+@own_names("y", "yhat")
 def class_scores(df: DataFrame, y: str = "y_true", yhat: str = "y_pred") -> DataFrame:
     """``label, support, predicted, hit, recall, precision, f1`` over the union of labels; 0 where undefined."""
     cells = df.groupBy(F.col(y).alias("t"), F.col(yhat).alias("p")).agg(F.count("*").alias("n"))
@@ -103,6 +108,7 @@ def class_scores(df: DataFrame, y: str = "y_true", yhat: str = "y_pred") -> Data
     return per.withColumn("f1", safe(2 * F.col("hit"), F.col("support") + F.col("predicted")))
 
 
+@own_names("y", "yhat")
 def classification(df: DataFrame, y: str = "y_true", yhat: str = "y_pred") -> DataFrame:
     """Accuracy, balanced accuracy (mean recall of the true classes present), F1 macro, micro and weighted."""
     c = class_scores(df, y, yhat)
@@ -116,6 +122,7 @@ def classification(df: DataFrame, y: str = "y_true", yhat: str = "y_pred") -> Da
     )
 
 
+@own_names("y", "yhat")
 def binary_rates(df: DataFrame, y: str = "y_true", yhat: str = "y_pred", check: bool = True) -> DataFrame:
     """Sensitivity, specificity, PPV and NPV, 0 on an empty denominator; other than two true labels raise."""
     if check and df.select(y).distinct().count() != 2:
@@ -126,6 +133,7 @@ def binary_rates(df: DataFrame, y: str = "y_true", yhat: str = "y_pred", check:
     return df.agg(safe(tp, tp + fn).alias("sensitivity"), safe(tn, tn + fp).alias("specificity"), safe(tp, tp + fp).alias("ppv"), safe(tn, tn + fn).alias("npv"))
 
 
+@own_names("y", "score")
 def validate(df: DataFrame, y: str = "y_true", score: str = "score") -> DataFrame:
     """Warnings as one row of flags."""
     sizes = df.groupBy(y).agg(F.count("*").alias("n"), F.sum(score).alias("s"), F.sum(F.col(score) * F.col(score)).alias("q"), F.min(score).alias("lo"), F.max(score).alias("hi"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tilewright.functions.names import own_names
 from tilewright.operators.graph import components
 
 AXES = {"x": (1, 0, 0), "y": (0, 1, 0), "z": (0, 0, 1)}
@@ -15,6 +16,7 @@ def discretise(df: DataFrame, bin_width: float = 25.0, level: str = "level") ->
     return df.withColumn(level, F.floor(F.col(level) / F.lit(float(bin_width))).cast("int"))
 
 
+@own_names("sample", "level")
 def first_order(df: DataFrame, sample: str, level: str = "level", bin_width: float = 25.0) -> DataFrame:
     """Seventeen first-order features of each sample: moments, percentiles and the histogram of bins."""
     v = F.col(level).cast("double")
@@ -71,6 +73,7 @@ def glcm(df: DataFrame, sample: str, axes=("x", "y", "z")) -> DataFrame:
     )
 
 
+@own_names("line", "order", "level")
 def runs(df: DataFrame, line: str, order: str, level: str = "level") -> DataFrame:
     """Maximal runs of one level along a line: ``line, level, start, length``."""
     w = W.partitionBy(line).orderBy(order)
@@ -79,6 +82,7 @@ def runs(df: DataFrame, line: str, order: str, level: str = "level") -> DataFram
     return marked.groupBy(line, "_run", level).agg(F.min(order).alias("start"), F.count("*").alias("length")).drop("_run")
 
 
+@own_names("sample", "line", "order", "level")
 def glrlm(df: DataFrame, sample: str, line: str, order: str, level: str = "level") -> DataFrame:
     """Run-length features of each sample: short and long run emphasis, level and length non-uniformity, run percentage."""
     r = runs(df, line, order, level).join(df.select(line, sample).distinct(), line) if sample != line else runs(df, line, order, level)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tilewright.functions.names import own_names
+
 #: Published figures to compare with (benchmark, metric, value): fixed values from the literature.
 PUBLISHED = [
     ("t11_14_detection", "auroc", 0.85), ("t11_14_detection", "sensitivity", 0.88), ("t11_14_detection", "specificity", 0.831),
@@ -38,6 +40,7 @@ def run_summary(df: DataFrame, order: str = "started") -> DataFrame:
     return df.agg(F.count("*").alias("stages"), F.sum("seconds").alias("total_seconds"), F.max_by(F.col("status") != "ok", order).alias("last_failed"))
 
 
+@own_names("group", "label")
 def dataset_summary(df: DataFrame, group: str, label: str) -> DataFrame:
     """A row for each class: patients, samples and share of all samples in percent."""
     per = df.groupBy(label).agg(F.count_distinct(group).alias("patients"), F.count("*").alias("samples"))

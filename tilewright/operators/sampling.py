@@ -10,15 +10,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.functions.hashing import draw
+from tilewright.functions.names import own_names
 from tilewright.operators.prefix import numbered
 from tilewright.plans.lineage import written
 
 
+@own_names()
 def replicates(df: DataFrame, n: int) -> DataFrame:
     """Every row once for each replicate (explode, no join)."""
     return df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
+@own_names("key")
 def bootstrap_simple(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``replicate`` and the rows of ``df``: as many draws as rows, with replacement. Exact; for large tables use ``poisson``."""
     rows = df.count()
@@ -27,6 +30,7 @@ def bootstrap_simple(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFra
     return draws.join(numbered(df, key, name="_place"), F.col("_at") == F.col("_place")).select(*df.columns, "replicate")
 
 
+@own_names("key", "label")
 def bootstrap_stratified(df: DataFrame, key: str, label: str, n: int, seed: int = 42, n_samples: int | None = None) -> DataFrame:
     """Per class as many draws as it has rows: the classes keep their shares.
 
@@ -34,7 +38,7 @@ def bootstrap_stratified(df: DataFrame, key: str, label: str, n: int, seed: int
     and the classes in order are cut where ``n_samples`` are reached. Each row is a
     draw of its class (or several, or none), so draws are never listed in one place.
     """
-    placed = written(numbered(df, key, (label,), "_place"))
+    placed = numbered(df, key, (label,), "_place")
     sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_m")).withColumn("_k", F.col("_m"))
     if n_samples is not None:  # a row for each class
         share = F.col("_m") / F.sum("_m").over(W.partitionBy(F.lit(0)))
@@ -48,6 +52,7 @@ def bootstrap_stratified(df: DataFrame, key: str, label: str, n: int, seed: int
     return draws.join(placed, F.col("_l").eqNullSafe(F.col(label)) & (F.col("_at") == F.col("_place"))).select("replicate", *df.columns)
 
 
+@own_names("group")
 def bootstrap_group(df: DataFrame, group: str, n: int, seed: int = 42) -> DataFrame:
     """Groups drawn with replacement, each with all its rows."""
     ids = written(numbered(df.select(group).distinct(), group, name="_place"))
@@ -68,6 +73,7 @@ def poisson_steps(most: int = 11) -> list[float]:
     return out
 
 
+@own_names("key")
 def poisson(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``replicate`` and ``weight`` (Poisson with mean 1, from a hash of key and replicate): no join, no shuffle. Rows of weight 0 go."""
     u = (draw(seed, key, "replicate") + 0.5) / F.lit(2.0**32)
@@ -75,6 +81,7 @@ def poisson(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return replicates(df, n).withColumn("weight", weight).where("weight > 0")
 
 
+@own_names("value", "by")
 def ci(df: DataFrame, value: str, by: tuple[str, ...] = (), low: float = 0.025, high: float = 0.975) -> DataFrame:
     """``value, ci_lower, ci_upper`` over replicates: linear percentiles; NULL and NaN replicates are skipped."""
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.functions.hashing import draw, require_columns
+from tilewright.functions.names import own_names
 from tilewright.operators.prefix import percentiles
 from tilewright.plans.lineage import written
 
@@ -27,16 +28,19 @@ def fold(df: DataFrame, folds: DataFrame, k: int, group: str, split: str = "val"
     return df.join(folds.where((F.col("fold") == k) & (F.col("split") == split)).select(group), group, "left_semi")
 
 
+@own_names("group", "label", "order")
 def patient_labels(df: DataFrame, group: str, label: str, order: str) -> DataFrame:
     """The label of each group's first row in an explicit order."""
     require_columns(df, group, label, order)
     return df.groupBy(group).agg(F.min_by(label, order).alias(label))
 
 
+@own_names("group", "time")
 def first_time(df: DataFrame, group: str, time: str) -> DataFrame:
     return df.groupBy(group).agg(F.min(time).alias("first_time"), F.count_distinct(time).alias("n_times"))
 
 
+@own_names("group", "split")
 def leak_check(df: DataFrame, group: str, split: str = "split", fail: bool = False) -> DataFrame:
     """Groups with rows in two splits or more, or with none; with ``fail``, raises if there is any."""
     found = df.groupBy(group).agg(F.count_distinct(split).alias("n_splits"), F.array_join(F.array_sort(F.collect_set(split)), "|").alias("splits"), F.count_if(F.col(split).isNull()).alias("n_null"))
@@ -46,6 +50,7 @@ def leak_check(df: DataFrame, group: str, split: str = "split", fail: bool = Fal
     return bad
 
 
+@own_names("group", "time", "split")
 def summary(df: DataFrame, group: str, time: str | None = None, split: str = "split") -> DataFrame:
     times = [F.min(time).alias("min_time"), F.max(time).alias("max_time")] if time else []
     return df.groupBy(split).agg(F.count_distinct(group).alias("patients"), F.count("*").alias("samples"), *times)
@@ -66,6 +71,7 @@ def _quota(df: DataFrame, label: str, share: float, name: str, total: str = "n")
     return df.withColumn(name, (F.col("low") + F.when(rank <= spare, 1).otherwise(0)).cast("long")).drop("want", "exact", "low")
 
 
+@own_names("group", "label", "order")
 def stratified(df: DataFrame, group: str, label: str, order: str, test: float = 0.2, val: float = 0.15, seed: int = 42) -> DataFrame:
     """``group, label, split``: hold out ceil(test * n) groups, then ceil(val * rest), in proportion to the labels.
 
@@ -96,6 +102,7 @@ def _ranked(df: DataFrame, label: str, group: str, buckets: int = 256) -> DataFr
     return df.withColumn("inside", inside).join(sizes, F.col(label).eqNullSafe(F.col("sl")) & (F.col("bucket") == F.col("sb"))).withColumn("place", F.col("inside") + F.col("offset")).drop("sl", "sb", "bucket", "inside", "offset")
 
 
+@own_names("group")
 def ratio(df: DataFrame, group: str, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
     """``group, split``: int(train * n), int(val * n), the rest test, in md5 order."""
     groups = df.select(F.col(group).alias("_group")).distinct().withColumn("draw", draw(seed, "_group")).withColumn("all", F.lit(0))
@@ -105,13 +112,13 @@ def ratio(df: DataFrame, group: str, train: float = 0.7, val: float = 0.15, seed
     return _ranked(groups, "all", "_group").select(F.col("_group").alias(group), F.when(place <= a, "train").when(place <= a + b, "val").otherwise("test").alias("split"))
 
 
+@own_names("group", "time")
 def time_aware(df: DataFrame, group: str, time: str, val_cut=None, test_cut=None) -> DataFrame:
     """``group, first_time, split``: by each group's earliest time; cuts default to its 50th and 80th percentile."""
     df = df.select(F.col(group).alias("_group"), F.col(time).alias("_time"))
     first = df.groupBy("_group").agg(F.min(F.col("_time").cast("timestamp")).alias("first_time")).withColumn("at", F.unix_micros("first_time").cast("double"))
     micros = lambda t: F.unix_micros(F.lit(t).cast("timestamp")).cast("double")
     if val_cut is None or test_cut is None:
-        first = written(first)
         cuts = percentiles(first, "at", [0.5, 0.8])  # one row
     else:
         cuts = df.sparkSession.range(1)
@@ -120,6 +127,7 @@ def time_aware(df: DataFrame, group: str, time: str, val_cut=None, test_cut=None
     return first.join(F.broadcast(cuts)).select(F.col("_group").alias(group), "first_time", split.alias("split"))  # one row
 
 
+@own_names("group", "label", "order")
 def kfold(df: DataFrame, group: str, label: str, order: str, k: int = 5, seed: int = 42) -> DataFrame:
     """``group, fold, split, label``: each group is in ``val`` of one fold; labels are spread and begin at different folds."""
     groups = _labelled(df, group, label, order)
@@ -131,11 +139,13 @@ def kfold(df: DataFrame, group: str, label: str, order: str, k: int = 5, seed: i
     return joined.select(F.col("_group").alias(group), "fold", F.when(F.col("own") == F.col("fold"), "val").otherwise("train").alias("split"), F.col("_label").alias(label))
 
 
+@own_names("group", "label")
 def group_kfold(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Folds by each group's most frequent label (the least on ties)."""
     return kfold(df.groupBy(group).agg(F.mode(label, True).alias(label)).withColumn("_o", F.lit(0)), group, label, "_o", k, seed)
 
 
+@own_names("by", "fold", "score", frame="scores")
 def cv_summary(scores: DataFrame, by: tuple[str, ...] = (), fold: str = "fold", score: str = "score") -> DataFrame:
     return scores.groupBy(*by).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.min_by(fold, F.struct(-F.col(score), F.col(fold))).alias("best_fold"))
 

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tilewright.functions.names import own_names
 
+
+@own_names("order", "metric", "by")
 def running_best(df: DataFrame, order: str, metric: str = "metric", mode: str = "max", by: tuple[str, ...] = ()) -> DataFrame:
     """``best_before`` and ``improved`` (strictly better). A failed trial has a NULL metric and moves nothing."""
     before = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
@@ -15,11 +18,13 @@ def running_best(df: DataFrame, order: str, metric: str = "metric", mode: str =
     return df.withColumn("best_before", best).withColumn("improved", F.coalesce(F.when(F.col("best_before").isNull(), F.col(metric).isNotNull()).otherwise(better), F.lit(False)))
 
 
+@own_names("order", "metric", "by")
 def suspicious(df: DataFrame, order: str, metric: str = "metric", mode: str = "max", threshold: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
     """``suspicious``: further from the best so far than the threshold; never the first trial."""
     return running_best(df, order, metric, mode, by).withColumn("suspicious", F.coalesce(F.abs(F.col(metric) - F.col("best_before")) > threshold, F.lit(False)))
 
 
+@own_names("run", "epoch", "loss")
 def early_stop(df: DataFrame, patience: int, run: str, epoch: str = "epoch", loss: str = "val_loss") -> DataFrame:
     """``best_epoch`` and ``stop_epoch`` of each run: the first epoch with ``patience`` epochs since the last improvement (NULL: never)."""
     w = W.partitionBy(run).orderBy(epoch)
@@ -32,6 +37,7 @@ def early_stop(df: DataFrame, patience: int, run: str, epoch: str = "epoch", los
     return seen.groupBy(run).agg(F.max("_best").alias("best_epoch"), F.max("stop_epoch").alias("stop_epoch"))
 
 
+@own_names("name", "metric", "by")
 def retain(df: DataFrame, max_keep: int, name: str, metric: str, mode: str = "max", by: tuple[str, ...] = ()) -> DataFrame:
     """The latest ``max_keep`` checkpoints by name, and the best (the earliest on ties)."""
     late = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(name)))
@@ -60,6 +66,7 @@ def merge_config(base: Column, over: Column) -> Column:
     return F.map_zip_with(base, over, lambda k, x, y: F.coalesce(y, x))
 
 
+@own_names("trial", "metric", "diff")
 def journal(df: DataFrame, trial: str = "trial_id", metric: str = "metric", diff: str = "diff") -> DataFrame:
     """A line for each trial: ``| id | metric | diff |``, the diff cut to 50 characters, failed trials marked."""
     value = F.when(F.col(metric).isNull(), "failed").otherwise(F.format_string("%.4f", F.col(metric)))

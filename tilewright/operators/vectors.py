@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.functions import arrays as A
+from tilewright.functions.names import own_names
 from tilewright.functions.hashing import draw, present
 
 
@@ -31,6 +32,7 @@ def unmatched(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.join(b.select(key).distinct(), key, "left_anti")
 
 
+@own_names("slide", "vector", "coords")
 def check_shape(df: DataFrame, slide: str = "slide_id", vector: str = "embedding", coords: tuple[str, ...] = ()) -> DataFrame:
     """Slides whose vectors differ in length or are NULL, or that lack a coordinate."""
     missing = F.lit(False)
@@ -40,12 +42,14 @@ def check_shape(df: DataFrame, slide: str = "slide_id", vector: str = "embedding
     return per.where("min_dim <> max_dim OR null_vectors > 0 OR missing_coords > 0")
 
 
+@own_names("key", "vector")
 def mean_pool(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """Element-wise mean of each bag: partial sums per task, one row per bag and task in the shuffle."""
     v = array_to_vector(F.transform(vector, lambda x: x.cast("double")))
     return df.groupBy(key).agg(vector_to_array(Summarizer.mean(v)).alias("pooled"))
 
 
+@own_names("key", "vector")
 def max_pool(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     v = array_to_vector(F.transform(vector, lambda x: x.cast("double")))
     return df.groupBy(key).agg(vector_to_array(Summarizer.max(v)).alias("pooled"))
@@ -60,6 +64,7 @@ def gather(df: DataFrame, *keys: str, value: str = "v", name: str = "pooled") ->
     return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda s: s[value]).alias(name))
 
 
+@own_names("key", "score")
 def softmax_weights(df: DataFrame, key: str, score: str) -> DataFrame:
     """``weight``: softmax of the score within the bag, shifted by the bag's maximum."""
     top = df.groupBy(key).agg(F.max(score).alias("_top"))
@@ -73,11 +78,13 @@ def _weighted_sum(df: DataFrame, keys: tuple[str, ...], vector: str, weight: str
     return df.groupBy(*keys).agg(vector_to_array(Summarizer.sum(v)).alias("pooled"))
 
 
+@own_names("key", "score", "vector")
 def softmax_pool(df: DataFrame, key: str, score: str, vector: str = "embedding") -> DataFrame:
     """Attention pooling: the sum of softmax weight times vector."""
     return _weighted_sum(softmax_weights(df, key, score), (key,), vector, "weight")
 
 
+@own_names("key", "score", "vector")
 def two_tier_pool(df: DataFrame, key: str, score: str, centres: list[list[float]], vector: str = "embedding") -> DataFrame:
     """Tiles assigned softly (softmax of cosine) to fixed centres, pooled per centre, then over centres by a softmax of their mean weight."""
     w = softmax_weights(df, key, score)
@@ -114,11 +121,13 @@ def pool_or_zero(slides: DataFrame, patches: DataFrame, key: str, dim: int, vect
     return slides.select(key).distinct().join(pooled, key, "left").select(key, F.coalesce("pooled", A.zeros(dim)).alias("pooled"), F.coalesce("num_patches", F.lit(0)).alias("num_patches"), F.col("num_patches").isNull().alias("empty"))
 
 
+@own_names("key", "proba")
 def slide_vote(df: DataFrame, key: str, proba: str) -> DataFrame:
     """Mean class probabilities of the tiles and the first class with the largest."""
     return mean_pool(df, key, proba).select(key, F.col("pooled").alias("mean_proba"), A.argmax(F.col("pooled")).alias("vote"))
 
 
+@own_names("group", "columns")
 def moment_match(df: DataFrame, group: str, columns: list[str], reference, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Each group's columns moved to the mean and population deviation of the reference group; values clipped to optional bounds."""
     stats = df.groupBy(group).agg(*[f(present(F.col(c))).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
@@ -138,12 +147,14 @@ def first_valid_group(df: DataFrame, group: str, columns: list[str]):
     return stats.where("s > 0").agg(F.min(group)).first()[0]
 
 
+@own_names("key", "tie", "vector")
 def top_k_norm(df: DataFrame, key: str, k: int, tie: str, vector: str = "embedding") -> DataFrame:
     """The k largest norms of each bag (all of a smaller bag)."""
     w = W.partitionBy(key).orderBy(F.desc("norm"), tie)
     return df.withColumn("norm", A.l2_norm(F.col(vector))).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+@own_names("key", "tie")
 def sample_k(df: DataFrame, key: str, k: int, tie: str, seed: int = 42) -> DataFrame:
     """k rows of each bag without replacement, by the draw of their id."""
     w = W.partitionBy(key).orderBy("_d", tie)
@@ -158,6 +169,7 @@ def pad(df: DataFrame, key: str, k: int, dim: int, vector: str = "embedding") ->
     return real.unionByName(pads)
 
 
+@own_names("key", "weight", "label")
 def pseudo_labels(df: DataFrame, key: str, weight: str, label: str) -> DataFrame:
     """``pseudo``: the bag's label above the bag's lower median weight, else the other."""
     mid = df.groupBy(key).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {weight})").alias("_mid"))
