@@ -191,7 +191,7 @@ def test_more_blocks_find_the_same_pairs(spark, threshold, monkeypatch):
     h += [x ^ sum(1 << b for b in rng.sample(range(60), rng.randrange(6))) for x in h]
     df = spark.createDataFrame(list(enumerate(h)), "id long, hash long")
     want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(set(h), 2) if (a ^ b).bit_count() <= threshold}
-    monkeypatch.setattr(dedup, "CANDIDATES", -1)
+    monkeypatch.setattr(dedup, "ROW", 1e9)
     got = [(r.hash_i, r.hash_j) for r in dedup.hamming_pairs(df, "id", threshold=threshold, bits=60).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 

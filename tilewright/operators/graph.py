@@ -41,4 +41,4 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: Data
     if nodes is None:
         return out
     n = nodes.select(F.col(nodes.columns[0]).alias("id")).distinct()
-    return n.join(out, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return n.join(out, "id", "full").select("id", F.coalesce("component", "id").alias("component"))
