@@ -76,6 +76,10 @@ def test_stretches_equal_whole_texts(sides, corpus):
     for text in texts:
         t, parts = tokens(text, sides), al.stretches(text)
         assert "".join(" " + p for p in parts) == " " + text
+        alone = [p for p in parts if not p or p[-1].isspace() or "▁" in p]
+        if not alone:
+            x, y = al.Aligned(parts, *sides, len(parts)), al.Aligned(parts, *sides)
+            assert x.a.tolist() == y.a.tolist() and x.n_a.tolist() == y.n_a.tolist() and x.b.tolist() == y.b.tolist() and x.n_b.tolist() == y.n_b.tolist()
         x = al.Aligned(parts, *sides)
         assert x.good.all() == (t is not None), repr(text)
         if t:

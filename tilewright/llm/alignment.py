@@ -28,14 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.token_counts import splitter, vocabulary_path
-from tilewright.llm.token_files import BYTE_LETTERS, Memory
+from tilewright.llm.token_counts import vocabulary_path
+from tilewright.llm.token_files import BYTE_LETTERS
 from tilewright.plans.lineage import written
 
-#: Most stretches that a worker keeps, and most words of the byte-level tokenizer.
+#: Most stretches that a worker keeps.
 KEPT = 3 << 17
-#: Characters of texts that are aligned at a time.
+#: Characters of texts that are aligned at a time, and of stretches that are encoded in one call.
 AT_ONCE = 1 << 20
+IN_ONE = 1 << 16
 #: A cut that neither tokenizer's tokens cross: before a space, after anything that isn't white space.
 CUT = re.compile(r"(?<=\S)(?= )")
 #: A space that is no cut.
@@ -95,7 +96,7 @@ class CSR:
 class ByteLevel:
     """Tokenizer A: byte-level BPE of the tokenizers library; special strings inside texts are plain text."""
 
-    def __init__(self, path: str, kept: int = KEPT):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -105,23 +106,28 @@ class ByteLevel:
         letters = {chr(letter): byte for byte, letter in BYTE_LETTERS.items()}
         of = {i: bytes(letters[c] for c in x) if set(x) <= letters.keys() else x.encode() for x, i in self.library.get_vocab().items()}
         self.bytes = [of.get(i, b"") for i in range(max(of) + 1)]
+        self.lengths = np.array([len(x) for x in self.bytes], np.int64)
         import public_tokenizers
 
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         pre = config.get("pre_tokenizer") or {}
         known = config.get("normalizer") is None and config.get("post_processor") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.find = splitter(public_tokenizers.PATTERN).findall if known else None
-        self.model, self.words = self.library.model, Memory(self.word, kept)
+        model = config["model"]
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        self.ranks = None
+        if known and made == sorted(made) and not model.get("ignore_merges") and len(of) - len(made) - len(config["added_tokens"]) == 256:
+            # merges in the order of their ids: the ids are ranks, and tiktoken merges by ranks
+            import tiktoken
 
-    def word(self, word: str) -> list[int]:
-        """Of a word that is cut: the model's merges alone."""
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LETTERS))]
+            special = {t["id"] for t in config["added_tokens"]}
+            self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={x: i for i, x in of.items() if i not in special}, special_tokens={})
 
-    def encode(self, text: str) -> list[int]:
-        if self.find is None:
-            return self.library.encode(text, add_special_tokens=False).ids
-        return list(chain.from_iterable(map(self.words.__getitem__, self.find(text))))
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text with a space before it."""
+        if self.ranks is not None:
+            return [self.ranks.encode_ordinary(" " + x) for x in texts]
+        return [x.ids for x in self.library.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
 
 
 class Pieces:
@@ -134,6 +140,7 @@ class Pieces:
         n = self.library.get_piece_size()
         piece = [self.library.id_to_piece(i) for i in range(n)]
         self.bytes = [bytes([int(x[3:5], 16)]) if self.library.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(piece)]
+        self.lengths = np.array([len(x) for x in self.bytes], np.int64)
         self.space = self.library.encode("x ")[1:]  # of a space at the end of a text
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -159,20 +166,53 @@ def suffix_pairs(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray
 # ---------------------------------------------------------------- alignment
 
 
+def _each(texts: list[str], a: ByteLevel, b: Pieces) -> tuple:
+    """Of texts encoded one by one: which are good, and the ids and how many each text has, of both sides; none of a bad text."""
+    a_ids, b_ids = a.encode(texts), b.encode(texts)
+    good = [b"".join(map(a.bytes.__getitem__, x)) == b" " + t.encode() == b"".join(map(b.bytes.__getitem__, y)) for t, x, y in zip(texts, a_ids, b_ids, strict=True)]
+    kept = [[x if g else [] for x, g in zip(ids, good, strict=True)] for ids in (a_ids, b_ids)]
+    return np.array(good, bool), *((list(chain.from_iterable(ids)), np.array([len(x) for x in ids], np.int64)) for ids in kept)
+
+
+def _together(texts: list[str], a: ByteLevel, b: Pieces) -> tuple | None:
+    """``_each`` of texts that are put one behind the other, each after its space: tokens end where texts do. None if some text isn't good."""
+    parts, size = [[]], 0
+    for t in texts:
+        size += len(t)
+        if size > IN_ONE and parts[-1]:
+            parts.append([])
+            size = len(t)
+        parts[-1].append(t)
+    whole = [" ".join(x) for x in parts if x]
+    raw = b"".join(b" " + x.encode() for x in whole)
+    ends = np.cumsum([1 + len(t.encode()) for t in texts], dtype=np.int64)
+    out = []
+    for side in (a, b):
+        ids = list(chain.from_iterable(side.encode(whole)))
+        if b"".join(map(side.bytes.__getitem__, ids)) != raw:
+            return None
+        token_ends = np.cumsum(side.lengths[ids]) if ids else np.zeros(0, np.int64)
+        last = np.searchsorted(token_ends, ends)
+        if len(ends) and (token_ends[last] != ends).any():
+            return None
+        out.append((ids, np.diff(last, prepend=-1)))
+    return np.ones(len(texts), bool), *out
+
+
 class Aligned:
     """Many texts with a space before each, aligned at once: tokens and links of all, text after text.
 
     A text whose joined bytes on either side aren't its own has no tokens (``good`` is false).
     """
 
-    def __init__(self, texts: list[str], a: ByteLevel, b: Pieces):
-        raw = [b" " + x.encode() for x in texts]
-        a_ids, b_ids = [a.encode(" " + x) for x in texts], b.encode(texts)
-        self.good = np.array([b"".join(map(a.bytes.__getitem__, x)) == r == b"".join(map(b.bytes.__getitem__, y)) for r, x, y in zip(raw, a_ids, b_ids, strict=True)], bool)
-        a_ids, b_ids = ([x if g else [] for x, g in zip(ids, self.good, strict=True)] for ids in (a_ids, b_ids))
-        self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a_ids, b_ids))
-        self.a, self.b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a_ids, b_ids))
-        long_a, long_b = (np.array([len(t.bytes[i]) for i in ids], np.int64) for t, ids in ((a, self.a), (b, self.b)))
+    def __init__(self, texts: list[str], a: ByteLevel, b: Pieces, joined: int = 0):
+        """The first ``joined`` texts end in no white space, so they may be encoded as one text."""
+        ids = _together(texts[:joined], a, b) or _each(texts[:joined], a, b)
+        rest = _each(texts[joined:], a, b)
+        self.good = np.concatenate([ids[0], rest[0]])
+        (a_ids, self.n_a), (b_ids, self.n_b) = (([*x[0], *y[0]], np.concatenate([x[1], y[1]])) for x, y in zip(ids[1:], rest[1:], strict=True))
+        self.a, self.b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        long_a, long_b = a.lengths[self.a], b.lengths[self.b]
         self.end_a, self.end_b = np.cumsum(long_a), np.cumsum(long_b)
         self.overlap = CSR.spans(long_a).times(CSR.spans(long_b).transposed())
         row, column = self.overlap.rows, self.overlap.indices
@@ -191,8 +231,11 @@ class Aligned:
         """Each text's groups as ``a1,a2|b1;a3|b2``."""
         sides = []
         for ids, members in ((self.a, self.members_a), (self.b, self.members_b)):
-            names, at = list(map(str, ids.tolist())), members.transposed().indptr.tolist()
-            sides.append([",".join(names[x:y]) for x, y in zip(at, at[1:], strict=False)])
+            names, at = list(map(str, ids.tolist())), members.transposed().indptr
+            begin = names if len(names) == len(at) - 1 else [names[i] for i in at[:-1].tolist()]
+            for i in np.flatnonzero(np.diff(at) > 1).tolist():
+                begin[i] = ",".join(names[at[i] : at[i + 1]])
+            sides.append(begin)
         each = [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
         at = [0, *np.cumsum(self.n_links).tolist()]
         return [";".join(each[x:y]) for x, y in zip(at, at[1:], strict=False)]
@@ -202,7 +245,7 @@ class Stretches:
     """Alignments of the stretches that a worker has seen, numbered; forgotten all at once beyond ``kept``."""
 
     def __init__(self, a_path: str, b_path: str, kept: int = KEPT):
-        self.a, self.b, self.kept = ByteLevel(a_path, kept), Pieces(b_path), kept
+        self.a, self.b, self.kept = ByteLevel(a_path), Pieces(b_path), kept
         self.pair_a, self.pair_b = suffix_pairs(self.a.bytes, self.b.bytes)
         self.pair_key = self.pair_a << 32 | self.pair_b
         self.forget()
@@ -217,9 +260,11 @@ class Stretches:
         """Aligns what is new in the stretches of some texts."""
         if len(self.number) > self.kept:
             self.forget()
-        new = list(set(chain.from_iterable(texts)).difference(self.number))
+        new = set(chain.from_iterable(texts)).difference(self.number)
         if new:
-            x = Aligned(new, self.a, self.b)
+            alone = [x for x in new if not x or x[-1].isspace() or "▁" in x]
+            new = [*new.difference(alone), *alone]
+            x = Aligned(new, self.a, self.b, len(new) - len(alone))
             self.number.update(zip(new, range(len(self.groups), len(self.groups) + len(new)), strict=True))
             self.groups += x.groups()
             self.counts = np.concatenate([self.counts, np.stack([x.good, x.n_a, x.n_b, x.n_links, x.n_overlap, x.n_shared], axis=1)])
