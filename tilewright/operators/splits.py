@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -72,12 +72,20 @@ def _quota(df: DataFrame, label: str, share: float, name: str, total: str = "n")
 
 
 @own_names("group", "label", "order")
-def stratified(df: DataFrame, group: str, label: str, order: str, test: float = 0.2, val: float = 0.15, seed: int = 42) -> DataFrame:
+def stratified(df: DataFrame, group: str, label: str | list[str], order: str, test: float = 0.2, val: float = 0.15, seed: int = 42) -> DataFrame:
     """``group, label, split``: hold out ceil(test * n) groups, then ceil(val * rest), in proportion to the labels.
 
     A label's table is a row a label, so its windows are small; members are ranked
-    by md5 within buckets of it, so no label is ranked in one task.
+    by md5 within buckets of it, so no label is ranked in one task. A list of labels is stratified by all of them at once
+    (``balanced``): each split has its share of every value of every label.
     """
+    if not isinstance(label, str):
+        first = df.groupBy(group).agg(*[F.min_by(c, order).alias(c) for c in label])
+        shares = [1 - test - (1 - test) * val, (1 - test) * val, test]
+        dealt = balanced(first, group, list(label), shares, seed)
+        name = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("part") + 1)
+        own = dealt.select(F.col(group).alias("_g"), name.alias("split"))
+        return first.join(own, F.col(group).eqNullSafe(F.col("_g"))).select(group, *label, "split")
     groups = _labelled(df, group, label, order)
     counts = groups.groupBy("_label").agg(F.count("*").alias("n"))
     counts = _quota(counts, "_label", test, "n_test")
@@ -139,6 +147,121 @@ def kfold(df: DataFrame, group: str, label: str, order: str, k: int = 5, seed: i
     return joined.select(F.col("_group").alias(group), "fold", F.when(F.col("own") == F.col("fold"), "val").otherwise("train").alias("split"), F.col("_label").alias(label))
 
 
+#: Most label values, and most strata, that are dealt on the driver.
+CLASSES, STRATA = 1024, 4096
+#: Rounds in which groups move between parts.
+MOVES = 20
+
+
+def deal(strata: list[tuple[int, dict[int, float]]], shares: list[float]) -> list[list[int]]:
+    """How many groups of each stratum (size, rows of each class in one group) go to each part.
+
+    Each part has its share of a stratum, rounded down. What is left goes out group by group, strata with the
+    rarest class first, to the part that gains most: squares of what it lacks of each class, over what it should have. A part
+    gets one left group of a stratum at most. Then left groups move, as long as that lessens the squares.
+    """
+    total: dict[int, float] = {}
+    for m, v in strata:
+        for c, x in v.items():
+            total[c] = total.get(c, 0.0) + m * x
+    want = [{c: max(s, 1e-9) * t for c, t in total.items()} for s in shares]
+    lack = [{c: s * t for c, t in total.items()} for s in shares]
+    out = [[math.floor(m * s + 1e-9) for s in shares] for m, _ in strata]
+
+    def give(f: int, v: dict[int, float], n: int) -> None:
+        for c, x in v.items():
+            lack[f][c] -= n * x
+
+    def gain(f: int, v: dict[int, float], sign: int = 1) -> float:
+        return sum(x * (2 * sign * lack[f][c] - x) / want[f][c] for c, x in v.items())
+
+    for (_, v), counts in zip(strata, out, strict=True):
+        for f, n in enumerate(counts):
+            give(f, v, n)
+    rarest = [min((total[c], c) for c in v) if v else (0.0, 0) for _, v in strata]
+    order = sorted(range(len(strata)), key=lambda i: (rarest[i], -strata[i][1].get(rarest[i][1], 0.0), i))
+    left: list[set[int]] = [set() for _ in strata]
+    for i in order:
+        m, v = strata[i]
+        for _ in range(m - sum(out[i])):
+            f = max(set(range(len(shares))) - left[i], key=lambda f: (round(gain(f, v), 9), -f))
+            left[i].add(f)
+            out[i][f] += 1
+            give(f, v, 1)
+    for _ in range(MOVES):
+        moved = False
+        for i in order:
+            v = strata[i][1]
+            for f in sorted(left[i]):
+                others = sorted(set(range(len(shares))) - left[i])
+                if others:
+                    to = max(others, key=lambda g: (round(gain(g, v), 9), -g))
+                    if gain(to, v) + gain(f, v, -1) > 1e-9:
+                        left[i] = left[i] - {f} | {to}
+                        out[i][f], out[i][to], moved = out[i][f] - 1, out[i][to] + 1, True
+                        give(f, v, -1)
+                        give(to, v, 1)
+        if not moved:
+            break
+    return out
+
+
+def _coarse(v: Column, level: int) -> Column:
+    """Counts of a vector of (class, n, total of the class) kept exactly, to two or to one significant bit, or of the rarest class alone to one bit."""
+
+    def bits(n: Column, keep: int) -> Column:
+        unit = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin(n)) - keep))
+        return (F.floor(n / unit) * unit).cast("long")
+
+    if level == 0:
+        return F.transform(v, lambda x: F.struct(x["c"].alias("c"), x["n"].alias("n")))
+    if level < 3:
+        return F.transform(v, lambda x: F.struct(x["c"].alias("c"), bits(x["n"], 3 - level).alias("n")))
+    least = F.array_min(F.transform(v, lambda x: F.struct(x["total"], x["c"], x["n"])))
+    return F.array(F.struct(least["c"].alias("c"), bits(least["n"], 1).alias("n")))
+
+
+@own_names("group", "labels")
+def balanced(df: DataFrame, group: str, labels: list[str], shares: list[float], seed: int = 42) -> DataFrame:
+    """``group, part``: whole groups in parts so that each part has its share of the rows of every value of every label.
+
+    A group's vector counts its rows for each value of each label. Groups of one vector are a stratum. Strata are dealt on
+    the driver (``deal``), a row for each; the groups of a stratum follow by their rank in md5 order, which buckets of the
+    order give. More than ``STRATA`` vectors are made alike by rounding their counts to two bits, then one, then by
+    the rarest label value of a group alone. NULL labels are a value; more than ``CLASSES`` label values raise.
+    """
+    long = df.select(F.col(group).alias("_group"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("value")) for i, c in enumerate(labels)])).alias("x")).select("_group", "x.*")
+    per = long.groupBy("_group", "i", "value").agg(F.count("*").alias("n"))
+    found = per.groupBy("i", "value").agg(F.sum("n").alias("total")).orderBy("i", F.col("value").asc_nulls_first()).limit(CLASSES + 1).collect()
+    if len(found) > CLASSES:
+        raise ValueError(f"more than {CLASSES} label values")
+    classes = df.sparkSession.createDataFrame([(k, r.i, r.value, r.total) for k, r in enumerate(found)], "c int, ci int, cv string, total long")
+    named = per.join(F.broadcast(classes), (F.col("i") == F.col("ci")) & F.col("value").eqNullSafe(F.col("cv")))  # CLASSES rows at most
+    vectors = written(named.groupBy("_group").agg(F.sort_array(F.collect_list(F.struct("c", "n", "total"))).alias("v")))
+    for level in range(4):
+        placed = vectors.withColumn("stratum", F.to_json(_coarse(F.col("v"), level)))
+        if level == 3 or placed.select("stratum").distinct().limit(STRATA + 1).count() <= STRATA:
+            break
+    sizes = {r.stratum: r.m for r in placed.groupBy("stratum").agg(F.count("*").alias("m")).collect()}
+    rows: dict[str, dict[int, float]] = {s: {} for s in sizes}
+    for r in placed.select("stratum", F.explode("v").alias("x")).groupBy("stratum", "x.c").agg(F.sum("x.n").alias("n")).collect():
+        rows[r.stratum][r.c] = r.n / sizes[r.stratum]
+    names = sorted(sizes)
+    counts = deal([(sizes[s], rows[s]) for s in names], shares)
+    bounds = [(s, [sum(c[: k + 1]) for k in range(len(shares))]) for s, c in zip(names, counts, strict=True)]
+    table = df.sparkSession.createDataFrame(bounds, "s string, upto array<long>")
+    ranked = _ranked(placed.select("_group", "stratum", draw(seed, "_group").alias("draw")), "stratum", "_group")
+    out = ranked.join(table, F.col("stratum") == F.col("s"))
+    return out.select(F.col("_group").alias(group), F.size(F.filter("upto", lambda x: x < F.col("place"))).alias("part"))
+
+
+def balanced_kfold(df: DataFrame, group: str, labels: list[str], k: int = 5, seed: int = 42) -> DataFrame:
+    """``group, fold, split``: folds of whole groups, each with its share of the rows of every value of every label (``balanced``)."""
+    dealt = balanced(df, group, labels, [1 / k] * k, seed).withColumnRenamed("part", "_own")
+    spread = dealt.withColumn("_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return spread.select(F.col(group), F.col("_fold").alias("fold"), F.when(F.col("_own") == F.col("_fold"), "val").otherwise("train").alias("split"))
+
+
 @own_names("group", "label")
 def group_kfold(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Folds by each group's most frequent label (the least on ties)."""

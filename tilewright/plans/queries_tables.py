@@ -252,6 +252,19 @@ def _(t):
     return splits.group_kfold(rows, "user_id", "event_type")
 
 
+@query("splits_stratified_labels")
+def _(t):
+    """Customers split by segment, nation and the sign of their balance at once; tests deal them by a plain version."""
+    rows = t("customer").withColumn("owes", F.col("c_acctbal") < 0)
+    return splits.stratified(rows, "c_custkey", ["c_mktsegment", "c_nationkey", "owes"], "c_name")
+
+
+@query("splits_balanced_kfold")
+def _(t):
+    """Users in folds by how many events of each type they have; tests deal them by a plain version."""
+    return splits.balanced_kfold(t("events"), "user_id", ["event_type"])
+
+
 @query("splits_ratio", f"WITH g AS (SELECT user_id, row_number() OVER (ORDER BY {_DRAW.format(k='user_id')}, user_id) p, count(*) OVER () n FROM (SELECT DISTINCT user_id FROM events)) SELECT user_id, CASE WHEN p <= floor(0.7::DOUBLE * n + 1e-9) THEN 'train' WHEN p <= floor(0.7::DOUBLE * n + 1e-9) + floor(0.15::DOUBLE * n + 1e-9) THEN 'val' ELSE 'test' END split FROM g")
 def _(t):
     return splits.ratio(t("events"), "user_id")
