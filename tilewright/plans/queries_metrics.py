@@ -286,6 +286,25 @@ def _(t):
     return rounded(contract.mutual_info(t.features(), _F, "label"))
 
 
+_DIGAMMA = "(ln(({x}) + 8.0::DOUBLE) - 1 / (2 * (({x}) + 8.0::DOUBLE)) - 1 / (12 * (({x}) + 8.0::DOUBLE) ** 2) + 1 / (120 * (({x}) + 8.0::DOUBLE) ** 4) - 1 / (252 * (({x}) + 8.0::DOUBLE) ** 6) - " + " - ".join(f"1 / (({{x}}) + {i}.0::DOUBLE)" for i in range(8)) + ")"
+_FEW = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _mi(f: str) -> str:
+    """Of one feature, from all pairs of its cells."""
+    g = lambda x: _DIGAMMA.format(x=x)
+    return f"""(WITH c AS (SELECT y, v, n, s FROM (SELECT label y, {f}::DOUBLE v, count(*) n, sum(count(*)) OVER (PARTITION BY label) s FROM {FEATURES} WHERE {f} IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2) WHERE s > 1),
+d AS (SELECT a.y, a.v, a.n, a.s, least(3, a.s - 1) k, abs(a.v - b.v) dist, CASE WHEN a.v = b.v THEN b.n - 1 ELSE b.n END bn FROM c a JOIN c b ON a.y = b.y),
+r AS (SELECT y, v, n, s, k, min(dist) FILTER (upto >= k) r FROM (SELECT *, sum(bn) OVER (PARTITION BY y, v ORDER BY dist) upto FROM d) GROUP BY ALL),
+m AS (SELECT r.y, r.v, r.n, r.s, r.k, sum(c.n) m FROM r JOIN c ON (r.r = 0 AND c.v = r.v) OR (c.v > r.v - r.r AND c.v < r.v + r.r) GROUP BY ALL)
+SELECT '{f}' feature, round(greatest(0, {g("sum(n)")} + sum(n * {g("k")}) / sum(n) - sum(n * {g("s")}) / sum(n) - sum(n * {g("m")}) / sum(n)), 6) mi FROM m)"""
+
+
+@query("select_mutual_info_neighbours", " UNION ALL ".join(f"SELECT * FROM {_mi(f)}" for f in _FEW))
+def _(t):
+    return rounded(contract.mutual_info_neighbours(t.features(), _FEW, "label"))
+
+
 def _fitted(t):
     return contract.Contract().fit_imputation(t.features(), _F).fit_normalization(t.features(), _F).freeze()
 
