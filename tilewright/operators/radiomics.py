@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.functions.names import own_names
 from tilewright.operators.graph import components
@@ -117,6 +121,90 @@ def gldm(df: DataFrame, sample: str, alpha: float = 0, axes=("x", "y", "z")) ->
     return all_.join(dep, ["sample", "x", "y", "z"], "left").groupBy("sample", F.coalesce("dependence", F.lit(0)).cast("long").alias("dependence")).agg(F.count("*").alias("n"))
 
 
+#: Side of a block of voxels.
+BLOCK = 16
+
+
+def _blocks(df: DataFrame, sample: str) -> DataFrame:
+    """Each voxel in its block and, at a block's faces, in the blocks beside it (``own`` is false there): all neighbours of a block's own voxels are in it."""
+
+    def beside(c: str):
+        at = F.floor(F.col(c) / F.lit(BLOCK)).cast("long")
+        inside = F.pmod(F.col(c), F.lit(BLOCK))
+        others = F.when(inside == 0, F.array(at, at - 1)).when(inside == BLOCK - 1, F.array(at, at + 1)).otherwise(F.array(at))
+        return F.explode(others).alias(f"b{c}")
+
+    rows = df.select(F.col(sample).alias("sample"), *[F.col(c).cast("long").alias(c) for c in "xyz"], F.col("level").cast("long").alias("level"))
+    for c in "xyz":
+        rows = rows.select("*", beside(c))
+    own = reduce(lambda a, b: a & b, [F.floor(F.col(c) / F.lit(BLOCK)) == F.col(f"b{c}") for c in "xyz"])
+    return rows.withColumn("own", own)
+
+
+def neighbour_differences(df: DataFrame, sample: str) -> DataFrame:
+    """``sample, level, neighbours, n, difference``: voxels by level and number of neighbours (of 26), and the sum of
+    ``abs(level * neighbours - sum of the neighbours' levels)``; voxels without neighbours don't count.
+
+    One exchange: blocks of voxels with a halo of one, a stencil of shifted arrays inside, whole sums out. A row a voxel; a NULL coordinate or level has none.
+    """
+    kind = df.schema[sample].dataType
+
+    def stencil(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        side = BLOCK + 2
+        level, there = np.zeros((side,) * 3, np.int64), np.zeros((side,) * 3, np.int64)
+        at = tuple(table.column(c).to_numpy() - k.as_py() * BLOCK + 1 for c, k in zip("xyz", key[1:], strict=True))
+        level[at], there[at] = table.column("level").to_numpy(), 1
+        total, count = np.zeros((BLOCK,) * 3, np.int64), np.zeros((BLOCK,) * 3, np.int64)
+        for dx, dy, dz in product(range(3), repeat=3):
+            if (dx, dy, dz) != (1, 1, 1):
+                window = (slice(dx, dx + BLOCK), slice(dy, dy + BLOCK), slice(dz, dz + BLOCK))
+                total += level[window]
+                count += there[window]
+        inner = (slice(1, -1),) * 3
+        use = (there[inner] == 1) & (count > 0)
+        g, c, d = level[inner][use], count[use], np.abs(level[inner] * count - total)[use]
+        pairs, back = np.unique(np.stack([g, c], axis=1), axis=0, return_inverse=True)
+        back = back.reshape(-1)
+        sums = np.zeros(len(pairs), np.int64)
+        np.add.at(sums, back, d)
+        return pa.table({"sample": pa.array([key[0].as_py()] * len(pairs), key[0].type), "level": pairs[:, 0], "neighbours": pairs[:, 1], "n": np.bincount(back, minlength=len(pairs)), "difference": sums})
+
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("x", "y", "z", "level")])
+    blocks = _blocks(df.where(whole), sample).drop("own")
+    schema = T.StructType([T.StructField("sample", kind), *[T.StructField(c, T.LongType()) for c in ("level", "neighbours", "n", "difference")]])
+    return blocks.groupBy("sample", "bx", "by", "bz").applyInArrow(stencil, schema).groupBy("sample", "level", "neighbours").agg(F.sum("n").alias("n"), F.sum("difference").alias("difference"))
+
+
+def ngtdm(df: DataFrame, sample: str) -> DataFrame:
+    """``sample, coarseness, contrast, busyness, complexity, strength`` from neighbouring grey tone differences.
+
+    A level's p is its share of the voxels that have neighbours, its s the sum of the differences between the level
+    and its neighbours' mean. Coarseness is at most 1e6; the others are 0 where their denominator is.
+    """
+    part = neighbour_differences(df, sample)
+    level = part.groupBy("sample", "level").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("neighbours", "difference"))).alias("d"))  # 26 entries at most
+    s = F.aggregate("d", F.lit(0.0), lambda a, x: a + x["difference"].cast("double") / x["neighbours"])
+    level = level.select("sample", "n", F.struct(F.col("level").cast("double").alias("i"), F.col("n").cast("double").alias("n"), s.alias("s")).alias("v"))
+    per = level.groupBy("sample").agg(F.sum("n").cast("double").alias("N"), F.sort_array(F.collect_list("v")).alias("v"))  # a struct for each level
+    per = per.select("sample", "N", F.transform("v", lambda x: F.struct(x["i"].alias("i"), (x["n"] / F.col("N")).alias("p"), x["s"].alias("s"))).alias("v"))
+    total = lambda f: F.aggregate("v", F.lit(0.0), lambda a, x: a + f(x))
+    pairs = lambda f: F.aggregate("v", F.lit(0.0), lambda a, x: a + F.aggregate("v", F.lit(0.0), lambda b, y: b + f(x, y)))
+    square = lambda a: a * a
+    ps, all_s, levels = total(lambda x: x["p"] * x["s"]), total(lambda x: x["s"]), F.size("v").cast("double")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return per.select(
+        "sample",
+        F.least(F.coalesce(F.try_divide(F.lit(1.0), ps), F.lit(1e6)), F.lit(1e6)).alias("coarseness"),
+        zero(F.try_divide(pairs(lambda x, y: x["p"] * y["p"] * square(x["i"] - y["i"])), levels * (levels - 1)) * all_s / F.col("N")).alias("contrast"),
+        zero(F.try_divide(ps, pairs(lambda x, y: F.abs(x["i"] * x["p"] - y["i"] * y["p"])))).alias("busyness"),
+        (pairs(lambda x, y: F.abs(x["i"] - y["i"]) * (x["p"] * x["s"] + y["p"] * y["s"]) / (x["p"] + y["p"])) / F.col("N")).alias("complexity"),
+        zero(F.try_divide(pairs(lambda x, y: (x["p"] + y["p"]) * square(x["i"] - y["i"])), all_s)).alias("strength"),
+    )
+
+
 def shape(df: DataFrame, sample: str, voxel: float = 1.0) -> DataFrame:
     """Volume, surface faces and extents of each sample."""
     inner = neighbours(df.withColumn("level", F.lit(0)), sample).groupBy("sample").agg(F.count("*").alias("inner"))

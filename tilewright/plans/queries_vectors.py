@@ -371,6 +371,18 @@ def _(t):
     return rounded(radiomics.glszm(t.voxels(), "sample"))
 
 
+@query("radiomics_ngtdm", f"""WITH v AS (SELECT * FROM {VOXELS}),
+a AS (SELECT v.sample, v."level" l, count(*) c, abs(v."level" * count(*) - sum(w."level")) d FROM v, range(-1, 2) i(dx), range(-1, 2) j(dy), range(-1, 2) k(dz), v w
+  WHERE w.sample = v.sample AND w.x = v.x + dx AND w.y = v.y + dy AND w.z = v.z + dz AND NOT (dx = 0 AND dy = 0 AND dz = 0) GROUP BY v.sample, v.x, v.y, v.z, v."level"),
+s AS (SELECT sample, l::DOUBLE l, count(*) / (sum(count(*)) OVER (PARTITION BY sample))::DOUBLE p, (sum(count(*)) OVER (PARTITION BY sample))::DOUBLE n, sum(d / c::DOUBLE) s FROM a GROUP BY 1, 2),
+t AS (SELECT sample, any_value(n) n, sum(p * s) ps, sum(s) s, count(*)::DOUBLE g FROM s GROUP BY 1),
+q AS (SELECT x.sample, sum(x.p * y.p * (x.l - y.l) ** 2) con, sum(abs(x.l * x.p - y.l * y.p)) bus, sum(abs(x.l - y.l) * (x.p * x.s + y.p * y.s) / (x.p + y.p)) com, sum((x.p + y.p) * (x.l - y.l) ** 2) str FROM s x JOIN s y USING (sample) GROUP BY 1)
+SELECT sample, round(CASE WHEN ps = 0 THEN 1e6 ELSE least(1 / ps, 1e6) END, 6) coarseness, round(CASE WHEN g < 2 THEN 0 ELSE con / (g * (g - 1)) * s / n END, 6) contrast, round(CASE WHEN bus = 0 THEN 0 ELSE ps / bus END, 6) busyness, round(com / n, 6) complexity, round(CASE WHEN s = 0 THEN 0 ELSE str / s END, 6) strength
+FROM t JOIN q USING (sample)""")
+def _(t):
+    return rounded(radiomics.ngtdm(t.voxels(), "sample"))
+
+
 @query("radiomics_gldm", f"WITH n AS (SELECT sample, x, y, z FROM {_NB} WHERE li = lj UNION ALL SELECT sample, nx, ny, nz FROM {_NB} WHERE li = lj), d AS (SELECT v.sample, v.x, v.y, v.z, (SELECT count(*) FROM n WHERE n.sample = v.sample AND n.x = v.x AND n.y = v.y AND n.z = v.z) dependence FROM {VOXELS} v) SELECT sample, dependence, count(*) n FROM d GROUP BY 1, 2")
 def _(t):
     return radiomics.gldm(t.voxels(), "sample")
