@@ -89,7 +89,7 @@ def ci(df: DataFrame, value: str, by: tuple[str, ...] = (), low: float = 0.025,
 
 
 def ci_for(sampled: DataFrame, metric: Callable, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Any metric of a pandas frame, with its interval: one call for each replicate of a bounded sample."""
+    """Any metric of a pandas frame, with its interval: one call for each replicate of a bounded sample; ``little_bootstraps`` takes tables of any size."""
 
     def one(pdf):
         import pandas as pd
@@ -97,3 +97,32 @@ def ci_for(sampled: DataFrame, metric: Callable, low: float = 0.025, high: float
         return pd.DataFrame({"replicate": [int(pdf.replicate.iloc[0])], "value": [float(metric(pdf))]})
 
     return ci(sampled.groupBy("replicate").applyInPandas(one, "replicate int, value double"), "value", (), low, high)
+
+
+def little_bootstraps(df: DataFrame, key: str, metric: Callable, rows_per_task: int = 5000, n: int = 100, seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """``value, ci_lower, ci_upper, subsets`` of any metric ``metric(frame, weights)``: a bag of little bootstraps.
+
+    The rows fall by the draw of their unique ``key`` into disjoint subsets of about ``rows_per_task``. Each subset draws ``n``
+    resamples of as many rows as there are in all, as multinomial weights of its own rows, and has an interval from them;
+    the result is the mean over the subsets. A task holds one subset, however many rows there are. A metric that is undefined (NaN) on a
+    resample is left out; so is a subset where it always is. NULLs without rows.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = df.count()
+    subsets = max(1, round(rows / rows_per_task))
+
+    def one(pdf):
+        number = int(pdf["_subset"].iloc[0])
+        frame = pdf.drop(columns="_subset").sort_values(key, kind="stable").reset_index(drop=True)
+        rng = np.random.default_rng([seed, number])
+        values = np.array([metric(frame, rng.multinomial(rows, np.full(len(frame), 1 / len(frame)))) for _ in range(n)], float)
+        values = values[~np.isnan(values)]
+        if not len(values):
+            return pd.DataFrame({"value": [], "ci_lower": [], "ci_upper": []}, dtype=float)
+        return pd.DataFrame({"value": [values.mean()], "ci_lower": [np.quantile(values, low)], "ci_upper": [np.quantile(values, high)]})
+
+    dealt = df.withColumn("_subset", F.pmod(draw(seed, key), F.lit(subsets)).cast("int"))
+    each = dealt.groupBy("_subset").applyInPandas(one, "value double, ci_lower double, ci_upper double")
+    return each.agg(*[F.avg(c).alias(c) for c in ("value", "ci_lower", "ci_upper")], F.count("*").alias("subsets"))

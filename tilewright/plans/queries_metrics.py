@@ -236,6 +236,16 @@ def _(t):
     return rounded(sampling.ci_for(b, lambda pdf: (pdf.y_true == pdf.y_pred).mean()))
 
 
+def weighted_accuracy(frame, weights):
+    return float(weights[(frame.y_true == frame.y_pred).to_numpy()].sum() / weights.sum())
+
+
+@query("sampling_little_bootstraps")
+def _(t):
+    """The interval of an accuracy from subsets of 100 rows; tests draw it again by a plain version."""
+    return rounded(sampling.little_bootstraps(t.predictions().select("id", "y_true", "y_pred"), "id", weighted_accuracy, rows_per_task=100))
+
+
 @query("sampling_bootstrap_sized", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY id) - 1 i FROM {PRED}), c AS (SELECT y_true y, count(*) m FROM p GROUP BY 1),
 k AS (SELECT y, m, greatest(1, round_even(m / (sum(m) OVER ())::DOUBLE * 150, 0)) k FROM c), m AS (SELECT y, m, CAST(least(k, 150 - coalesce(sum(k) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) k FROM k),
 b AS (SELECT y, r, unnest(range(k)) j, m FROM m, range(20) a(r)), d AS (SELECT y, r, ('0x' || substr(md5('42|' || y || '|' || r || '|' || j), 1, 8))::BIGINT % m i FROM b)
