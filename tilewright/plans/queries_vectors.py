@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import arrays as A
 from tilewright.operators import dedup, fusion, graph, models, radiomics, trials, vectors
-from tilewright.plans.registry import FEATURES, PATCH, TRIALS, VOXELS, query, rounded
+from tilewright.plans.registry import FEATURES, PATCH, SURV, TRIALS, VOXELS, query, rounded
 
 
 def _long(df, *keys, col="pooled"):
@@ -413,14 +413,19 @@ _PREDICTORS = ["l_quantity", "l_discount", "l_tax"]
 
 @query("models_evaluate")
 def _(t):
-    """Three kinds of models by AUROC, accuracy and macro F1."""
+    """Three kinds of models by AUROC, accuracy and macro F1 on orders that they haven't seen."""
     d = _labelled(t)
-    fits = {"lr": models.fit_lr(d, _PREDICTORS), "rf": models.fit_rf(d, _PREDICTORS, trees=10, depth=4), "svm": models.fit_svm_linear(d, _PREDICTORS, maxIter=20)}
-    out = [models.evaluate(m, d).withColumn("model", F.lit(name)) for name, m in fits.items()]
+    train, held = d.where("l_orderkey % 5 <> 0"), d.where("l_orderkey % 5 = 0")
+    fits = {"lr": models.fit_lr(train, _PREDICTORS), "rf": models.fit_rf(train, _PREDICTORS, trees=10, depth=4), "svm": models.fit_svm_linear(train, _PREDICTORS, maxIter=20)}
+    out = [models.evaluate(m, held).withColumn("model", F.lit(name)) for name, m in fits.items()]
     return rounded(out[0].unionByName(out[1]).unionByName(out[2]), 3)
 
 
-@query("models_importance", "SELECT 'l_quantity' feature, true first")
+_LABELLED = "(SELECT l_orderkey, l_quantity, l_discount, l_tax, (l_quantity + l_orderkey % 7 * 3 > 30)::DOUBLE AS label FROM lineitem)"
+_EACH = " UNION ALL ".join(f"SELECT '{f}' feature, abs(covar_samp({f}, label) / stddev_samp({f})) c FROM {_LABELLED}" for f in _PREDICTORS)
+
+
+@query("models_importance", f"SELECT feature, true first FROM ({_EACH}) ORDER BY c DESC LIMIT 1")
 def _(t):
     """The feature that makes the label comes first."""
     d = _labelled(t)
@@ -428,13 +433,14 @@ def _(t):
     return top.select("feature", (F.col("importance") > 0.5).alias("first"))
 
 
-@query("models_lasso_select", "SELECT 'l_quantity' feature")
+@query("models_lasso_select", f"SELECT feature FROM ({_EACH}) WHERE c > 0.05")
 def _(t):
-    """Only the feature that makes the label keeps a coefficient."""
+    """The features that keep a coefficient: of independent ones, those whose scaled covariance with the label is above the penalty."""
     return t.spark.createDataFrame([(f,) for f in models.lasso_select(_labelled(t), _PREDICTORS, "label", 0.05)], "feature string")
 
 
-@query("models_cv_search", "SELECT CAST(3 AS INT) candidates, true better_than_chance")
+@query("models_cv_search", f"""WITH r AS (SELECT l_orderkey % 3 fold, label, rank() OVER (PARTITION BY l_orderkey % 3 ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_orderkey % 3, l_quantity) - 1) / 2.0 r FROM {_LABELLED}),
+a AS (SELECT (sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))) auroc FROM r GROUP BY fold) SELECT CAST(3 AS INT) candidates, avg(auroc) > 0.6 better_than_chance FROM a""")
 def _(t):
     from pyspark.ml.classification import LogisticRegression
 
@@ -454,11 +460,30 @@ def _(t):
     return rounded(at.join(F.broadcast(c.c_index(d))))
 
 
-@query("models_cox")
+@query("models_cox", f"""WITH RECURSIVE c AS (SELECT "time" t, risk * 10 x, count(*) n, count(*) FILTER (event) d FROM {SURV} GROUP BY 1, 2),
+f AS (SELECT 0 step, CAST(0 AS DOUBLE) b UNION ALL
+  SELECT step + 1, b + sum(dx - d * s1 / s0) / sum(d * (s2 / s0 - (s1 / s0) ** 2)) FROM (
+    SELECT step, b, t, sum(d) d, sum(d * x) dx, sum(sum(n * exp(b * x))) OVER w s0, sum(sum(n * x * exp(b * x))) OVER w s1, sum(sum(n * x * x * exp(b * x))) OVER w s2
+    FROM f, c WHERE step < 12 GROUP BY step, b, t WINDOW w AS (PARTITION BY step ORDER BY t DESC)) GROUP BY step, b),
+h AS (SELECT t, sum(d) d, sum(sum(n * exp(b * x))) OVER (ORDER BY t DESC) s0 FROM c, f WHERE step = 12 GROUP BY t)
+SELECT t "time", round(sum(d / s0) OVER (ORDER BY t), 6) hazard, round(exp(-sum(d / s0) OVER (ORDER BY t)), 6) survival FROM h WHERE d > 0""")
 def _(t):
     d = t.survival().withColumn("x", F.col("risk") * 10)
     c = models.Cox(["x"]).fit(d)
-    return c.baseline(d)
+    return rounded(c.baseline(d))
+
+
+@query("models_lr_one", f"""WITH RECURSIVE c AS (SELECT l_quantity x, count(*) n, sum(label) y FROM {_LABELLED} GROUP BY 1),
+f AS (SELECT 0 step, CAST(0 AS DOUBLE) a, CAST(0 AS DOUBLE) b UNION ALL
+  SELECT step + 1, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1), b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) FROM (
+    SELECT step, a, b, sum(y - n * p) g0, sum(x * (y - n * p)) g1, sum(n * p * (1 - p)) h0, sum(n * x * p * (1 - p)) h1, sum(n * x * x * p * (1 - p)) h2
+    FROM (SELECT *, 1 / (1 + exp(-a - b * x)) p FROM f, c WHERE step < 15) GROUP BY step, a, b))
+SELECT x l_quantity, round(1 / (1 + exp(-a - b * x)), 4) score FROM c, f WHERE step = 15""")
+def _(t):
+    """The probabilities of a logistic regression on one feature, a row for each of its values."""
+    d = _labelled(t)
+    scored = models.predict_proba(models.fit_lr(d, ["l_quantity"], tol=1e-12), d)
+    return scored.groupBy("l_quantity").agg(F.round(F.max("score"), 4).alias("score"))
 
 
 @query("models_aft")
