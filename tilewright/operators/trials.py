@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.functions.names import own_names
+from tilewright.operators.prefix import ranged
 
 
 @own_names("order", "metric", "by")
 def running_best(df: DataFrame, order: str, metric: str = "metric", mode: str = "max", by: tuple[str, ...] = ()) -> DataFrame:
-    """``best_before`` and ``improved`` (strictly better). A failed trial has a NULL metric and moves nothing."""
-    before = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    best = (F.max if mode == "max" else F.min)(metric).over(before)
+    """``best_before`` and ``improved`` (strictly better). A failed trial has a NULL metric and moves nothing.
+
+    Trials are unique in their order. Ranges of the order hold their own bests and take over the best of the ranges
+    before them, so neither all trials nor those of one ``by`` are in one task.
+    """
+    best, better_of = (F.max, F.greatest) if mode == "max" else (F.min, F.least)
+    dealt = ranged(df, order)
+    totals = dealt.groupBy(*by, "_part").agg(best(metric).alias("_best"))
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    carried = totals.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_part").alias("_p"), best("_best").over(earlier).alias("_carried"))
+    same = reduce(lambda a, x: a & F.col(x[1]).eqNullSafe(F.col(f"_by{x[0]}")), enumerate(by), F.col("_part") == F.col("_p"))
+    inside = W.partitionBy(*by, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    out = dealt.join(carried, same).withColumn("best_before", better_of(best(metric).over(inside), F.col("_carried")))
     better = F.col(metric) > F.col("best_before") if mode == "max" else F.col(metric) < F.col("best_before")
-    return df.withColumn("best_before", best).withColumn("improved", F.coalesce(F.when(F.col("best_before").isNull(), F.col(metric).isNotNull()).otherwise(better), F.lit(False)))
+    improved = F.coalesce(F.when(F.col("best_before").isNull(), F.col(metric).isNotNull()).otherwise(better), F.lit(False))
+    return out.select(*df.columns, "best_before", improved.alias("improved"))
 
 
 @own_names("order", "metric", "by")
@@ -39,10 +53,23 @@ def early_stop(df: DataFrame, patience: int, run: str, epoch: str = "epoch", los
 
 @own_names("name", "metric", "by")
 def retain(df: DataFrame, max_keep: int, name: str, metric: str, mode: str = "max", by: tuple[str, ...] = ()) -> DataFrame:
-    """The latest ``max_keep`` checkpoints by name, and the best (the earliest on ties)."""
-    late = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(name)))
-    best = F.row_number().over(W.partitionBy(*by).orderBy(F.desc_nulls_last(metric) if mode == "max" else F.asc_nulls_last(metric), name))
-    return df.withColumns({"_late": late, "is_best": best == 1}).where((F.col("_late") <= max_keep) | F.col("is_best")).drop("_late")
+    """The latest ``max_keep`` checkpoints by their unique name, and the best (the earliest on ties); ``is_best`` tells it.
+
+    The latest come from a limit that each task applies first, the best from one aggregate: nothing is sorted as a whole.
+    """
+    good = F.struct(F.col(metric).isNull(), (-F.col(metric) if mode == "max" else F.col(metric)), F.col(name))
+    top = df.groupBy(*by).agg(F.min_by(name, good).alias("_top"))
+    if not by:
+        late = df.orderBy(F.desc(name)).limit(max_keep)
+        marked = late.join(F.broadcast(top)).withColumn("is_best", F.col(name) == F.col("_top"))  # one row
+        first = df.join(F.broadcast(top)).where(F.col(name) == F.col("_top")).withColumn("is_best", F.lit(True))
+        return marked.where("NOT is_best").unionByName(first).select(*df.columns, "is_best")
+    late = df.withColumn("_late", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(name)))).where(F.col("_late") <= max_keep).drop("_late")
+    top = top.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_top")
+    same = reduce(lambda a, x: a & F.col(x[1]).eqNullSafe(F.col(f"_by{x[0]}")), enumerate(by), F.lit(True))
+    marked = late.join(top, same).withColumn("is_best", F.col(name) == F.col("_top"))
+    first = df.join(top, same & (F.col(name) == F.col("_top"))).withColumn("is_best", F.lit(True))
+    return marked.where("NOT is_best").unionByName(first).select(*df.columns, "is_best")
 
 
 def leaderboard(df: DataFrame, metric: str, name: str, k: int = 10, mode: str = "max") -> DataFrame:

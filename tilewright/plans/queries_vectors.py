@@ -242,6 +242,16 @@ def _(t):
     return trials.running_best(t.trials(), "trial_id", by=("event_type",)).select("trial_id", "metric", "best_before", "improved")
 
 
+@query("trials_running_best_of_all", f"SELECT trial_id, metric, best_before, coalesce(CASE WHEN best_before IS NULL THEN metric IS NOT NULL ELSE metric < best_before END, false) improved FROM (SELECT *, min(metric) OVER (ORDER BY trial_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) best_before FROM {TRIALS})")
+def _(t):
+    return trials.running_best(t.trials(), "trial_id", mode="min").select("trial_id", "metric", "best_before", "improved")
+
+
+@query("trials_retain_of_all", f"SELECT trial_id, b = 1 is_best FROM (SELECT *, row_number() OVER (ORDER BY trial_id DESC) a, row_number() OVER (ORDER BY metric DESC NULLS LAST, trial_id) b FROM {TRIALS}) WHERE a <= 3 OR b = 1")
+def _(t):
+    return trials.retain(t.trials(), 3, "trial_id", "metric").select("trial_id", "is_best")
+
+
 @query("trials_suspicious", f"SELECT trial_id, coalesce(abs(metric - best_before) > 0.05, false) suspicious FROM {_RB}")
 def _(t):
     return trials.suspicious(t.trials(), "trial_id", by=("event_type",)).select("trial_id", "suspicious")
@@ -296,9 +306,9 @@ def _(t):
     return trials.verify(t.trials(), ["trial_id", "metric"]).select("trial_id", "missing")
 
 
-@query("trials_training_curves", "SELECT l_orderkey epoch, 'loss' metric, 'train' phase, l_discount AS value FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, 'loss', 'val', l_tax FROM lineitem WHERE l_linenumber = 1")
+@query("trials_training_curves", "SELECT l_orderkey * 8 + l_linenumber epoch, 'loss' metric, 'train' phase, l_discount AS value FROM lineitem UNION ALL SELECT l_orderkey * 8 + l_linenumber, 'loss', 'val', l_tax FROM lineitem")
 def _(t):
-    return trials.training_curves(t("lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("epoch"), F.col("l_discount").alias("train_loss"), F.col("l_tax").alias("val_loss")))
+    return trials.training_curves(t("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("epoch"), F.col("l_discount").alias("train_loss"), F.col("l_tax").alias("val_loss")))
 
 
 # --------------------------------------------------------------------- radiomics
