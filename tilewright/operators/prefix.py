@@ -107,3 +107,35 @@ def percentiles(df: DataFrame, value: str, shares: list[float], by: tuple[str, .
         low, high = F.max(F.when(holds(F.floor(at)), F.col("_v"))), F.max(F.when(holds(F.ceil(at)), F.col("_v")))
         out.append((low + (high - low) * F.max(at - F.floor(at))).alias(f"p{i}"))
     return run.groupBy(*by).agg(*out)
+
+
+def asof(left: DataFrame, right: DataFrame, time: str, values: list[str], by: tuple[str, ...] = (), tolerance: float | None = None, exact: bool = True, order: tuple[str, ...] = ()) -> DataFrame:
+    """``left`` with the right side's ``values`` at the last right time not after its own (before it, if not ``exact``), and that time as ``<time>_right``.
+
+    Within ``by``; both sides have ``time`` and ``by``. With ``tolerance`` (seconds for timestamps, else in the unit of the time) an older right row
+    doesn't count. Of right rows at one time the last by ``order``, then by all values, counts. Left rows without one have NULLs; a
+    NULL time has none and is none; NULL in ``by`` matches NULL. A last-value fold: ranges of time hold their own last right row and take
+    over the last of the ranges before, so neither a hot key nor all rows are in one task; there is no join of rows with rows.
+    """
+    of_left = {c: f"in__{i}" for i, c in enumerate(left.columns)}
+    keys = [f"_by{i}" for i in range(len(by))]
+    kind = left.schema[time].dataType
+    found = F.struct(F.col(time).cast(kind).alias("_time"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(values)])
+    tie = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in values])
+    r = right.where(F.col(time).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(time).cast(kind).alias("_t"), F.lit(0 if exact else 1).alias("_side"), tie.alias("_tie"), found.alias("_found"))
+    r = r.groupBy(*keys, "_t", "_side").agg(F.max_by("_found", "_tie").alias("_found"))
+    row = F.struct(*[F.col(c).alias(n) for c, n in of_left.items()])
+    a = left.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(time).alias("_t"), F.lit(1 if exact else 0).alias("_side"), row.alias("_row"))
+    both = ranged(a.unionByName(r, allowMissingColumns=True).withColumn("_o", F.struct("_t", "_side")), "_o")
+    last = both.groupBy(*keys, "_part").agg(F.max_by("_found", F.when(F.col("_found").isNotNull(), F.col("_o"))).alias("_last"))
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    carried = last.select(*[F.col(k).alias(f"_c{k}") for k in keys], F.col("_part").alias("_p"), F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    same = reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(f"_c{k}")), keys, F.col("_part") == F.col("_p"))
+    inside = W.partitionBy(*keys, "_part").orderBy("_o").rangeBetween(W.unboundedPreceding, W.currentRow)
+    out = both.join(carried, same).withColumn("_hit", F.coalesce(F.last("_found", ignorenulls=True).over(inside), F.col("_carried"))).where("_row IS NOT NULL")
+    hit = F.col("_t").isNotNull()
+    if tolerance is not None:
+        number = (lambda c: F.unix_micros(c.cast("timestamp")) / 1e6) if kind.typeName() in ("timestamp", "timestamp_ntz", "date") else (lambda c: c.cast("double"))
+        hit = hit & (number(F.col("_t")) - number(F.col("_hit._time")) <= tolerance)
+    pick = lambda c: F.when(hit, F.col(f"_hit.{c}"))
+    return out.select(*[F.col(f"_row.{n}").alias(c) for c, n in of_left.items()], *[pick(f"_v{i}").alias(c) for i, c in enumerate(values)], pick("_time").alias(f"{time}_right"))

@@ -256,6 +256,18 @@ def _(t):
     return rounded(b.groupBy("replicate", "y_true").agg(F.count("*").alias("n"), F.avg("score").alias("v")), 12)
 
 
+_PAID = "(SELECT user_id, ts, max(value) paid FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)"
+
+
+@query("prefix_asof", f"SELECT event_id, CASE WHEN e.ts - p.ts <= INTERVAL 3 DAY THEN paid END paid, CASE WHEN e.ts - p.ts <= INTERVAL 3 DAY THEN p.ts END ts_right FROM events e ASOF LEFT JOIN {_PAID} p ON e.user_id = p.user_id AND e.ts >= p.ts")
+def _(t):
+    """Each event with its user's last purchase of the three days before."""
+    from tilewright.operators.prefix import asof
+
+    paid = t("events").where("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("paid"))
+    return asof(t("events"), paid, "ts", ["paid"], ("user_id",), tolerance=3 * 86400).select("event_id", "paid", "ts_right")
+
+
 @query("prefix_running_sum", 'SELECT l_quantity, CAST(n AS BIGINT) n, CAST(sum(n) OVER (ORDER BY l_quantity) AS BIGINT) cum_n FROM (SELECT l_quantity, count(*) n FROM lineitem GROUP BY 1)')
 def _(t):
     return prefix.running_sum(t("lineitem").groupBy("l_quantity").agg(F.count("*").alias("n")), "l_quantity", ["n"])
