@@ -128,6 +128,19 @@ def impute(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
     return df.withColumns({f: F.when(is_missing(F.col(f)), F.lit(float(v))).otherwise(F.col(f).cast("double")) for f, v in values.items() if v is not None})
 
 
+def distribution(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """``feature, n, missing, below, above, bins``: rows, missing values, values outside the first and last edge, and how many of the others are above each number of inner edges.
+
+    One pass: a row for each feature and bin leaves a task. Values equal to an edge are not above it.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), present(F.col(f)).alias("v"), F.lit([float(x) for x in e]).alias("e")) for f, e in edges.items()])).alias("x")).select("x.*")
+    v, inner = F.col("v"), F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0)))
+    above = F.size(F.filter(inner, lambda x: x < v))
+    cells = long.select("feature", F.when(v.isNull(), -1).when(v < F.element_at("e", 1), -2).when(v > F.element_at("e", -1), -3).otherwise(above).alias("bin")).groupBy("feature", "bin").agg(F.count("*").alias("c"))
+    count = lambda b: F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("c"))), F.lit(0))
+    return cells.groupBy("feature").agg(F.sum("c").alias("n"), count(-1).alias("missing"), count(-2).alias("below"), count(-3).alias("above"), F.sort_array(F.collect_list(F.when(F.col("bin") >= 0, F.struct("bin", "c")))).alias("bins"))
+
+
 class Contract:
     """Parameters in three parts (normalization, imputation, selection). Fit, freeze, then apply."""
 
@@ -145,6 +158,20 @@ class Contract:
         rows = fit_normalization(df, features).collect()  # a row for each feature
         return self._fit("normalization", {r.feature: {k: r[k] for k in ("mean", "std", "min", "max")} for r in rows})
 
+    def fit_distribution(self, df: DataFrame, features: list[str], bins: int = 10) -> Contract:
+        """Freezes each feature's quantiles as the edges of ``bins`` bins, the shares of values in them and the share of missing ones. A feature without values has no edges."""
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), present(F.col(f)).alias("v")) for f in features])).alias("x")).select("x.*")
+        found = percentiles(long, "v", [i / bins for i in range(bins + 1)], ("feature",)).collect()  # a row for each feature
+        edges = {r.feature: [r[f"p{i}"] for i in range(bins + 1)] for r in found}
+        if not edges:
+            return self._fit("distribution", {})
+        parts = {}
+        for r in distribution(df, edges).collect():
+            inside = {x.bin: x.c for x in r.bins}
+            total = max(1, r.n - r.missing)
+            parts[r.feature] = {"edges": edges[r.feature], "shares": [inside.get(i, 0) / total for i in range(bins)], "missing": r.missing / r.n}
+        return self._fit("distribution", parts)
+
     def fit_imputation(self, df: DataFrame, features: list[str], method: str = "median") -> Contract:
         return self._fit("imputation", {r.feature: r.value for r in fit_imputation(df, features, method).collect()})
 
@@ -204,3 +231,32 @@ class Contract:
         now = fit_normalization(df, list(frozen))
         far = lambda a, b: F.abs(F.col(a) - F.col(b)) > tolerance * F.greatest(F.lit(1.0), F.abs(F.col(a)))
         return now.join(F.broadcast(table), "feature").where(far("frozen_mean", "mean") | far("frozen_std", "std")).select("feature", "frozen_mean", "mean", "frozen_std", "std")
+
+    def distribution_drift(self, df: DataFrame, psi: float = 0.2, ks: float = 0.1, outside: float = 0.01, missing: float = 0.05) -> DataFrame:
+        """``feature, psi, ks, below, above, missing, frozen_missing, drifted`` of every feature with a frozen distribution.
+
+        ``psi`` is the population stability index over the frozen bins (shares of at least 1e-4), ``ks`` the largest
+        distance of the two cumulative shares at the bins' edges, ``below`` and ``above`` the shares of values outside the frozen range, ``missing`` that of
+        missing values. A feature has drifted if one of them (the missing share by its difference) passes its limit. Values outside count in the first and last
+        bin. Without rows there is no row.
+        """
+        frozen = self.parts["distribution"]
+        schema = "f string, shares array<double>, frozen_missing double"
+        table = df.sparkSession.createDataFrame([(f, p["shares"], p["missing"]) for f, p in frozen.items()], schema)
+        if not frozen:
+            return table.select(F.col("f").alias("feature"), *[F.lit(0.0).alias(c) for c in ("psi", "ks", "below", "above", "missing")], "frozen_missing", F.lit(False).alias("drifted"))
+        now = distribution(df, {f: p["edges"] for f, p in frozen.items()}).join(F.broadcast(table), F.col("feature") == F.col("f"))  # a row for each feature
+        last = F.size("shares") - 1
+        own = lambda i: F.aggregate("bins", F.lit(0).cast("long"), lambda a, x: a + F.when(x["bin"] == i, x["c"]).otherwise(0)) + F.when(i == 0, F.col("below")).otherwise(0) + F.when(i == last, F.col("above")).otherwise(0)
+        values = (F.col("n") - F.col("missing")).cast("double")
+        shares = F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_divide(own(i).cast("double"), values), F.lit(0.0)))
+        now = now.withColumn("now", shares)
+        least = lambda x: F.greatest(x, F.lit(1e-4))
+        pairs = F.arrays_zip("shares", "now")
+        index = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + (least(x["now"]) - least(x["shares"])) * F.log(least(x["now"]) / least(x["shares"])))
+        zero = F.struct(F.lit(0.0).alias("gap"), F.lit(0.0).alias("most"))
+        far = F.aggregate(pairs, zero, lambda a, x: F.struct((a["gap"] + x["now"] - x["shares"]).alias("gap"), F.greatest(a["most"], F.abs(a["gap"] + x["now"] - x["shares"])).alias("most")))["most"]
+        share = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), values), F.lit(0.0))
+        out = now.select("feature", F.when(values > 0, index).otherwise(0.0).alias("psi"), F.when(values > 0, far).otherwise(0.0).alias("ks"), share("below").alias("below"), share("above").alias("above"), (F.col("missing") / F.col("n")).alias("missing"), "frozen_missing")
+        drifted = (F.col("psi") > psi) | (F.col("ks") > ks) | (F.col("below") > outside) | (F.col("above") > outside) | (F.abs(F.col("missing") - F.col("frozen_missing")) > missing)
+        return out.withColumn("drifted", drifted)

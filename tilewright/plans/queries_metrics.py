@@ -322,6 +322,23 @@ m AS (SELECT r.y, r.v, r.n, r.s, r.k, sum(c.n) m FROM r JOIN c ON (r.r = 0 AND c
 SELECT '{f}' feature, round(greatest(0, {g("sum(n)")} + sum(n * {g("k")}) / sum(n) - sum(n * {g("s")}) / sum(n) - sum(n * {g("m")}) / sum(n)), 6) mi FROM m)"""
 
 
+def _dist(f: str) -> str:
+    """Of one feature: rows that were returned against all others."""
+    q = f"(SELECT quantile_cont({f}, [{', '.join(f'{i}/10.0::DOUBLE' for i in range(11))}]) e FROM {FEATURES} WHERE label <> 'R')"
+    return f"""(WITH q AS {q}, b AS (SELECT label = 'R' r, CASE WHEN {f} IS NULL THEN -1 WHEN {f} < e[1] THEN -2 WHEN {f} > e[11] THEN -3 ELSE len(list_filter(e[2:10], lambda x: x < {f})) END b FROM {FEATURES}, q),
+t AS (SELECT count(*) FILTER (r)::DOUBLE n, count(*) FILTER (NOT r)::DOUBLE m, count(*) FILTER (r AND b <> -1)::DOUBLE nv, count(*) FILTER (NOT r AND b <> -1)::DOUBLE mv, count(*) FILTER (r AND b = -1) ms, count(*) FILTER (NOT r AND b = -1) fm, count(*) FILTER (r AND b = -2) bl, count(*) FILTER (r AND b = -3) ab FROM b),
+s AS (SELECT i, (SELECT count(*) FROM b WHERE r AND (b = i OR i = 0 AND b = -2 OR i = 9 AND b = -3)) / nv x, (SELECT count(*) FROM b WHERE NOT r AND b = i) / mv y FROM range(10) g(i), t),
+c AS (SELECT sum((greatest(x, 1e-4) - greatest(y, 1e-4)) * ln(greatest(x, 1e-4) / greatest(y, 1e-4))) psi, max(abs(g)) ks FROM (SELECT *, sum(x - y) OVER (ORDER BY i) g FROM s))
+SELECT '{f}' feature, round(psi, 6) psi, round(ks, 6) ks, round(bl / nv, 6) below, round(ab / nv, 6) above, round(ms / n, 6) missing, round(fm / m, 6) frozen_missing, psi > 0.2 OR ks > 0.1 OR bl / nv > 0.01 OR ab / nv > 0.01 OR abs(ms / n - fm / m) > 0.05 drifted FROM c, t)"""
+
+
+@query("contract_distribution_drift", " UNION ALL ".join(f"SELECT * FROM {_dist(f)}" for f in _F))
+def _(t):
+    """Returned items against the distributions that all others have frozen."""
+    rows = t.features()
+    return rounded(contract.Contract().fit_distribution(rows.where("label <> 'R'"), _F).freeze().distribution_drift(rows.where("label = 'R'")))
+
+
 @query("select_mutual_info_neighbours", " UNION ALL ".join(f"SELECT * FROM {_mi(f)}" for f in _FEW))
 def _(t):
     return rounded(contract.mutual_info_neighbours(t.features(), _FEW, "label"))
