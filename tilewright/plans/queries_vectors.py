@@ -510,6 +510,27 @@ def _(t):
     return map_batches(t("lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax"), lambda p: p.assign(total=p.l_discount + p.l_tax)[["l_orderkey", "l_linenumber", "total"]], "l_orderkey long, l_linenumber int, total double")
 
 
+@query("udf_expand", "SELECT doc_id, CAST(i AS INT) line, CAST(length(lines[i + 1]) AS INT) n_chars FROM (SELECT doc_id, string_split(text, chr(10)) lines FROM documents), LATERAL (SELECT unnest(range(len(lines))) i)")
+def _(t):
+    """The lines of each text, one to many."""
+    from tilewright.functions.hooks import expand
+
+    lines = expand(t("documents").select("doc_id", "text"), "text", lambda x: ((i, len(v)) for i, v in enumerate(x.split("\n"))), "line int, n_chars int")
+    return lines.where("error IS NULL").select("doc_id", "line", "n_chars")
+
+
+@query("udf_fold_groups", "SELECT user_id, count(*) n, count(*) FILTER (event_type <> before) changes FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) before FROM events) GROUP BY 1")
+def _(t):
+    """How often each user's event type changes, row by row."""
+    from tilewright.functions.hooks import fold_groups
+
+    def step(state, row):
+        n, changes, last = state
+        return n + 1, changes + (last is not None and row["event_type"] != last), row["event_type"]
+
+    return fold_groups(t("events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], lambda: (0, 0, None), step, lambda s: [(s[0], s[1])], "n long, changes long")
+
+
 @query("udf_per_group", "SELECT label, count(*) n FROM embeddings GROUP BY 1")
 def _(t):
     import pandas as pd
