@@ -25,10 +25,13 @@ COLUMNS = ["id", "slide", "part", "when", "happened", "danger", "truth", "guess"
 @pytest.fixture(scope="module")
 def table(spark):
     rows = [(i, f"s{i % 3}", f"p{i % 2}", float((i * 7) % 12), i % 3 != 0, ((i * 5) % 11) / 11, i % 2, (i // 2) % 2, float(i % 4), f"word{i % 5} and", [float(i % 3), float(i % 5) / 4], *range(14)) for i in range(24)]
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    quick = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false"}  # many small plans
+    before = {k: spark.conf.get(k) for k in quick}
+    for k, v in quick.items():
+        spark.conf.set(k, v)
     yield spark.createDataFrame(rows, "id long, slide string, part string, when double, happened boolean, danger double, truth int, guess int, level double, note string, bag array<double>, " + ", ".join(f"more{i} int" for i in range(14))).coalesce(1).cache()
-    spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 def internal(fn) -> list[str]:

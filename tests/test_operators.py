@@ -289,6 +289,42 @@ def test_pixel_metrics(spark, tmp_path):
     assert m["blank.png"].background_fraction == 1.0 and m["tissue.png"].laplacian_var == 0.0
 
 
+def _plain_metrics(px):
+    """Tissue, sharpness, background and pen marks of rows of (r, g, b), pixel by pixel."""
+    h, w, half = len(px), len(px[0]), lambda v: int(np.rint(v))
+    gray = [[half(0.299 * r + 0.587 * g + 0.114 * b) for r, g, b in row] for row in px]
+    tissue = background = pen = 0
+    for row, grays in zip(px, gray, strict=True):
+        for (r, g, b), y in zip(row, grays, strict=True):
+            top, low = max(r, g, b), min(r, g, b)
+            sat = half((top - low) * 255 / top) if top else 0
+            hue = 0
+            if top > low:
+                d = top - low
+                degrees = 60 * ((g - b) / d % 6) if top == r else 60 * ((b - r) / d + 2) if top == g else 60 * ((r - g) / d + 4)
+                hue = half(degrees / 2)
+            tissue += sat > 15
+            background += y > 240
+            pen += sat > 150 and (100 < hue < 130 or 40 < hue < 80 or hue < 10 or hue > 170)
+    mirror = lambda i, n: -i if i < 0 else 2 * n - 2 - i if i >= n else i
+    lap = [sum(gray[mirror(y + dy, h)][mirror(x + dx, w)] for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))) - 4 * gray[y][x] for y in range(h) for x in range(w)]
+    mean = sum(lap) / len(lap)
+    return tissue / (h * w), sum((v - mean) ** 2 for v in lap) / len(lap), background / (h * w), pen / (h * w)
+
+
+def test_pixel_metrics_of_colours(spark, tmp_path):
+    """Colour images of several shapes, read from files, against a plain version."""
+    rng, want = random.Random(3), {}
+    for k, (h, w) in enumerate([(8, 8), (5, 13), (16, 4), (9, 9)]):
+        px = [[rng.choice([(rng.randrange(256), rng.randrange(256), rng.randrange(256)), (250, 245, 248), (200, 20, 20), (0, 0, 0)]) for _ in range(w)] for _ in range(h)]
+        _png(tmp_path / f"{k}.png", px)
+        want[f"{k}.png"] = _plain_metrics(px)
+    got = {r.origin.rsplit("/", 1)[-1]: tuple(r)[1:] for r in tiles.pixel_metrics(tables.read_images(spark, str(tmp_path))).collect()}
+    assert set(got) == set(want)
+    for name, v in want.items():
+        assert got[name] == pytest.approx(v, abs=1e-9), name
+
+
 def test_patches_round_trip(spark, tmp_path):
     path = str(tmp_path / "p")
     df = spark.createDataFrame([(i % 3, i, [float(i), 1.0]) for i in range(9)], "slide_id int, patch int, embedding array<float>")
