@@ -215,6 +215,25 @@ def _bits(flag: str, n: int) -> str:
     return f"CAST(list_sum(list_transform(range(1, {n + 1}), lambda i: CASE WHEN {flag} THEN (1::BIGINT << (i - 1)::INT) ELSE 0 END)) AS BIGINT)"
 
 
+_PIXELS = "(SELECT vec_id id, list_transform(embedding, lambda x: (x::DOUBLE + 1) * 127.5) v FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x: (x::DOUBLE + 1) * 127.5 * (1 + (vec_id % 3) / 50.0::DOUBLE)) FROM embeddings WHERE vec_id % 4 = 0)"
+
+
+def _pixels(t):
+    """Vectors as pixels, and every fourth once more, some of them brighter."""
+    pixel = lambda k: F.transform("embedding", lambda x: (x.cast("double") + 1) * 127.5 * k)
+    own = t("embeddings").select(F.col("vec_id").alias("id"), pixel(F.lit(1.0)).alias("v"))
+    return own.union(t("embeddings").where("vec_id % 4 = 0").select(F.col("vec_id") + 1000000, pixel(1 + (F.col("vec_id") % 3) / F.lit(50.0))))
+
+
+@query("dedup_ssim_pairs", f"""WITH p AS (SELECT min(id) id, v, list_avg(v) m, list_var_pop(v) s FROM {_PIXELS} GROUP BY v),
+q AS (SELECT a.id id_i, b.id id_j, (2 * a.m * b.m + 6.5025) / (a.m * a.m + b.m * b.m + 6.5025) s1, (2 * (list_dot_product(a.v, b.v) / len(a.v) - a.m * b.m) + 58.5225) / (a.s + b.s + 58.5225) s2 FROM p a JOIN p b ON a.id < b.id)
+SELECT id_i, id_j, round(s1 * s2, 6) ssim FROM q WHERE s1 * s2 >= 0.95""")
+def _(t):
+    from tilewright.operators.similarity import ssim_pairs
+
+    return rounded(ssim_pairs(_pixels(t), "id", "v"))
+
+
 @query("dedup_vector_hashes", f"SELECT vec_id, {_bits('e[i] > list_avg(e)', 48)} ahash, {_bits('e[i + 1] > e[i]', 47)} dhash FROM (SELECT vec_id, list_transform(embedding[1:48], lambda v: v::DOUBLE) e FROM embeddings)")
 def _(t):
     v = F.transform(F.slice("embedding", 1, 48), lambda x: x.cast("double"))
