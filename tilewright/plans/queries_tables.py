@@ -175,6 +175,16 @@ def _(t):
     return t.spark.read.schema(rows.schema).parquet(f"{path}/out").select("tile_id", "laplacian_var")
 
 
+@query("io_keyed_arrays", "SELECT vec_id, CAST(len(embedding) AS INT) n, embedding[1] first, embedding[len(embedding)] last FROM embeddings")
+def _(t):
+    """Vectors written as keyed arrays and read back by the source."""
+    from tilewright.sources.keyed import read_arrays, write_arrays
+
+    path = f"{shared_dir(t.spark)}/arrays-{uuid.uuid4().hex}"
+    write_arrays(t("embeddings").select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("values")), path)
+    return read_arrays(t.spark, path).select(F.col("key").cast("long").alias("vec_id"), F.size("values").alias("n"), F.element_at("values", 1).alias("first"), F.element_at("values", -1).alias("last"))
+
+
 @query("tiles_pixel_metrics")
 def _(t):
     """Vectors as images of eight by eight gray pixels."""
