@@ -15,9 +15,9 @@ ROLES = {
     "key": "slide", "slide": "slide", "group": "slide", "run": "slide", "sample": "slide", "line": "slide", "modality": "slide", "trial": "id",
     "time": "when", "event": "happened", "risk": "danger", "y": "truth", "yhat": "guess", "score": "danger", "label": "truth", "order": "id", "tie": "id",
     "weight": "danger", "value": "danger", "metric": "danger", "loss": "danger", "epoch": "id", "name": "id", "fold": "truth", "split": "part", "vector": "bag", "proba": "bag", "coords": ["id"],
-    "x": "when", "y_": "level", "feature": "id", "coef": "danger", "level": "level", "p": "danger", "t": "when", "diff": "note", "text": "note", "hash_col": "id", "columns": ["danger", "when"], "by": ("part",),
+    "x": "when", "y_": "level", "feature": "id", "coef": "danger", "level": "level", "p": "danger", "t": "when", "diff": "note", "text": "note", "hash_col": "id", "columns": ["danger", "when"], "labels": ["truth", "guess"], "by": ("part",),
 }
-OTHER = {"explain.heatmap": {"height": 40, "width": 30, "y": "level"}, "sampling.bootstrap_simple": {"n": 3, "key": "id"}, "sampling.bootstrap_stratified": {"n": 3, "key": "id"}, "sampling.poisson": {"n": 3, "key": "id"}, "sampling.bootstrap_group": {"n": 3}, "sampling.replicates": {"n": 3}, "trials.early_stop": {"patience": 2}, "trials.retain": {"max_keep": 2}, "vectors.top_k_norm": {"k": 2}, "vectors.sample_k": {"k": 2}, "vectors.two_tier_pool": {"centres": [[1.0, 0.0], [0.0, 1.0]]}, "vectors.moment_match": {"reference": "s0"}, "dedup.text_simhash": {"key": "id"}, "dedup.hamming_pairs": {"key": "id", "threshold": 2}, "dedup.clusters": {"key": "id", "threshold": 2}, "radiomics.runs": {}, "prefix.percentiles": {"shares": [0.3, 0.5]}}
+OTHER = {"splits.balanced": {"shares": [0.5, 0.5]}, "explain.heatmap": {"height": 40, "width": 30, "y": "level"}, "sampling.bootstrap_simple": {"n": 3, "key": "id"}, "sampling.bootstrap_stratified": {"n": 3, "key": "id"}, "sampling.poisson": {"n": 3, "key": "id"}, "sampling.bootstrap_group": {"n": 3}, "sampling.replicates": {"n": 3}, "trials.early_stop": {"patience": 2}, "trials.retain": {"max_keep": 2}, "vectors.top_k_norm": {"k": 2}, "vectors.sample_k": {"k": 2}, "vectors.two_tier_pool": {"centres": [[1.0, 0.0], [0.0, 1.0]]}, "vectors.moment_match": {"reference": "s0"}, "dedup.text_simhash": {"key": "id"}, "dedup.hamming_pairs": {"key": "id", "threshold": 2}, "dedup.clusters": {"key": "id", "threshold": 2}, "radiomics.runs": {}, "prefix.percentiles": {"shares": [0.3, 0.5]}}
 MODULES = [calibration, dedup, explain, losses, metrics, prefix, radiomics, report, sampling, splits, survival, trials, vectors]
 COLUMNS = ["id", "slide", "part", "when", "happened", "danger", "truth", "guess", "level", "note", "bag", *[f"more{i}" for i in range(14)]]
 

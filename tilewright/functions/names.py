@@ -15,7 +15,7 @@ SAFE: dict[str, Callable] = {}
 
 
 def own_names(*columns: str, frame: str = "df", fixed: tuple[str, ...] = ()):
-    """Decorates ``fn(frame, ...)`` whose parameters ``columns`` name columns of the frame (a name, or a list or tuple of names).
+    """Decorates ``fn(frame, ...)`` whose parameters ``columns`` name columns of the frame (a name, a list or tuple of names, or a dict by name).
 
     Inside, the input's columns have reserved names, and so have the parameters; outside,
     the result has the input's names again. Columns that the operator reads by a name of its own (``fixed``) keep
@@ -42,7 +42,9 @@ def own_names(*columns: str, frame: str = "df", fixed: tuple[str, ...] = ()):
 
             for p in columns:
                 v = bound.arguments[p]
-                if v is not None:
+                if isinstance(v, dict):
+                    bound.arguments[p] = {name(c): x for c, x in v.items()}
+                elif v is not None:
                     bound.arguments[p] = name(v) if isinstance(v, str) else type(v)(name(c) for c in v)
             bound.arguments[frame] = df.toDF(*inside)
             out = fn(*bound.args, **bound.kwargs)

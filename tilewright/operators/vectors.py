@@ -127,7 +127,7 @@ def slide_vote(df: DataFrame, key: str, proba: str) -> DataFrame:
     return mean_pool(df, key, proba).select(key, F.col("pooled").alias("mean_proba"), A.argmax(F.col("pooled")).alias("vote"))
 
 
-@own_names("group", "columns")
+@own_names("group", "columns", "bounds")
 def moment_match(df: DataFrame, group: str, columns: list[str], reference, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Each group's columns moved to the mean and population deviation of the reference group; values clipped to optional bounds."""
     stats = df.groupBy(group).agg(*[f(present(F.col(c))).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
