@@ -7,8 +7,9 @@ until the budget (all words of the input) is spent, so each source has come to
 its target when the queue is cut.
 
 Sums along a queue are split by hash ranges: a window inside each (source, range),
-offsets from the ranges' totals. The cut is found by a histogram of finish times
-and a sort inside the one bin that holds it. No source is ever in one task.
+offsets from the ranges' totals. An id that has more rows than a range is to have gets ranges of its
+own, by a hash of its rows. The cut is found by histograms of finish times, each inside the one bin of the last that
+holds it, until few entries are left to be sorted. Neither a source nor an id is ever in one task.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tilewright.functions.names import own_names
 from tilewright.plans.lineage import written
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 SEED = "mix-1"
-#: Documents in a hash range of all queues, about; bins of the finish times up to 1, where the targets are met.
+#: Documents in a hash range of all queues, about, and entries that are sorted in one task; bins of a histogram of finish times; most ids with ranges of their own.
 RANGE_ROWS = 1 << 16
-BINS = 1 << 16
+BINS = 1 << 14
+HOT_IDS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,21 +62,64 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def _ranges(sizes: DataFrame, n: int) -> DataFrame:
+    """``sizes`` with ``range``: the beginning of ``key``, and for an id with very many rows the whole key and a part of its rows."""
+    digits = 2
+    while 16**digits * RANGE_ROWS < n and digits < 8:
+        digits += 1
+    start = F.substring("key", 1, digits)
+    most = max(RANGE_ROWS, n // HOT_IDS)
+    crowded = sizes.groupBy("source", start.alias("start")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    if crowded.isEmpty():
+        return sizes.withColumn("range", start)
+    hot = sizes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    hot = written(hot.select(F.col("key").alias("hot_key"), F.ceil(F.col("n") / RANGE_ROWS).alias("cuts")))  # at most HOT_IDS rows
+    part = F.concat("key", F.lit("-"), F.lpad(F.pmod(F.xxhash64("size", "hash", "row"), F.col("cuts")).cast("string"), 12, "0"))
+    return sizes.join(F.broadcast(hot), F.col("key") == F.col("hot_key"), "left").withColumn("range", F.when(F.col("cuts").isNull(), start).otherwise(part)).drop("hot_key", "cuts")
+
+
+def _cut(entries: DataFrame, budget: int, low: float, high: float) -> tuple[float | None, float, int]:
+    """``low``, ``high``, ``room``: entries that finish before ``low`` are served, and from it to ``high`` the first that fit ``room``.
+
+    ``low`` is None where all are served. A histogram of BINS bins at most is read by the driver in each
+    round; the next one is of the bin in which the budget ends. At one finish time there is an entry a source.
+    """
+    room, finish = budget, F.col("finish")
+    while True:
+        width = (high - low) / BINS
+        bin_ = F.least(F.floor((finish - low) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+        bins = entries.where(finish.between(low, high)).groupBy(bin_.cast("int").alias("bin"))
+        found = bins.agg(F.sum("size").alias("size"), F.count("*").alias("rows"), F.min("finish").alias("low"), F.max("finish").alias("high")).collect()
+        for b in sorted(found, key=lambda b: b.bin):
+            if b["size"] > room:
+                break
+            room -= b["size"]
+        else:
+            return None, high, room
+        narrower = b.low > low or b.high < high
+        low, high = b.low, b.high
+        if b.rows <= RANGE_ROWS or low == high or not narrower:
+            return low, high, room
+
+
+@own_names("id_col", "text_col", "source_col", frame="docs")
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``id_col``, ``source``, ``size``, ``source_size``, ``target``, ``times`` and ``taken`` of every document.
 
     A null text has size 0 and is never taken. A null source is a source of its
     own, the last. Ties in the shuffled order go by id; rows that repeat id and
-    source are served one by one, in the order of their size. Empty table: no rows.
+    source are served one by one, in the order of their size (in parts, where they are very many). Of a very long text only
+    the size travels. Extra columns are left out; an id column that is named like one of the result's leaves
+    that with ``_`` at its end. Empty table: no rows.
     """
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("-"))))
-    sizes = written(docs.select(F.col(id_col), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")))
+    text = F.col(text_col)
+    # the number of a row holds for good, as it is written; it only parts rows that are alike
+    columns = [F.col(id_col), F.col(source_col).alias("source"), word_count(text).alias("size"), key.alias("key"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row")]
+    sizes = written(docs.select(*columns))
     targets = written(source_targets(sizes, weights, cap))
-    digits, n = 2, sizes.count()
-    while 16**digits * RANGE_ROWS < n and digits < 8:
-        digits += 1
-    keyed = sizes.withColumn("range", F.substring("key", 1, digits))
-    inside = W.partitionBy("source", "range").orderBy("key", F.col(id_col).asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0)
+    keyed = _ranges(sizes, sizes.count())
+    inside = W.partitionBy("source", "range").orderBy("key", F.col(id_col).asc_nulls_first(), "size", "hash", "row").rowsBetween(W.unboundedPreceding, 0)
     totals = keyed.groupBy("source", "range").agg(F.sum("size").alias("n"))
     offset = totals.select(F.col("source").alias("s"), F.col("range").alias("r"), (F.sum("n").over(W.partitionBy("source").orderBy("range")) - F.col("n")).alias("offset"))
     queued = keyed.withColumn("own", F.sum("size").over(inside)).withColumn("nth", F.row_number().over(inside))
@@ -84,22 +130,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = EPOCHS, seed: str = SEED, i
 
     epoch = F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))
     entries = queued.where("size > 0").withColumn("epoch", epoch).withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("sum")).cast("double") / F.col("target"))
-    # the queue is cut about where the targets are met, at 1; what ends after 2 is in one bin, so bins are bounded
-    entries = entries.withColumn("bin", F.floor(F.least(F.col("finish"), F.lit(2.0)) * BINS).cast("long"))
-    budget = sizes.agg(F.sum("size")).first()[0] or 0
-    bins = entries.groupBy("bin").agg(F.sum("size").alias("n"))
-    running = bins.select("bin", F.sum("n").over(W.orderBy("bin")).alias("upto"), "n")
-    at = running.where(F.col("upto") > budget).orderBy("bin").limit(1).first()
-    if at is None:
-        last_bin, room = None, 0
-    else:
-        last_bin, room = at["bin"], budget - (at["upto"] - at["n"])
-    order = ["finish", F.col("source").asc_nulls_last(), "epoch", "sum"]
-    if last_bin is None:
+    budget, last = targets.where("source_size > 0").agg(F.sum("source_size"), F.max(F.col("source_size") * cap / F.col("target"))).first()
+    low, high, room = _cut(entries, budget or 0, 0.0, float(last or 0.0))
+    if low is None:
         served = entries
     else:
-        edge = entries.where(F.col("bin") == last_bin).withColumn("upto", F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))).where(F.col("upto") <= room).drop("upto")
-        served = entries.where(F.col("bin") < last_bin).unionByName(edge)
+        order = W.orderBy("finish", F.col("source").asc_nulls_last(), "epoch", "sum").rowsBetween(W.unboundedPreceding, 0)
+        edge = entries.where(F.col("finish").between(low, high)).withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= room).drop("upto")
+        served = entries.where(F.col("finish") < low).unionByName(edge)
     # a range's nth row in its source names an entry's document
     times = served.groupBy("source", "range", "nth").agg(F.count("*").alias("times")).select(F.col("source").alias("es"), F.col("range").alias("er"), F.col("nth").alias("en"), "times")
     out = queued.join(times, _same(queued["source"], times["es"]) & (queued["range"] == times["er"]) & (queued["nth"] == times["en"]), "left")
