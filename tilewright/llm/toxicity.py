@@ -7,8 +7,8 @@ also counts the toxic rows inside U; with the class prior ``p`` that part is tak
 falls below zero the step goes the other way. Confirmed clean rows serve to
 estimate the prior alone.
 
-The sample is bounded (``positives``, ``unlabelled`` rows, chosen by a hash of the
-id); near copies inside it count once. Features that are no more frequent in toxic
+The sample is bounded (``positives``, ``unlabelled`` rows at most, different in id or text
+and chosen by a hash of both, however many rows share an id); near copies inside it count once. Features that are no more frequent in toxic
 rows than the lift asks for are left out before the fit: with all of them, hashed
 into 2**18 places, the same risk found a third of the held-out toxic rows that it
 finds now. Scoring covers every whole text.
@@ -68,7 +68,15 @@ def _sketch(words: list[str], size: int = 8) -> list[int]:
     return sorted(runs)[:size]
 
 
-def _sample(docs: DataFrame, id_col: str, text_col: str) -> list[np.ndarray]:
+def _chosen(of: DataFrame, among: DataFrame, n: int) -> DataFrame:
+    """``text`` of ``n`` rows (all, if fewer) of ``among``; rows alike in ``id`` and ``hash`` (of the text) are one."""
+    keys = among.select("id", "hash").distinct().orderBy(F.xxhash64(F.lit("pu"), "id", "hash"), "id", "hash").limit(n)
+    keys = F.broadcast(keys.select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash")))  # at most ``n`` rows
+    found = of.join(keys, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left_semi")
+    return found.groupBy("id", "hash").agg(F.first("text").alias("text")).select("text")
+
+
+def _sample(texts: DataFrame) -> list[np.ndarray]:
     """Feature hashes of each row (packed, so that the driver holds 4 bytes a feature), without near copies."""
 
     def run(batches):
@@ -81,7 +89,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str) -> list[np.ndarray]:
                 sketches.append(np.array(_sketch(words), "<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(sketches, pa.binary())], names=["found", "sketch"])
 
-    rows = sorted((bytes(r.found), bytes(r.sketch)) for r in docs.select(text_col).mapInArrow(run, "found binary, sketch binary").toLocalIterator())
+    rows = sorted((bytes(r.found), bytes(r.sketch)) for r in texts.mapInArrow(run, "found binary, sketch binary").toLocalIterator())
     out, seen = [], set()
     for found, packed in rows:
         sketch = np.frombuffer(packed, "<i8").tolist()
@@ -159,12 +167,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     known = labels.where(~held_out(id_col)).where(F.col("toxic").isin(0, 1))
     toxic, total = known.agg(F.sum("toxic"), F.count("*")).first()
     prior = (toxic or 0) / total if total else 0.0
-    chosen = lambda df, n: df.select(id_col).distinct().orderBy(F.xxhash64(F.lit("pu"), id_col), id_col).limit(n)
-    pick = lambda ids: rows.join(F.broadcast(ids), id_col, "left_semi")  # noqa: E731  at most ``n`` ids
-    p = _sample(pick(chosen(known.where("toxic = 1"), positives)), id_col, text_col) if toxic else []
+    of = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    confirmed = of.join(known.where("toxic = 1").select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+    p = _sample(_chosen(of, confirmed, positives)) if toxic else []
     if not p:
         return {}, -30.0
-    u = _sample(pick(chosen(rows, unlabelled)), id_col, text_col)
+    u = _sample(_chosen(of, of, unlabelled))
     prior = min(max(prior, 1e-3), 0.9)
     return nnpu(p, u, prior)
 
