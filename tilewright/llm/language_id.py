@@ -113,7 +113,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, most_rows: int = ROWS, id_c
     langs = counts.count()
     share = F.least(F.lit(1.0), F.lit(min(per_lang, most_rows / max(1, langs))) / F.col("_n"))
     chosen = F.shiftrightunsigned(F.xxhash64(F.lit("lang"), "id", "text"), 11) / F.lit(float(1 << 53)) < F.col("_share")
-    sample = rows.join(counts.select(F.col("lang").alias("_lang"), share.alias("_share")), F.col("lang") == F.col("_lang")).where(chosen).select("id", "lang", "text")
+    sample = rows.join(counts.select(F.col("lang").alias("_lang"), share.alias("_share")), F.col("lang") == F.col("_lang")).where(chosen).select("id", "lang", "text").distinct()  # rows alike in all three are chosen together
 
     def windows(batches):
         for batch in batches:
