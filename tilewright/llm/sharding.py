@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tilewright.functions.names import own_names
 from tilewright.plans.lineage import written
 
 SHARDS = 16
@@ -82,12 +83,15 @@ def _placed(df: DataFrame, group: str, ranges: int, id_col: str) -> DataFrame:
     return out.withColumn("_nth", (F.col("_inside") + F.col("_offset")).cast("long")).drop("_inside", "_offset", "_range", "_g", "_r")
 
 
+@own_names("id_col", "text_col", frame="docs")
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``id_col``, ``size``, ``text_crc32``, ``shard`` and ``slot`` of every row.
 
     Null text: size 1, crc of nothing. Null ids and repeated ids are rows like
     any other (rows alike in id and text may swap places among themselves). An
-    empty table gives no rows. Reruns give the same shards and slots.
+    empty table gives no rows. A very long text is a row like any other: only its size and checksum travel.
+    Extra columns are left out; an id column that is named like one of the result's leaves that with ``_`` at its end.
+    Reruns give the same shards and slots.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilewright.functions.names import own_names
 from tilewright.plans.lineage import written
 from tilewright.operators.graph import components
 
@@ -210,13 +211,15 @@ def links(codes: DataFrame, max_bits: int = MAX_BITS, most: int = MOST_CODES) ->
     return keyed.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
 
 
+@own_names("id_col", "text_col", frame="docs")
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``code`` and ``component_id``, a row for each input row.
 
     ``component_id`` is the smallest id reachable (null only where all ids of the
     component are null). Null and empty texts and texts without words have the
     fingerprint zero, which links like any other. Repeated rows come back
-    repeated. An empty table gives no rows.
+    repeated. An empty table gives no rows. A very long text is read whole, in one task; only its
+    fingerprint travels. Extra columns are left out; an id column that is named ``code`` leaves ``code_`` to the fingerprint.
     """
     codes = written(with_fingerprints(docs.select(id_col, text_col), shingle, text_col).select(F.col(f"row.{id_col}").alias(id_col), "code"))
     return grouped(codes, max_bits, id_col)
@@ -242,6 +245,8 @@ BANDS, SKETCH = 10, 128
 ODDS = 1e-6
 #: Texts of one band key in a task; a larger group is cut into blocks.
 MOST_TEXTS = 2048
+#: Sets of shingles in a task, about.
+SHARD_BYTES = 1 << 25
 
 
 def signature(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -419,7 +424,9 @@ def _decide(open_: DataFrame, texts: DataFrame, found: DataFrame, docs: DataFram
     on = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash"))
     # rows alike in id and text are one text
     sets = written(own.join(named, on).select("node", "sketch", "text").mapInArrow(shingled, "node binary, sketch binary, shingles binary").dropDuplicates(["node"]))
-    shard = F.pmod(F.xxhash64(*UNIT), F.lit(max(1, rows.count() // 2_000)))
+    dealt = rows.join(sets, "node")
+    n, size = dealt.agg(F.count("*"), F.sum(F.octet_length("shingles"))).first()  # a shard has about so many rows, and so many bytes of sets
+    shard = F.pmod(F.xxhash64(*UNIT), F.lit(max(1, n // 2_000, (size or 0) // SHARD_BYTES)))
 
     def run(table: pa.Table) -> pa.Table:
         node, label, shingles = (table.column(c).to_pylist() for c in ("node", "label", "shingles"))
@@ -431,7 +438,7 @@ def _decide(open_: DataFrame, texts: DataFrame, found: DataFrame, docs: DataFram
                 a.append(node[group[k]]), b.append(node[group[root[k]]])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    dealt = rows.join(sets, "node").select(shard.alias("shard"), *UNIT, "node", "label", "sketch", "shingles")
+    dealt = dealt.select(shard.alias("shard"), *UNIT, "node", "label", "sketch", "shingles")
     return written(dealt.groupBy("shard").applyInArrow(run, "a binary, b binary"))
 
 
