@@ -30,3 +30,10 @@ def test_null_rows(spark, make, sf):
         assert out.count() <= 6
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_extra_columns_stay(make, sf, spark):
+    docs = make(["a b c d e f g", "h i j k l m n", None]).withColumn("code", F.lit(1)).withColumn("row", F.lit("x"))
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert {"code", "row"} <= set(out.columns)

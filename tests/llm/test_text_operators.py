@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tilewright.llm import byte_bpe, language_id, mixing, mpeg_audio, multiset_hash, sharding, token_counts, toxicity
+from tilewright.llm import byte_bpe, language_id, mixing, mpeg_audio, multiset_hash, sharding, simhash, token_counts, toxicity
 
 
 def by_id(rows):
@@ -135,6 +135,49 @@ def test_mix_equals_one_sorted_list(make, corpus, names):
         assert out[i].taken <= 3 * out[i]["size"]
 
 
+@pytest.mark.parametrize("bins", [2, 7, 1 << 14])
+def test_mix_cut_in_rounds(make, corpus, monkeypatch, bins):
+    """Histograms of few bins, down to one entry a bin, cut where one sorted list is cut."""
+    monkeypatch.setattr(mixing, "BINS", bins)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 1)
+    source = [("a", "b", None)[i % 3] for i in range(len(corpus))]
+    out = by_id(mixing.mix(make(corpus, source=source)).collect())
+    want = simple_mix([(i, t, s) for i, (t, s) in enumerate(zip(corpus, source, strict=True))])
+    assert {i: out[i].taken for i in want} == {i: w[3] for i, w in want.items()}
+
+
+@pytest.mark.parametrize("hot", [None, 17])
+def test_mix_of_a_hot_id(make, monkeypatch, hot):
+    """A third of all rows under one id, or without one, are dealt over ranges of their own; every source comes to its target."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    texts = ["w " * (1 + i % 9) for i in range(600)]
+    ids = [hot if i % 3 == 0 else 1000 + i for i in range(600)]
+    df = make(texts, ids=ids, source=["ab"[i % 5 == 0] for i in range(600)])
+    key = F.md5(F.concat(F.lit("mix-1"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    sizes = df.select("source", key.alias("key"), F.length("text").alias("size"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ranges = mixing._ranges(sizes, 600).groupBy("source", "range").count().agg(F.max("count")).first()[0]
+    assert ranges <= 60  # 200 rows under the id
+    out = mixing.mix(df).collect()
+    assert sorted((r.doc_id or -1, r["size"]) for r in out) == sorted((i or -1, len(t.split())) for i, t in zip(ids, texts, strict=True))
+    for s in "ab":
+        own = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 9 and all(r.times <= 3 for r in own)
+    assert sorted(map(str, mixing.mix(df).collect())) == sorted(map(str, out))
+
+
+@pytest.mark.parametrize("name", ["size", "key", "shard", "code"])
+def test_id_columns_with_names_of_the_operators(make, corpus, name):
+    df = make(corpus)
+    named = df.withColumnRenamed("doc_id", name)
+    for plain, other in (
+        (mixing.mix(df), mixing.mix(named, id_col=name)),
+        (sharding.shard(df), sharding.shard(named, id_col=name)),
+        (simhash.near_duplicates(df), simhash.near_duplicates(named, id_col=name)),
+    ):
+        assert sorted(map(repr, map(tuple, plain.collect()))) == sorted(map(repr, map(tuple, other.collect())))
+        assert other.columns[plain.columns.index("doc_id")] == name and len(set(other.columns)) == len(other.columns)
+
+
 def test_mix_of_nothing(make):
     assert mixing.mix(make([])).count() == 0
     assert [r.taken for r in mixing.mix(make([None, ""])).collect()] == [0, 0]
@@ -262,3 +305,23 @@ def test_toxicity_without_labels(spark, make):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.train(make(["a b"]), none)[0] == {}
     assert toxicity.score(make(["a b"]), ({}, -30.0)).first().score < 1e-6
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_toxicity_samples_rows_not_ids(spark, make, hot):
+    """One id over most rows brings no more rows to the driver than asked for; copies count once."""
+    texts = [f"word{i % 3000} and more" for i in range(4000)]
+    df = make(texts, ids=[hot] * 4000)
+    of = df.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash"))
+    assert toxicity._chosen(of, of, 100).count() == 100
+    whole = [r.text for r in toxicity._chosen(of, of, 5000).collect()]
+    assert sorted(whole) == sorted(set(texts))
+    assert [r.text for r in toxicity._chosen(of.limit(0), of.limit(0), 5).collect()] == []
+
+
+def test_languages_sample_rows_once(spark, make, monkeypatch):
+    seen = []
+    fit = language_id.ByteCnn.fit
+    monkeypatch.setattr(language_id.ByteCnn, "fit", lambda self, x, *a: seen.append(len(x)) or fit(self, x, *a))
+    language_id.train(make(["one text of many copies"] * 900 + ["another text"], ids=[3] * 901))
+    assert seen == [2]
