@@ -209,6 +209,32 @@ def test_near_copies_around_the_threshold(make, vocabulary):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("most", [4, 2048])
+def test_near_copies_by_the_index(monkeypatch, make, vocabulary, most):
+    """Where no band brings two texts together, the SimHash index still finds every near copy within its bits, and none that isn't alike."""
+    real = simhash.signature
+    monkeypatch.setattr(simhash, "signature", lambda hashes: (real(hashes)[0], np.frombuffer(random.randbytes(8 * simhash.BANDS), np.uint64)))
+    rng = random.Random(14)
+    texts = []
+    for _ in range(30):
+        words = rng.choices(vocabulary, k=250)
+        texts.append(" ".join(words))
+        for edits in (1, 2, 8, 14):
+            other = list(words)
+            for at in rng.sample(range(10, 240, 6), edits):
+                other[at] = f"altered{len(texts)}"
+            texts.append(" ".join(other))
+    s = [shingles(t) for t in texts]
+    codes = [simhash.fingerprint(np.unique(simhash.shingle_hashes(t.encode(), simhash.WORDS))) for t in texts]
+    alike = lambda i, j: len(s[i] & s[j]) / len(s[i] | s[j]) >= 0.8
+    near = lambda i, j: (codes[i] ^ codes[j]).bit_count() <= simhash.MAX_BITS
+    family = least_reachable(len(texts), near)
+    want = least_reachable(len(texts), lambda i, j: family[i] == family[j] and alike(i, j))
+    assert len(set(want)) < len(texts) - 20
+    got = dict(simhash.near_copies(make(texts), most=most).select("id", "component_id").collect())
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_near_copies_without_or_with_shared_ids(make, vocabulary):
     rng = random.Random(10)
     texts = [" ".join(rng.choices(vocabulary, k=60)) for _ in range(6)]

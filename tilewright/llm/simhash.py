@@ -442,30 +442,44 @@ def _decide(open_: DataFrame, texts: DataFrame, found: DataFrame, docs: DataFram
     return written(dealt.groupBy("shard").applyInArrow(run, "a binary, b binary"))
 
 
-def _copies(docs: DataFrame, similarity: float, id_col: str, text_col: str, most: int = MOST_TEXTS) -> DataFrame:
-    """``id``, ``hash`` and ``root`` (a hash of words that names the group of near copies) of every row.
+def _met(dealt: DataFrame, edges: DataFrame | None, n: int, similarity: float, most: int) -> DataFrame:
+    """What ``_sweep`` returns for all rows that have a ``key`` in common. ``edges``: links found before.
 
     A key of over ``most`` texts is cut into blocks, each linked inside; then, in a
     further round, blocks meet blocks for what isn't connected by that time.
     """
+    hot = written(dealt.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("cuts")))
+    if hot.isEmpty():
+        return _sweep(dealt.withColumns({"block": F.lit(0).cast("long"), "other": F.lit(-1).cast("long")}), n, similarity)
+    block = F.pmod(F.xxhash64("node", "key"), F.coalesce("cuts", F.lit(1))).cast("long")  # other blocks for every key, so that keys connect blocks
+    out = _sweep(dealt.join(F.broadcast(hot), "key", "left").withColumns({"block": block, "other": F.lit(-1).cast("long")}), n, similarity)  # few keys are hot
+    found = components(_edges(out) if edges is None else edges.union(_edges(out)), "a", "b")
+    return out.union(_sweep(_blocks(dealt, hot, found, most), n, similarity))
+
+
+def _edges(out: DataFrame) -> DataFrame:
+    return out.where("b is not null").select("a", "b")
+
+
+def _copies(docs: DataFrame, similarity: float, id_col: str, text_col: str, most: int = MOST_TEXTS, max_bits: int = MAX_BITS) -> DataFrame:
+    """``id``, ``hash`` and ``root`` (a hash of words that names the group of near copies) of every row.
+
+    First the SimHash index: texts whose fingerprints are linked within ``max_bits``, over
+    others too, are a family, and all pairs of a family are checked. Then the bands bring the pairs
+    that are alike with fingerprints further apart; what the index has linked isn't compared again.
+    """
     rows = written(_signed(docs, id_col, text_col))
     own = F.struct(F.col("id").isNull().alias("last"), "id", "hash")
     texts = written(rows.groupBy(F.col("words").alias("node")).agg(F.min(own).alias("own"), F.first(F.struct("code", "sketch", "keys")).alias("s")))
-    n = texts.count() * BANDS
-    dealt = texts.select("node", F.col("node").alias("label"), "s.sketch", F.explode("s.keys").alias("key"))
-    hot = written(texts.select(F.explode("s.keys").alias("key")).groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("cuts")))
-    has_hot = not hot.isEmpty()
-    units = dealt.withColumns({"block": F.lit(0).cast("long"), "other": F.lit(-1).cast("long")})
-    if has_hot:
-        block = F.pmod(F.xxhash64("node", "key"), F.coalesce("cuts", F.lit(1))).cast("long")  # other blocks for every key, so that keys connect blocks
-        units = dealt.join(F.broadcast(hot), "key", "left").withColumns({"block": block, "other": F.lit(-1).cast("long")})  # few keys are hot
-    out = _sweep(units, n, similarity)
-    edges = out.where("b is not null").select("a", "b")
+    n = texts.count()
+    family = grouped(texts.select("node", "s.code", "s.sketch"), max_bits, "node")
+    by_index = _met(written(family.select("node", F.col("node").alias("label"), "sketch", F.xxhash64("component_id").alias("key"))), None, n, similarity, most)
+    edges = _edges(by_index)
+    labelled = _with_labels(texts.select("node", "s"), components(edges, "a", "b"))
+    by_bands = _met(labelled.select("node", "label", "s.sketch", F.explode("s.keys").alias("key")), edges, n * BANDS, similarity, most)
+    out = by_index.union(by_bands)
+    edges = _edges(out)
     found = components(edges, "a", "b")
-    if has_hot:
-        out = out.union(_sweep(_blocks(dealt, hot, found, most), n, similarity))
-        edges = out.where("b is not null").select("a", "b")
-        found = components(edges, "a", "b")
     open_ = out.where("b is null").drop("b")
     if not open_.isEmpty():
         edges = edges.union(_decide(open_, texts, found, docs, similarity, id_col, text_col))
@@ -477,9 +491,9 @@ def _copies(docs: DataFrame, similarity: float, id_col: str, text_col: str, most
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_TEXTS) -> DataFrame:
     """``id`` and ``component_id`` (its smallest id) of every row: near copies on five-word shingles, linked over others too.
 
-    Rows with the same words are one text from the start. The others are dealt by
-    bands; of the pairs that meet, a sketch decides those far from the similarity and
-    the sets of shingles all others. Wordless rows (null too) are alike. ``component_id``
+    Rows with the same words are one text from the start. The others meet where the SimHash
+    index links their fingerprints, then by bands; of the pairs that meet, a sketch
+    decides those far from the similarity and the sets of shingles all others. Wordless rows (null too) are alike. ``component_id``
     is null where no row of the group has an id; empty table: no rows.
     """
     rows = written(_copies(docs, similarity, id_col, text_col, most))
