@@ -325,3 +325,9 @@ def test_languages_sample_rows_once(spark, make, monkeypatch):
     monkeypatch.setattr(language_id.ByteCnn, "fit", lambda self, x, *a: seen.append(len(x)) or fit(self, x, *a))
     language_id.train(make(["one text of many copies"] * 900 + ["another text"], ids=[3] * 901))
     assert seen == [2]
+
+
+def test_bpe_constants_of_decoding_are_built_when_used(spark):
+    e = byte_bpe.Encoder({bytes([i]): i for i in range(256)}, ".")
+    assert not {"pieces", "digits"} & set(vars(e))
+    assert [list(r) for r in spark.range(1).select(e.decode(F.array(F.lit(104), F.lit(105))), e.packed(F.array(F.lit(7)))).collect()] == [[b"hi", b"\x07\0\0\0"]]

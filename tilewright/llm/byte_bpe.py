@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import json
+from functools import cached_property
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -77,11 +78,15 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = pattern
         self.table = _literal(_split_map({p.hex().upper(): i for p, i in ranks.items()}, RANK_MAPS), "array<map<string,int>>")
-        pieces = [""] * (max(ranks.values()) + 1)
-        for p, i in ranks.items():
-            pieces[i] = p.hex()
-        self.pieces = _literal(pieces, "array<string>")
-        self.digits = _literal([i.to_bytes(4, "little").hex() for i in range(len(pieces))], "array<string>")
+        self.by_id = {i: p for p, i in ranks.items()}
+
+    @cached_property
+    def pieces(self) -> Column:
+        return _literal([self.by_id.get(i, b"").hex() for i in range(max(self.by_id) + 1)], "array<string>")
+
+    @cached_property
+    def digits(self) -> Column:
+        return _literal([i.to_bytes(4, "little").hex() for i in range(max(self.by_id) + 1)], "array<string>")
 
     def fold(self, word: Column, table: Column) -> Column:
         """Ids of one word, by merges alone. ``table``: the rank maps."""
@@ -94,16 +99,14 @@ class Encoder:
             new = F.concat(F.get(p, at), F.get(p, at + 1))
             left = lambda: rank(F.concat(F.get(p, at - 1), new))
             right = lambda: rank(F.concat(new, F.get(p, at + 2)))
-            pieces = F.transform(p, lambda x, i: F.when(i == at, new).when(i != at + 1, x))
-            ranks = F.transform(r, lambda x, i: F.when(i == at, gone).when(i == at - 1, left()).when(i == at + 1, right()).otherwise(x))
-            return F.struct(F.filter(pieces, lambda x: x.isNotNull()).alias("p"), F.filter(ranks, lambda x: x.isNull() | (x != gone)).alias("r"))
+            pieces = F.transform(p, lambda x, i: F.when(i == at, new).when(i == at + 1, "").otherwise(x))
+            ranks = F.transform(r, lambda x, i: F.when(F.abs(i - at) > 1, x).when(i == at, gone).when(i < at, left()).otherwise(right()))
+            return F.struct(F.array_remove(pieces, "").alias("p"), F.array_remove(ranks, -1).alias("r"))
 
         def step(s, _):
-            least = F.array_min(s["r"])
-            return F.when(least.isNull(), s).otherwise(merged_at(s, least))
-
-        def merged_at(s, least):
-            return _let(F.array_position(s["r"], least).cast("int") - 1, lambda at: merged(s, at))
+            # the least rank, the leftmost of its places (array_position throws inside when it finds one, which is slow)
+            least = F.array_min(F.transform(s["r"], lambda x, i: x * F.lit(LONG) + i))
+            return _let(least % LONG, lambda at: F.when(at.isNull(), s).otherwise(merged(s, at)))
 
         def start(p):
             return F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, i: rank(F.concat(F.get(p, i), x))).alias("r"))
