@@ -40,6 +40,26 @@ def test_bpe_of_an_empty_table(make):
     assert byte_bpe.encode(make([]))[0].count() == 0
 
 
+@pytest.mark.parametrize("more", [1, 40, 4000])
+def test_bpe_words_beyond_the_literal_are_folded_once(make, corpus, more):
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.rank_table(), special_tokens={})
+    texts = [t for t in corpus if t is None or len(t) < 2000] + ["\x01\x02!\x01 \x01\x01,[]\"\\ " * 3, " 12,3 \x7f\x80 été 👍🏽" * 3]
+    encoded, e = byte_bpe.encode(make(texts), words=5, more=more)
+    assert {r.doc_id: r.ids for r in encoded.select("doc_id", "ids").collect()} == {i: own.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    known = e.dictionary(make(texts), words=5, more=more)
+    lists = [r.entries for r in known.lists.collect()] if known.lists else []
+    found = {x.split("\x02")[0]: [int(i) for i in x.split("\x02")[1].split(",")] for entries in lists for x in entries.split("\x01") if x}
+    assert len(found) <= more + 5 and all(own.encode_ordinary(w) == ids for w, ids in found.items())
+    assert more < 4000 or len(found) > 300 and "été" not in found and " été" in found
+    # the plan's text is that of the literals, however many words the lists have; no row carries the lists
+    assert len(known.maps) < 3 * byte_bpe.WORD_MAPS + 1000
+    spark = encoded.sparkSession
+    spark.conf.set("spark.sql.maxPlanStringLength", 1 << 30)
+    plan = encoded.select("doc_id", "ids")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxPlanStringLength", byte_bpe.PLAN_TEXT)
+    assert f" AS {byte_bpe.LISTS}" not in plan and ("Subquery" in plan) == bool(lists)
+
+
 def test_multiset_likeness_of_long_repeats(spark):
     line = "one line of boilerplate\n"
     for times, other in ((10_000, 7_500), (20_000, 15_000)):

@@ -3,9 +3,10 @@
 A word (a match of the pre-token pattern) is an array of its bytes, written in hexadecimal. A fold
 over the array merges the neighbours of the least rank, leftmost first, until no
 neighbours have a rank (in a long word all places of the least rank at once); the ranks come from a literal map, split by hash into
-small maps because a lookup scans its map. The fold runs once for each of the
-``words`` most frequent distinct words of the input and the results become a
-second literal map; words outside it are folded where they stand. Text is never
+small maps because a lookup scans its map. The fold runs once for each of the most
+frequent distinct words of the input: the results of the ``words`` first become a
+second literal map, those of ``more`` others, which stand more than once, lists of text in a scalar
+subquery, a tenth of the size. Words outside both are folded where they stand. Text is never
 shuffled, only distinct words with their counts. Decoding joins the ids' byte pieces.
 """
 
@@ -14,13 +15,22 @@ from __future__ import annotations
 import base64
 import json
 from functools import cached_property
+from typing import NamedTuple
 
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the dictionary of folded words, in words and in bytes of a word.
-WORDS, WORD_BYTES = 1 << 17, 64
+from tilewright.plans.lineage import written
+
+#: Bound of the dictionary of folded words, in words (of the literal, of the lists) and in bytes of a word.
+WORDS, MORE, WORD_BYTES = 1 << 17, 3 << 18, 64
+#: Marks before and after a word in a list of folded words; words with a mark in them are in no list.
+BEFORE, AFTER = "\x01", "\x02"
+#: Name of the lists' column beside the input's.
+LISTS = "lists_of_folded_words"
+#: Bins of a word's count in each doubling.
+BINS = 16
 #: Words of more bytes merge all places of the least rank in one step.
 LONG = 64
 #: Characters of a plan's text that the session keeps.
@@ -68,6 +78,37 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _listed(lists: Column, number: int, key: Column) -> Column:
+    """Ids of a word from the lists; null if it is in none. A list begins with a mark, so what is before its first one is empty."""
+    own = F.get(lists, F.pmod(F.xxhash64(key), F.lit(number)).cast("int"))
+    after = F.call_function("substring_index", own, F.concat(F.lit(BEFORE), key, F.lit(AFTER)), F.lit(-1))
+    return _let(F.substring_index(after, BEFORE, 1), lambda ids: F.when(ids != "", F.split(ids, ",").cast("array<int>")))
+
+
+class Dictionary(NamedTuple):
+    """Folded words: the literal's JSON, and a table of ``number`` lists (or None)."""
+
+    maps: str
+    lists: DataFrame | None
+    number: int
+
+    def column(self) -> Column:
+        """The lists by number (array of string), as a scalar subquery."""
+        rows = F.sort_array(F.collect_list(F.struct("list", "entries")))
+        return self.lists.agg(F.transform(rows, lambda r: r["entries"]).alias("lists")).scalar()
+
+
+def _fitting(sizes: dict[int, int], most: int) -> int:
+    """The least bin from which on all bins together have at most ``most`` words."""
+    total, least = 0, max(sizes, default=0) + 1
+    for b in sorted(sizes, reverse=True):
+        total += sizes[b]
+        if total > most:
+            break
+        least = b
+    return least
+
+
 def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
@@ -142,27 +183,44 @@ class Encoder:
             lambda p: F.transform(run(p), rank),
         )
 
-    def dictionary(self, docs: DataFrame, text_col: str = "text", words: int = WORDS) -> str:
-        """Ids of the most frequent distinct words of all texts (at most ``words``), as the JSON of the word maps."""
+    def dictionary(self, docs: DataFrame, text_col: str = "text", words: int = WORDS, more: int = MORE) -> Dictionary:
+        """Ids of the most frequent distinct words of all texts: at most ``words`` as a literal, at most ``more`` others that stand more than once as lists.
+
+        Words are taken by bins of their counts, so no task sorts them: a bin that doesn't fit whole stays out.
+        """
         counted = docs.select(F.explode(words_of(F.col(text_col), self.pattern)).alias("word")).where(F.octet_length("word") <= WORD_BYTES).groupBy("word").count()
-        top = counted.orderBy(F.desc("count"), "word").limit(words).select("word").repartition("word")
-        folded = top.select("word", _let(self.table, lambda t: self.fold(F.col("word"), t)).alias("ids"))
-        entry = F.concat(F.expr("substring(to_json(struct(word)), 9, length(to_json(struct(word))) - 9)"), F.lit(":["), F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("]"))
+        counted = written(counted.select("word", F.floor(F.log2("count") * BINS).cast("int").alias("bin")))
+        sizes = {r["bin"]: r["n"] for r in counted.groupBy("bin").agg(F.count("*").alias("n")).collect()}
+        first, last = _fitting(sizes, words), _fitting({b: n for b, n in sizes.items() if b}, words + more)
+        ids = _let(self.table, lambda t: self.fold(F.col("word"), t))
+        folded = written(counted.where(F.col("bin") >= min(first, last)).select("word", "bin", F.array_join(ids.cast("array<string>"), ",").alias("ids")))
+        entry = F.concat(F.expr("substring(to_json(struct(word)), 9, length(to_json(struct(word))) - 9)"), F.lit(":["), F.col("ids"), F.lit("]"))
         number = F.pmod(F.xxhash64("word"), F.lit(WORD_MAPS)).cast("int")
-        maps = folded.groupBy(number.alias("map")).agg(F.array_join(F.collect_list(entry), ",").alias("entries"))
+        maps = folded.where(F.col("bin") >= first).groupBy(number.alias("map")).agg(F.array_join(F.collect_list(entry), ",").alias("entries"))
         parts = [""] * WORD_MAPS
         for r in maps.toLocalIterator():
             parts[r["map"]] = r.entries
-        return "[{" + "},{".join(parts) + "}]"
-
-    def encode(self, text: Column, dictionary: str | None = None) -> Column:
-        """Ids of a text (array of int); null counts as empty."""
+        return Dictionary("[{" + "},{".join(parts) + "}]", *self._lists(folded.where(F.col("bin") < first), more) if last < first else (None, 0))
+
+    @staticmethod
+    def _lists(folded: DataFrame, more: int) -> tuple[DataFrame, int]:
+        """Lists of the words and their ids, dealt by the words' hashes; every number has one."""
+        number = max(1, more // 4)
+        entry = F.concat(F.lit(BEFORE), "word", F.lit(AFTER), "ids")
+        own = folded.where(~F.col("word").rlike(f"[{BEFORE}{AFTER}]")).select(F.pmod(F.xxhash64("word"), F.lit(number)).alias("list"), entry.alias("entry"))
+        every = folded.sparkSession.range(number).select(F.col("id").alias("list"), F.lit(BEFORE).alias("entry"))
+        return written(own.union(every).groupBy("list").agg(F.array_join(F.collect_list("entry"), "").alias("entries"))), number
+
+    def encode(self, text: Column, dictionary: Dictionary | None = None, lists: Column | None = None) -> Column:
+        """Ids of a text (array of int); null counts as empty. ``lists``: the dictionary's lists by number, if they are to be used."""
         words = words_of(text, self.pattern)
         if not dictionary:
             return _let(self.table, lambda t: F.flatten(F.transform(words, lambda w: self.fold(w, t))))
-        known = F.from_json(F.lit(dictionary), "array<map<string,array<int>>>")
-        ids = lambda t, k: F.flatten(F.transform(words, lambda w: F.coalesce(_looked_up(k, WORD_MAPS, w), self.fold(w, t))))
-        return _let(self.table, lambda t: _let(known, lambda k: ids(t, k)))
+        known = F.from_json(F.lit(dictionary.maps), "array<map<string,array<int>>>")
+        ids = lambda t, k, *more: F.flatten(F.transform(words, lambda w: F.coalesce(_looked_up(k, WORD_MAPS, w), *(_listed(m, dictionary.number, w) for m in more), self.fold(w, t))))
+        if lists is None:
+            return _let(self.table, lambda t: _let(known, lambda k: ids(t, k)))
+        return _let(self.table, lambda t: _let(known, lambda k: _let(lists, lambda m: ids(t, k, m))))
 
     def decode(self, ids: Column) -> Column:
         """Bytes (binary) of ids: their pieces joined."""
@@ -173,7 +231,7 @@ class Encoder:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.digits, i)), ""))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str | None = None, text_col: str = "text", words: int = WORDS, ids_col: str = "ids") -> tuple[DataFrame, Encoder]:
+def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str | None = None, text_col: str = "text", words: int = WORDS, ids_col: str = "ids", more: int = MORE) -> tuple[DataFrame, Encoder]:
     """``docs`` with a column of ids (a column of that name is replaced), and the encoder.
 
     Null and empty texts have no ids. Repeated rows come back repeated, an empty
@@ -187,7 +245,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
     """
     docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
     e = Encoder(ranks or rank_table(), java_pattern(pattern))
-    return docs.withColumn(ids_col, e.encode(F.col(text_col), e.dictionary(docs, text_col, words))), e
+    known = e.dictionary(docs, text_col, words, more)
+    if known.lists is None:
+        return docs.withColumn(ids_col, e.encode(F.col(text_col), known)), e
+    # higher-order functions take a subquery only by a column's name; that is read once, so the optimizer puts the subquery in its place
+    own = docs.withColumn(LISTS, known.column())
+    ids = e.encode(F.col(text_col), known, F.col(LISTS)).alias(ids_col)
+    at = [i for i, c in enumerate(docs.columns) if c.lower() == ids_col.lower()]
+    return own.select(*[ids if i in at else own[f"`{c}`"] for i, c in enumerate(docs.columns)], *([] if at else [ids])), e
 
 
 def query(spark, sf_dir: str) -> DataFrame:
