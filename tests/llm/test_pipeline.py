@@ -37,3 +37,12 @@ def test_extra_columns_stay(make, sf, spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
         assert {"code", "row"} <= set(out.columns)
+
+
+def test_most_words_of_the_last_stage_stay_out_of_the_literal(spark, make, sf):
+    docs = make([" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(9000))] * 2)
+    out = corpus_pipeline.encode(spark, docs, sf)
+    spark.conf.set("spark.sql.maxPlanStringLength", 1 << 30)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxPlanStringLength", 1 << 16)
+    assert "Subquery" in plan and corpus_pipeline.WORDS < corpus_pipeline.MORE
