@@ -9,7 +9,7 @@ from tilewright.llm import byte_bpe, mixing, simhash, suffix_dedup, toxicity
 from tilewright.plans.lineage import written
 
 TOXIC_AT = 0.5
-#: Words in the last stage's dictionary, as a literal and in lists: fewer than alone, as the driver has run four stages before it and keeps the text of literals with each plan.
+#: Words in the last stage's dictionary, in maps and in lists: fewer than alone, and by tables, as the driver has run four stages before it and keeps the text of literals with each plan.
 WORDS, MORE = 1 << 13, 1 << 18
 
 
@@ -67,7 +67,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Whole texts are encoded, rows alike each by itself. All other columns stay (but for ones named as the new ones); an empty table stays empty.
     """
-    encoded, _ = byte_bpe.encode(docs, words=WORDS, more=MORE)
+    encoded, _ = byte_bpe.encode(docs, words=WORDS, more=MORE, tables=True)
     return encoded.select(*[c for c in docs.columns if c.lower() not in ("text", "n_tokens", "ids")], F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -1,7 +1,9 @@
 import corpus_pipeline
+import public_tokenizers
+import tiktoken
 from pyspark.sql import functions as F
 
-from tilewright.llm import toxicity
+from tilewright.llm import byte_bpe, toxicity
 
 
 def test_stages(spark, sf):
@@ -46,3 +48,15 @@ def test_most_words_of_the_last_stage_stay_out_of_the_literal(spark, make, sf):
     plan = out._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.maxPlanStringLength", 1 << 16)
     assert "Subquery" in plan and corpus_pipeline.WORDS < corpus_pipeline.MORE
+
+
+def test_no_constant_of_the_last_stage_is_in_a_plan(spark, make, sf):
+    """Ranks and words are subqueries over tables, and the ids are the library's, with lists and without."""
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.rank_table(), special_tokens={})
+    for texts in (["one", None, ""], [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x été" for i in range(9000))] * 2):
+        out = corpus_pipeline.encode(spark, make(texts), sf)
+        spark.conf.set("spark.sql.maxPlanStringLength", 1 << 30)
+        plan = out._jdf.queryExecution().toString()
+        spark.conf.set("spark.sql.maxPlanStringLength", byte_bpe.PLAN_TEXT)
+        assert len(plan) < 1 << 20 and "Subquery" in plan and f" AS {byte_bpe.LISTS}" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r.doc_id: r.ids for r in out.collect()} == {i: own.encode_ordinary(t or "") for i, t in enumerate(texts)}

@@ -18,7 +18,7 @@ from functools import cached_property
 from typing import NamedTuple
 
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.plans.lineage import written
@@ -85,12 +85,26 @@ def _listed(lists: Column, number: int, key: Column) -> Column:
     return _let(F.substring_index(after, BEFORE, 1), lambda ids: F.when(ids != "", F.split(ids, ",").cast("array<int>")))
 
 
+def _map_table(rows: DataFrame, key: str, value: str, maps: int) -> DataFrame:
+    """Entries of ``maps`` small maps by the keys' hashes, as a table with a row for each."""
+    own = rows.select(F.pmod(F.xxhash64(key), F.lit(maps)).alias("map"), F.struct(F.col(key).alias("key"), F.col(value).alias("value")).alias("entry"))
+    every = own.sparkSession.range(maps).select(F.col("id").alias("map"), F.lit(None).cast(own.schema["entry"].dataType).alias("entry"))
+    return written(own.union(every).groupBy("map").agg(F.collect_list("entry").alias("entries")))
+
+
+def _maps(table: DataFrame) -> Column:
+    """The maps by number (array of map), as a scalar subquery: no text in the plan."""
+    rows = F.sort_array(F.collect_list(F.struct("map", "entries")))
+    return table.agg(F.transform(rows, lambda r: F.map_from_entries(r["entries"])).alias("maps")).scalar()
+
+
 class Dictionary(NamedTuple):
-    """Folded words: the literal's JSON, and a table of ``number`` lists (or None)."""
+    """Folded words: the literal's JSON, and a table of ``number`` lists (or None); ``known``, in the literal's place: a table of its maps."""
 
     maps: str
     lists: DataFrame | None
     number: int
+    known: DataFrame | None = None
 
     def column(self) -> Column:
         """The lists by number (array of string), as a scalar subquery."""
@@ -117,10 +131,17 @@ class Encoder:
     """Columns for one vocabulary. ``ranks``: byte pieces and their ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern = pattern
-        self.table = _literal(_split_map({p.hex().upper(): i for p, i in ranks.items()}, RANK_MAPS), "array<map<string,int>>")
+        self.pattern, self.ranks = pattern, ranks
         self.by_id = {i: p for p, i in ranks.items()}
 
+    @cached_property
+    def table(self) -> Column:
+        return _literal(_split_map({p.hex().upper(): i for p, i in self.ranks.items()}, RANK_MAPS), "array<map<string,int>>")
+
+    def rank_maps(self, spark: SparkSession) -> DataFrame:
+        """What ``table`` has, as a table."""
+        return _map_table(spark.createDataFrame([(p.hex().upper(), i) for p, i in self.ranks.items()], "piece string, rank int"), "piece", "rank", RANK_MAPS)
+
     @cached_property
     def pieces(self) -> Column:
         return _literal([self.by_id.get(i, b"").hex() for i in range(max(self.by_id) + 1)], "array<string>")
@@ -183,24 +204,32 @@ class Encoder:
             lambda p: F.transform(run(p), rank),
         )
 
-    def dictionary(self, docs: DataFrame, text_col: str = "text", words: int = WORDS, more: int = MORE) -> Dictionary:
+    def dictionary(self, docs: DataFrame, text_col: str = "text", words: int = WORDS, more: int = MORE, ranks: DataFrame | None = None) -> Dictionary:
         """Ids of the most frequent distinct words of all texts: at most ``words`` as a literal, at most ``more`` others that stand more than once as lists.
 
         Words are taken by bins of their counts, so no task sorts them: a bin that doesn't fit whole stays out.
+        With ``ranks`` (``rank_maps``) no literal is made, the maps of the first words are a table, too.
         """
         counted = docs.select(F.explode(words_of(F.col(text_col), self.pattern)).alias("word")).where(F.octet_length("word") <= WORD_BYTES).groupBy("word").count()
         counted = written(counted.select("word", F.floor(F.log2("count") * BINS).cast("int").alias("bin")))
         sizes = {r["bin"]: r["n"] for r in counted.groupBy("bin").agg(F.count("*").alias("n")).collect()}
         first, last = _fitting(sizes, words), _fitting({b: n for b, n in sizes.items() if b}, words + more)
-        ids = _let(self.table, lambda t: self.fold(F.col("word"), t))
-        folded = written(counted.where(F.col("bin") >= min(first, last)).select("word", "bin", F.array_join(ids.cast("array<string>"), ",").alias("ids")))
+        picked = counted.where(F.col("bin") >= min(first, last))
+        if ranks is not None:
+            picked = picked.withColumn(LISTS, _maps(ranks))
+        ids = _let(self.table if ranks is None else F.col(LISTS), lambda t: self.fold(F.col("word"), t))
+        folded = written(picked.select("word", "bin", F.array_join(ids.cast("array<string>"), ",").alias("ids")))
+        lists = self._lists(folded.where(F.col("bin") < first), more) if last < first else (None, 0)
+        if ranks is not None:
+            known = folded.where(F.col("bin") >= first).select("word", F.split("ids", ",").cast("array<int>").alias("ids"))
+            return Dictionary("", *lists, _map_table(known, "word", "ids", WORD_MAPS))
         entry = F.concat(F.expr("substring(to_json(struct(word)), 9, length(to_json(struct(word))) - 9)"), F.lit(":["), F.col("ids"), F.lit("]"))
         number = F.pmod(F.xxhash64("word"), F.lit(WORD_MAPS)).cast("int")
         maps = folded.where(F.col("bin") >= first).groupBy(number.alias("map")).agg(F.array_join(F.collect_list(entry), ",").alias("entries"))
         parts = [""] * WORD_MAPS
         for r in maps.toLocalIterator():
             parts[r["map"]] = r.entries
-        return Dictionary("[{" + "},{".join(parts) + "}]", *self._lists(folded.where(F.col("bin") < first), more) if last < first else (None, 0))
+        return Dictionary("[{" + "},{".join(parts) + "}]", *lists)
 
     @staticmethod
     def _lists(folded: DataFrame, more: int) -> tuple[DataFrame, int]:
@@ -211,11 +240,18 @@ class Encoder:
         every = folded.sparkSession.range(number).select(F.col("id").alias("list"), F.lit(BEFORE).alias("entry"))
         return written(own.union(every).groupBy("list").agg(F.array_join(F.collect_list("entry"), "").alias("entries"))), number
 
-    def encode(self, text: Column, dictionary: Dictionary | None = None, lists: Column | None = None) -> Column:
-        """Ids of a text (array of int); null counts as empty. ``lists``: the dictionary's lists by number, if they are to be used."""
+    def encode(self, text: Column, dictionary: Dictionary | None = None, lists: Column | None = None, constants: Column | None = None) -> Column:
+        """Ids of a text (array of int); null counts as empty. ``lists``: the dictionary's lists by number, if they are to be used.
+
+        ``constants``, in place of literals and ``lists``: a struct of ``ranks``, ``known`` and, where there are any, ``lists``.
+        """
         words = words_of(text, self.pattern)
         if not dictionary:
             return _let(self.table, lambda t: F.flatten(F.transform(words, lambda w: self.fold(w, t))))
+        if constants is not None:
+            more = lambda c: [c["lists"]] if dictionary.lists is not None else []
+            word = lambda c, w: F.coalesce(_looked_up(c["known"], WORD_MAPS, w), *(_listed(m, dictionary.number, w) for m in more(c)), self.fold(w, c["ranks"]))
+            return _let(constants, lambda c: F.flatten(F.transform(words, lambda w: word(c, w))))
         known = F.from_json(F.lit(dictionary.maps), "array<map<string,array<int>>>")
         ids = lambda t, k, *more: F.flatten(F.transform(words, lambda w: F.coalesce(_looked_up(k, WORD_MAPS, w), *(_listed(m, dictionary.number, w) for m in more), self.fold(w, t))))
         if lists is None:
@@ -231,7 +267,7 @@ class Encoder:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.digits, i)), ""))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str | None = None, text_col: str = "text", words: int = WORDS, ids_col: str = "ids", more: int = MORE) -> tuple[DataFrame, Encoder]:
+def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str | None = None, text_col: str = "text", words: int = WORDS, ids_col: str = "ids", more: int = MORE, tables: bool = False) -> tuple[DataFrame, Encoder]:
     """``docs`` with a column of ids (a column of that name is replaced), and the encoder.
 
     Null and empty texts have no ids. Repeated rows come back repeated, an empty
@@ -241,16 +277,23 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
     itself, as those of a trained vocabulary do: then no merge makes a pair of a lower rank.
 
     The plan holds constants of some megabytes, and Spark keeps each plan's text, so
-    the session's limit of that text is lowered to PLAN_TEXT.
+    the session's limit of that text is lowered to PLAN_TEXT. With ``tables`` ranks and words are
+    scalar subqueries over tables instead: no text of theirs is in a plan, which spares the driver.
     """
     docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
     e = Encoder(ranks or rank_table(), java_pattern(pattern))
-    known = e.dictionary(docs, text_col, words, more)
-    if known.lists is None:
+    ranks = e.rank_maps(docs.sparkSession) if tables else None
+    known = e.dictionary(docs, text_col, words, more, ranks)
+    if known.lists is None and not tables:
         return docs.withColumn(ids_col, e.encode(F.col(text_col), known)), e
     # higher-order functions take a subquery only by a column's name; that is read once, so the optimizer puts the subquery in its place
-    own = docs.withColumn(LISTS, known.column())
-    ids = e.encode(F.col(text_col), known, F.col(LISTS)).alias(ids_col)
+    if tables:
+        lists = {} if known.lists is None else {"lists": known.column()}
+        own = docs.withColumn(LISTS, F.struct(*[c.alias(n) for n, c in ({"ranks": _maps(ranks), "known": _maps(known.known)} | lists).items()]))
+        ids = e.encode(F.col(text_col), known, constants=F.col(LISTS)).alias(ids_col)
+    else:
+        own = docs.withColumn(LISTS, known.column())
+        ids = e.encode(F.col(text_col), known, F.col(LISTS)).alias(ids_col)
     at = [i for i, c in enumerate(docs.columns) if c.lower() == ids_col.lower()]
     return own.select(*[ids if i in at else own[f"`{c}`"] for i, c in enumerate(docs.columns)], *([] if at else [ids])), e
 
