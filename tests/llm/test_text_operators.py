@@ -1,4 +1,5 @@
 import hashlib
+import json
 import struct
 import zlib
 from collections import Counter
@@ -351,3 +352,17 @@ def test_bpe_constants_of_decoding_are_built_when_used(spark):
     e = byte_bpe.Encoder({bytes([i]): i for i in range(256)}, ".")
     assert not {"pieces", "digits"} & set(vars(e))
     assert [list(r) for r in spark.range(1).select(e.decode(F.array(F.lit(104), F.lit(105))), e.packed(F.array(F.lit(7)))).collect()] == [[b"hi", b"\x07\0\0\0"]]
+
+
+def test_bpe_frequent_words_come_first_in_their_map(make, monkeypatch):
+    """A lookup scans its map, and decoding joins bytes as they are."""
+    monkeypatch.setattr(byte_bpe, "WORD_MAPS", 2)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.rank_table(), special_tokens={})
+    times = {f" {chr(97 + 7 * i % 26)}{'é' * (i % 3)}q": 1 << i % 13 for i in range(26)}
+    texts = [w * n for w, n in times.items()]
+    encoded, e = byte_bpe.encode(make(texts), words=1000)
+    maps = json.loads(e.dictionary(make(texts), words=1000).maps)
+    assert sum(map(len, maps)) == len(times) and all([times[w] for w in m] == sorted((times[w] for w in m), reverse=True) for m in maps)
+    back = e.decode(F.col("ids"))
+    assert "unhex" not in str(back)
+    assert {r.doc_id: (r.ids, bytes(r.back)) for r in encoded.select("doc_id", "ids", back.alias("back")).collect()} == {i: (own.encode_ordinary(t), t.encode()) for i, t in enumerate(texts)}

@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A word (a match of the pre-token pattern) is an array of its bytes, written in hexadecimal. A fold
-over the array merges the neighbours of the least rank, leftmost first, until no
-neighbours have a rank (in a long word all places of the least rank at once); the ranks come from a literal map, split by hash into
+A word (a match of the pre-token pattern) is its bytes in hexadecimal. A fold
+over its neighbours, each a long of rank and places, merges those of the least rank, leftmost first, until no
+neighbours have a rank (in a long word, an array of pieces, all places of the least rank at once); the ranks come from a literal map, split by hash into
 small maps because a lookup scans its map. The fold runs once for each of the most
 frequent distinct words of the input: the results of the ``words`` first become a
 second literal map, those of ``more`` others, which stand more than once, lists of text in a scalar
@@ -33,6 +33,8 @@ LISTS = "lists_of_folded_words"
 BINS = 16
 #: Words of more bytes merge all places of the least rank in one step.
 LONG = 64
+#: Two neighbours are a long: rank (NONE if they have none), start of the first, of the second, end of the second, each of these in PLACE bits.
+PLACE, NONE = 7, 1 << 31
 #: Characters of a plan's text that the session keeps.
 PLAN_TEXT = 1 << 16
 RANK_MAPS, WORD_MAPS = 1 << 14, 1 << 15
@@ -61,6 +63,11 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
 
+def _bytes(values: list[bytes]) -> Column:
+    """A constant array of strings of any bytes, which ``array_join`` joins as they are."""
+    return _literal([base64.b64encode(v).decode() for v in values], "array<binary>").cast("array<string>")
+
+
 def _split_map(entries: dict[str, object], maps: int) -> list[dict]:
     out: list[dict] = [{} for _ in range(maps)]
     for k, v in entries.items():
@@ -70,19 +77,25 @@ def _split_map(entries: dict[str, object], maps: int) -> list[dict]:
 
 
 def _looked_up(table: Column, maps: int, key: Column) -> Column:
-    return F.try_element_at(F.get(table, F.pmod(F.xxhash64(key), F.lit(maps)).cast("int")), key)
+    """``maps`` is a power of two, so the low bits are the remainder."""
+    return F.try_element_at(F.get(table, F.xxhash64(key).bitwiseAND(F.lit(maps - 1)).cast("int")), key)
+
+
+def _let(value: Column, kind: str, body) -> Column:
+    """``body`` (of type ``kind``) of a value that is named once: a large constant is then in the plan once. A fold of one step doesn't copy its result, as ``transform`` does."""
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, v: body(v))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is named once: a large constant is then in the plan once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _if(test: Column, yes: Column, no: Column) -> Column:
+    """``when`` with one branch; interpreted, it is slower."""
+    return F.call_function("if", test, yes, no)
 
 
 def _listed(lists: Column, number: int, key: Column) -> Column:
     """Ids of a word from the lists; null if it is in none. A list begins with a mark, so what is before its first one is empty."""
     own = F.get(lists, F.pmod(F.xxhash64(key), F.lit(number)).cast("int"))
     after = F.call_function("substring_index", own, F.concat(F.lit(BEFORE), key, F.lit(AFTER)), F.lit(-1))
-    return _let(F.substring_index(after, BEFORE, 1), lambda ids: F.when(ids != "", F.split(ids, ",").cast("array<int>")))
+    return _let(F.substring_index(after, BEFORE, 1), "array<int>", lambda ids: F.when(ids != "", F.split(ids, ",").cast("array<int>")))
 
 
 def _map_table(rows: DataFrame, key: str, value: str, maps: int) -> DataFrame:
@@ -144,39 +157,58 @@ class Encoder:
 
     @cached_property
     def pieces(self) -> Column:
-        return _literal([self.by_id.get(i, b"").hex() for i in range(max(self.by_id) + 1)], "array<string>")
+        return _bytes([self.by_id.get(i, b"") for i in range(max(self.by_id) + 1)])
 
     @cached_property
     def digits(self) -> Column:
-        return _literal([i.to_bytes(4, "little").hex() for i in range(max(self.by_id) + 1)], "array<string>")
+        return _bytes([i.to_bytes(4, "little") for i in range(max(self.by_id) + 1)])
 
     def fold(self, word: Column, table: Column) -> Column:
         """Ids of one word, by merges alone. ``table``: the rank maps."""
-        rank = lambda piece: _looked_up(table, RANK_MAPS, piece)
+        rank = lambda piece: _let(piece, "int", lambda key: _looked_up(table, RANK_MAPS, key))
         gone = F.lit(-1)
-
-        def merged(s, at):
-            # r[i] is the rank of p[i] and p[i + 1] together; what stands at ``at`` + 1 goes into ``at``
-            p, r = s["p"], s["r"]
-            new = F.concat(F.get(p, at), F.get(p, at + 1))
-            left = lambda: rank(F.concat(F.get(p, at - 1), new))
-            right = lambda: rank(F.concat(new, F.get(p, at + 2)))
-            pieces = F.transform(p, lambda x, i: F.when(i == at, new).when(i == at + 1, "").otherwise(x))
-            ranks = F.transform(r, lambda x, i: F.when(F.abs(i - at) > 1, x).when(i == at, gone).when(i < at, left()).otherwise(right()))
-            return F.struct(F.array_remove(pieces, "").alias("p"), F.array_remove(ranks, -1).alias("r"))
-
-        def step(s, _):
-            # the least rank, the leftmost of its places (array_position throws inside when it finds one, which is slow)
-            least = F.array_min(F.transform(s["r"], lambda x, i: x * F.lit(LONG) + i))
-            return _let(least % LONG, lambda at: F.when(at.isNull(), s).otherwise(merged(s, at)))
+        bits = lambda x, n: x.bitwiseAND(F.lit(((1 << PLACE) - 1) << n * PLACE))
+        first, second, end = (lambda x, n=n: F.shiftright(bits(x, n), n * PLACE).cast("int") for n in (2, 1, 0))
+
+        def piece(h, start, end):
+            return F.substring(h, start * 2 + 1, (end - start) * 2)
+
+        def pair(h, start, places, end):
+            # two neighbours from ``start`` to ``end``; the number that has their places
+            return F.shiftleft(F.coalesce(rank(piece(h, start, end)).cast("long"), F.lit(NONE)), 3 * PLACE).bitwiseOR(places)
+
+        def pairs(h, n):
+            places = lambda i: i.cast("long") * F.lit(1 + (1 << PLACE) + (1 << 2 * PLACE)) + F.lit(2 + (1 << PLACE))
+            return F.transform(F.sequence(F.lit(0), n - 2), lambda i: pair(h, i, places(i), i + 2))
+
+        def merged(h, s, m):
+            # the pair before ends where m does, the pair after begins where m does
+            keep = lambda *n: F.lit(sum(((1 << PLACE) - 1) << i * PLACE for i in n))
+            before = lambda x: pair(h, first(x), x.bitwiseAND(keep(2, 1)).bitwiseOR(bits(m, 0)), end(m))
+            after = lambda x: pair(h, first(m), x.bitwiseAND(keep(1, 0)).bitwiseOR(bits(m, 2)), end(x))
+            near = lambda at, to: F.transform(s, lambda x: _if(bits(x, 1) == at, before(x), _if(bits(x, 2) == to, after(x), x)))
+            new = _let(F.shiftright(bits(m, 2), PLACE), "array<bigint>", lambda at: _let(F.shiftleft(bits(m, 1), PLACE), "array<bigint>", lambda to: near(at, to)))
+            return F.array_remove(new, m)
+
+        def step(h, s):
+            return _let(F.array_min(s), "array<bigint>", lambda m: _if(m < F.lit(NONE << 3 * PLACE), merged(h, s, m), s))
+
+        def short(h, n):
+            folded = F.aggregate(F.sequence(F.lit(2), n), pairs(h, n), lambda s, _: step(h, s))
+            last = lambda s: rank(piece(h, second(F.coalesce(F.get(s, F.size(s) - 1), F.lit(0))), n))
+            ids = lambda s: F.concat(F.transform(s, lambda x: rank(piece(h, first(x), second(x)))), F.array(last(s)))
+            return _if(n == 1, F.array(rank(h)), _let(folded, "array<int>", ids))
 
         def start(p):
             return F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, i: rank(F.concat(F.get(p, i), x))).alias("r"))
 
+        state = "struct<p:array<string>,r:array<int>>"
+        leasts = "struct<p:array<string>,r:array<int>,least:int>"
+
         def all_merged(s):
             # of places in a row every other one merges, from the left; p[i] takes p[i + 1] in where m[i] is 1
             hits = F.array_join(F.transform(s["r"], lambda x: F.when(x == s["least"], "1").otherwise("0")), "")
-            return _let(F.split(F.regexp_replace(hits, "11", "10"), ""), lambda m: with_marks(s["p"], s["r"], m))
+            return _let(F.split(F.regexp_replace(hits, "11", "10"), ""), state, lambda m: with_marks(s["p"], s["r"], m))
 
         def with_marks(p, r, m):
             one = lambda i: F.coalesce(F.get(m, i) == "1", F.lit(False))
@@ -190,19 +222,18 @@ class Encoder:
             return F.struct(s["p"].alias("p"), s["r"].alias("r"), F.array_min(s["r"]).alias("least"))
 
         def long_step(s, _):
-            return F.when(s["least"].isNull(), s).otherwise(_let(all_merged(s), with_least))
+            return F.when(s["least"].isNull(), s).otherwise(_let(all_merged(s), leasts, with_least))
 
-        def run(p):
-            short = F.aggregate(F.slice(p, F.lit(2), F.size(p)), start(p), step)
+        def long(p):
             # a fold copies its state in every step, so the steps that are left when all is merged are skipped in turns
             turns = F.sequence(F.lit(1), F.ceil(F.sqrt(F.size(p))).cast("int"))
-            long = F.aggregate(turns, _let(start(p), with_least), lambda s, _: F.when(s["least"].isNull(), s).otherwise(F.aggregate(turns, s, long_step)))
-            return F.when(F.size(p) <= LONG, short["p"]).otherwise(long["p"])
+            run = F.aggregate(turns, _let(start(p), leasts, with_least), lambda s, _: F.when(s["least"].isNull(), s).otherwise(F.aggregate(turns, s, long_step)))
+            return F.transform(run["p"], rank)
+
+        def either(h, n):
+            return _if(n <= LONG, short(h, n), _let(F.regexp_extract_all(h, F.lit(".."), F.lit(0)), "array<int>", long))
 
-        return _let(
-            F.regexp_extract_all(F.hex(word), F.lit(".."), F.lit(0)),
-            lambda p: F.transform(run(p), rank),
-        )
+        return _let(F.hex(word), "array<int>", lambda h: _let(F.octet_length(word), "array<int>", lambda n: either(h, n)))
 
     def dictionary(self, docs: DataFrame, text_col: str = "text", words: int = WORDS, more: int = MORE, ranks: DataFrame | None = None) -> Dictionary:
         """Ids of the most frequent distinct words of all texts: at most ``words`` as a literal, at most ``more`` others that stand more than once as lists.
@@ -217,7 +248,7 @@ class Encoder:
         picked = counted.where(F.col("bin") >= min(first, last))
         if ranks is not None:
             picked = picked.withColumn(LISTS, _maps(ranks))
-        ids = _let(self.table if ranks is None else F.col(LISTS), lambda t: self.fold(F.col("word"), t))
+        ids = _let(self.table if ranks is None else F.col(LISTS), "array<int>", lambda t: self.fold(F.col("word"), t))
         folded = written(picked.select("word", "bin", F.array_join(ids.cast("array<string>"), ",").alias("ids")))
         lists = self._lists(folded.where(F.col("bin") < first), more) if last < first else (None, 0)
         if ranks is not None:
@@ -225,7 +256,9 @@ class Encoder:
             return Dictionary("", *lists, _map_table(known, "word", "ids", WORD_MAPS))
         entry = F.concat(F.expr("substring(to_json(struct(word)), 9, length(to_json(struct(word))) - 9)"), F.lit(":["), F.col("ids"), F.lit("]"))
         number = F.pmod(F.xxhash64("word"), F.lit(WORD_MAPS)).cast("int")
-        maps = folded.where(F.col("bin") >= first).groupBy(number.alias("map")).agg(F.array_join(F.collect_list(entry), ",").alias("entries"))
+        # a lookup scans its map, so the more frequent words come first
+        often_first = F.sort_array(F.collect_list(F.struct("bin", entry.alias("entry"))), asc=False)["entry"]
+        maps = folded.where(F.col("bin") >= first).groupBy(number.alias("map")).agg(F.array_join(often_first, ",").alias("entries"))
         parts = [""] * WORD_MAPS
         for r in maps.toLocalIterator():
             parts[r["map"]] = r.entries
@@ -247,24 +280,24 @@ class Encoder:
         """
         words = words_of(text, self.pattern)
         if not dictionary:
-            return _let(self.table, lambda t: F.flatten(F.transform(words, lambda w: self.fold(w, t))))
+            return _let(self.table, "array<int>", lambda t: F.flatten(F.transform(words, lambda w: self.fold(w, t))))
         if constants is not None:
             more = lambda c: [c["lists"]] if dictionary.lists is not None else []
             word = lambda c, w: F.coalesce(_looked_up(c["known"], WORD_MAPS, w), *(_listed(m, dictionary.number, w) for m in more(c)), self.fold(w, c["ranks"]))
-            return _let(constants, lambda c: F.flatten(F.transform(words, lambda w: word(c, w))))
+            return _let(constants, "array<int>", lambda c: F.flatten(F.transform(words, lambda w: word(c, w))))
         known = F.from_json(F.lit(dictionary.maps), "array<map<string,array<int>>>")
         ids = lambda t, k, *more: F.flatten(F.transform(words, lambda w: F.coalesce(_looked_up(k, WORD_MAPS, w), *(_listed(m, dictionary.number, w) for m in more), self.fold(w, t))))
         if lists is None:
-            return _let(self.table, lambda t: _let(known, lambda k: ids(t, k)))
-        return _let(self.table, lambda t: _let(known, lambda k: _let(lists, lambda m: ids(t, k, m))))
+            return _let(self.table, "array<int>", lambda t: _let(known, "array<int>", lambda k: ids(t, k)))
+        return _let(self.table, "array<int>", lambda t: _let(known, "array<int>", lambda k: _let(lists, "array<int>", lambda m: ids(t, k, m))))
 
     def decode(self, ids: Column) -> Column:
         """Bytes (binary) of ids: their pieces joined."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+        return F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), "").cast("binary")
 
     def packed(self, ids: Column) -> Column:
         """Ids as little-endian unsigned 32-bit integers (binary)."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.digits, i)), ""))
+        return F.array_join(F.transform(ids, lambda i: F.get(self.digits, i)), "").cast("binary")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str | None = None, text_col: str = "text", words: int = WORDS, ids_col: str = "ids", more: int = MORE, tables: bool = False) -> tuple[DataFrame, Encoder]:
