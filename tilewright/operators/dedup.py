@@ -128,11 +128,14 @@ def _once(parts: list, differ: Column, at: Column, value: Column, a: Column) ->
 
 
 def _met(a: DataFrame, b: DataFrame, parts: list, threshold: int, apart: Column | None = None, within: list | None = None) -> DataFrame:
-    """Pairs of two sides' index rows within ``threshold``, each once. ``within``: the parts of the key that the rows were cut from."""
+    """Pairs of two sides' index rows within ``threshold``, each once. ``within``: the parts of the key that the rows were cut from.
+
+    Never by a broadcast: Spark takes the size of an index from its hashes, each of which has many rows in it.
+    """
     differ = F.col("hash_i").bitwiseXOR(F.col("hash_j"))
     on = ["_at", "_part"] + (["_at0", "_part0"] if within else [])
     near = (F.col("hash_i") < F.col("hash_j")) & (F.bit_count(differ) <= threshold)
-    met = a.join(b, on).where(near if apart is None else near & apart).where(_once(parts, differ, F.col("_at"), F.col("_part"), F.col("hash_i")))
+    met = a.join(b.hint("merge"), on).where(near if apart is None else near & apart).where(_once(parts, differ, F.col("_at"), F.col("_part"), F.col("hash_i")))
     if within:
         met = met.where(_once(within, differ, F.col("_at0"), F.col("_part0"), F.col("hash_i")))
     return met.select("hash_i", "hash_j", F.bit_count(differ).alias("distance"))
@@ -147,7 +150,7 @@ def _pairs(distinct: DataFrame, n: int, threshold: int, bits: int, group: str |
     apart = F.col(f"{group}_i") != F.col(f"{group}_j") if group else None
     if group:
         one = b.groupBy("_at", "_part").agg(F.min(f"{group}_j").alias("_lo"), F.max(f"{group}_j").alias("_hi"))
-        a = a.join(one, ["_at", "_part"]).where((F.col("_lo") != F.col("_hi")) | (F.col("_lo") != F.col(f"{group}_i"))).drop("_lo", "_hi")
+        a = a.join(one.hint("merge"), ["_at", "_part"]).where((F.col("_lo") != F.col("_hi")) | (F.col("_lo") != F.col(f"{group}_i"))).drop("_lo", "_hi")
     hot = written(b.groupBy("_at", "_part").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT))  # at most a row for HOT rows of the index
     most = hot.agg(F.max("_n")).first()[0]
     if most is None:
@@ -189,7 +192,7 @@ def clusters(hashes: DataFrame, key: str, hash_col: str = "hash", threshold: int
     blocks = [(m, 0, 0, x) for m, _, _, x in index_parts(0, threshold, list(range(bits)))]
     keyed = _keys(distinct, "_h", blocks, 1)
     roots = keyed.groupBy("_at", "_part").agg(F.min("_h").alias("_root"))
-    local = keyed.join(roots, ["_at", "_part"]).where((F.col("_h") != F.col("_root")) & (F.bit_count(F.col("_h").bitwiseXOR(F.col("_root"))) <= threshold)).select("_h", "_root").distinct()
+    local = keyed.join(roots.hint("merge"), ["_at", "_part"]).where((F.col("_h") != F.col("_root")) & (F.bit_count(F.col("_h").bitwiseXOR(F.col("_root"))) <= threshold)).select("_h", "_root").distinct()
     local = written(local)
     first = components(local, "_h", "_root").withColumnRenamed("id", "_h")
     grouped = written(distinct.join(first, "_h", "left").select("_h", F.coalesce("component", "_h").alias("_group")))
